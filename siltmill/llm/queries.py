@@ -2,6 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltmill.llm import neardup
+from siltmill.runtime import table
+
+#: What the problem statement of this project's data asks of near-duplicate chunks.
+CHUNK_SHINGLE, CHUNK_THRESHOLD = 3, 0.6
+
+
+def _chunk_copies(spark: SparkSession, sf_dir: str) -> neardup.NearDup:
+    return neardup.near_duplicates(table(spark, sf_dir, "chunks"), "id", "text", CHUNK_SHINGLE, CHUNK_THRESHOLD)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks whose texts are alike."""
+    return neardup.linked_pairs(_chunk_copies(spark, sf_dir))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with a text, the group it belongs to, its copies and its links."""
+    return neardup.groups(_chunk_copies(spark, sf_dir)).select(F.col("key").alias("id"), "cls", "group_id", "n_copies", "n_links")
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (p2_found, p2_groups)}

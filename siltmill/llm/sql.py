@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+P2_FOUND = r"""
+WITH c AS (SELECT DISTINCT id, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM c),
+s AS (SELECT DISTINCT id, text, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+n AS (SELECT id, text, count(*) AS n FROM s GROUP BY ALL),
+k AS (SELECT s.*, n.n FROM s JOIN n USING (id, text)),
+p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS common FROM k a JOIN k b ON a.g = b.g AND a.id < b.id
+      AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.text, b.text, a.n, b.n)
+SELECT DISTINCT id_a, id_b FROM p WHERE common / (na + nb - common) >= 0.6
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_FOUND}
