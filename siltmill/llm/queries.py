@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmill.llm import neardup
+from siltmill.llm import neardup, pair_defects
 from siltmill.runtime import table
 
 #: What the problem statement of this project's data asks of near-duplicate chunks.
@@ -26,5 +26,10 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_chunk_copies(spark, sf_dir)).select(F.col("key").alias("id"), "cls", "group_id", "n_copies", "n_links")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question-answer pairs that are unusable, with the defect."""
+    return pair_defects.defects(table(spark, sf_dir, "e2e_rows"), ["run_id", "id"], "question", "answer", "category")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_groups)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p4_found)}
