@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmill.llm import neardup, pair_defects
+from siltmill.functions.urls import host
+from siltmill.llm import boilerplate, mixing, neardup, packing, pair_defects, splitting
+from siltmill.llm.tokens import token_count
 from siltmill.runtime import table
 
 #: What the problem statement of this project's data asks of near-duplicate chunks.
@@ -31,5 +33,65 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.defects(table(spark, sf_dir, "e2e_rows"), ["run_id", "id"], "question", "answer", "category")
 
 
+def _chunk_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, sf_dir, "chunks").withColumn("site", host(F.col("url")))
+    return chunks, boilerplate.repeated_lines(chunks, "id", "site", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of chunks that are repeated excessively on their site."""
+    return _chunk_lines(spark, sf_dir)[1]
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk texts without those lines."""
+    chunks, lines = _chunk_lines(spark, sf_dir)
+    return boilerplate.without_lines(chunks.select("id", "text").distinct(), "id", "text", lines)
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    copies = neardup.groups(neardup.near_duplicates(docs, "doc_id", "text")).select(F.col("key").alias("doc_id"), "group_id")
+    sized = docs.select("doc_id", mixing.source_name(F.col("source")).alias("source"), token_count(F.col("text")).alias("n_tokens"))
+    return packing.pack(sized.join(copies, "doc_id", "left"), "doc_id", "n_tokens", "source", "group_id")
+
+
+def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training container of each document, or of each piece of a larger one."""
+    return _packed(spark, sf_dir)
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containers, what they hold and what is left."""
+    return packing.containers(_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", token_count(F.col("text")))
+
+
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is repeated."""
+    return _mixed(spark, sf_dir).selection
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares asked and reached."""
+    return _mixed(spark, sf_dir).shares
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents above the limit."""
+    pieces = splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text", keep_small=False)
+    return pieces.filter("n_pieces > 1").select("doc_id").distinct()
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return splitting.split_oversized(docs, "doc_id", "text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_groups, p4_found)}
+    of = (p2_found, p2_groups, p4_found, p6_found, p6_clean, p7_assignment, p7_containers, p8_selection, p8_shares, p9_found, p9_pieces)
+    return {f.__name__: f for f in of}

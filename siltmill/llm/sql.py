@@ -14,5 +14,17 @@ SELECT DISTINCT id_a, id_b FROM p WHERE common / (na + nb - common) >= 0.6
 """
 
 
+P6_FOUND = r"""
+WITH c AS (SELECT DISTINCT id, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS site, text FROM chunks
+           WHERE text IS NOT NULL AND id IS NOT NULL AND regexp_matches(text, '[^\s\p{Z}]')),
+n AS (SELECT site, count(*) AS n FROM c GROUP BY site),
+l AS (SELECT id, site, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM c),
+k AS (SELECT id, site, text, line_no,
+      trim(regexp_replace(regexp_replace(lower(line), '\p{Nd}+', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS line FROM l),
+e AS (SELECT site, line FROM k JOIN n USING (site) WHERE line <> '' GROUP BY site, line, n HAVING count(DISTINCT (id, text)) >= greatest(8, 0.05 * n))
+SELECT DISTINCT id, CAST(line_no AS INTEGER) AS line_no FROM k SEMI JOIN e USING (site, line)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND}
+    return {"p2_found": P2_FOUND, "p6_found": P6_FOUND}
