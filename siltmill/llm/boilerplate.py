@@ -99,9 +99,9 @@ def repeated_lines(df: DataFrame, key: str, site: str, text: str, least_docs: in
     counted = docs.select("text", "seed").mapInPandas(_chunk_counts, "seed long, chunk long, n long").groupBy("seed", "chunk").agg(F.sum("n").alias("n"))
     often = counted.filter(F.col("n") >= least_docs).join(sizes, "seed").filter("n >= needed")
     cells = 1 << sieve_bits
-    hit = often.select(F.pmod("chunk", F.lit(cells)).cast("int").alias("cell")).distinct().toPandas()["cell"]
+    hit = often.select(F.pmod("chunk", F.lit(cells)).cast("int").alias("cell")).distinct().toArrow()["cell"]
     bitmap = np.zeros(cells, bool)
-    bitmap[hit.to_numpy(np.int64)] = True
+    bitmap[hit.to_numpy()] = True
     sieve = spark.sparkContext.broadcast(np.packbits(bitmap))
 
     kind = dict(df.dtypes)[key]

@@ -37,11 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmill.llm.graph import components
-from siltmill.llm.shingles import Shingler, exact_set
+from siltmill.llm.shingles import BLOCK, HASH_BITS, HASH_MASK, Shingler, exact_set
 from siltmill.runtime import cut
 
-_WORDS = 3  # of 64 sketch bits
 _SIEVE = 1 << 18
+#: The packed order of a text's shingles: text, rank class, the upper bits of the hash.
+_RANK_BITS = 8
+_LOW = HASH_BITS - _RANK_BITS
+_TOKEN_MASK = np.uint64((1 << _LOW) - 1)
 
 
 @dataclass(frozen=True)
@@ -91,12 +94,10 @@ def _scan(texts: DataFrame, k: int, count_bits: int) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, cells = Shingler(k), np.zeros(1 << count_bits, np.int64)
-        for pdf in batches:
-            owner, h, size = shingler.sets(pdf["text"])
-            cells += np.bincount((h & np.uint64((1 << count_bits) - 1)).astype(np.int64), minlength=len(cells))
-            ends = np.cumsum(size)
-            cls = [xxhash.xxh3_64_intdigest(h[e - s : e].tobytes()) for s, e in zip(size, ends, strict=True)]
-            out = pd.DataFrame({"rid": pdf["rid"], "key": pdf["key"], "cls": np.array(cls, np.uint64).view(np.int64), "n": size})
+        for pdf in _blocks(batches):
+            packed, size = shingler.sets(pdf["text"])
+            np.add.at(cells, (packed & np.uint64((1 << count_bits) - 1)).astype(np.int64), 1)
+            out = pd.DataFrame({"rid": pdf["rid"], "key": pdf["key"], "cls": _classes(packed, size).view(np.int64), "n": size})
             yield _two_kinds(out[size > 0], None)
         at = np.nonzero(cells)[0]
         for i in range(0, len(at), 1 << 16):
@@ -106,6 +107,20 @@ def _scan(texts: DataFrame, k: int, count_bits: int) -> DataFrame:
     return texts.mapInPandas(scan, f"rid long, key {kind}, cls long, cell int, n long")
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i in range(0, len(pdf), BLOCK):
+            yield pdf.iloc[i : i + BLOCK].reset_index(drop=True)
+
+
+def _classes(packed: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each text's set; 0 where it is empty."""
+    h = packed & HASH_MASK
+    ends = np.cumsum(size)
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(h[e - n : e].tobytes()) if n else 0 for n, e in zip(size.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
 def _two_kinds(docs: pd.DataFrame | None, cells: pd.DataFrame | None) -> pd.DataFrame:
     if docs is not None:
         out = docs.assign(cell=pd.array([None] * len(docs), dtype="Int32"))
@@ -121,9 +136,9 @@ def _order_table(counts: DataFrame, count_bits: int) -> np.ndarray:
     Of fixed size, 2**count_bits bytes at most, whatever the corpus.
     """
     rank = F.when(F.col("n") == 1, 1).otherwise(F.least(F.lit(255), F.ceil(F.log2("n") * 8) + 1))
-    rows = counts.select("cell", rank.cast("short").alias("rank")).toPandas()
+    rows = counts.select("cell", rank.cast("short").alias("rank")).toArrow()
     table = np.zeros(1 << count_bits, np.uint8)
-    table[rows["cell"].to_numpy(np.int64)] = rows["rank"].to_numpy(np.uint8)
+    table[rows["cell"].to_numpy()] = rows["rank"].to_numpy()
     return table
 
 
@@ -134,27 +149,27 @@ def _postings(texts: DataFrame, k: int, t: float, count_bits: int, block: int, p
         shingler, seen, table = Shingler(k), set(), order.value
         mask = np.uint64((1 << count_bits) - 1)
         hot = min(255, math.ceil(math.log2(block) * 8) + 1)
-        for pdf in batches:
-            owner, h, size = shingler.sets(pdf["text"])
-            ends = np.cumsum(size)
+        for pdf in _blocks(batches):
+            packed, size = shingler.sets(pdf["text"])
+            cls = _classes(packed, size)
             keep = np.zeros(len(size), bool)
-            cls = np.zeros(len(size), np.uint64)
-            for i in np.nonzero(size)[0]:
-                c = cls[i] = xxhash.xxh3_64_intdigest(h[ends[i] - size[i] : ends[i]].tobytes())
-                keep[i] = c not in seen
-                seen.add(c)
+            for i, c in enumerate(cls.tolist()):
+                if size[i] and c not in seen:
+                    keep[i] = True
+                    seen.add(c)
             if not keep.any():
                 continue
-            use = keep[owner]
-            owner, h = owner[use], h[use]
-            sketch = _sketches(owner, h, len(size))
-            rank = table[(h & mask).astype(np.int64)]
-            at = np.lexsort((h, rank, owner))
-            owner, h, rank = owner[at], h[at], rank[at]
-            n = np.bincount(owner, minlength=len(size))
+            packed = packed[keep[(packed >> np.uint64(HASH_BITS)).astype(np.int64)]]
+            n = np.where(keep, size, 0)
+            level, sketch, sketch_at = _sketches(packed, n)
+            h = packed & HASH_MASK
+            rank = table[(h & mask).astype(np.int64)].astype(np.uint64)
+            key = np.sort((packed & ~HASH_MASK) | (rank << np.uint64(_LOW)) | (h >> np.uint64(_RANK_BITS)))
+            owner = (key >> np.uint64(HASH_BITS)).astype(np.int64)
+            rank = ((key >> np.uint64(_LOW)) & np.uint64(255)).astype(np.int64)
             pos = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
             prefix = (pos < (n - _ceil(t * n) + 1)[owner]) & (rank > 1)
-            owner, h, rank, pos = owner[prefix], h[prefix], rank[prefix], pos[prefix]
+            owner, h, rank, pos = owner[prefix], key[prefix] & _TOKEN_MASK, rank[prefix], pos[prefix]
             side = np.full(len(h), 2, np.uint8)
             if (rank > hot).any():
                 owner, h, pos, side = _divide(owner, h, rank, pos, side, cls, hot, block)
@@ -166,7 +181,8 @@ def _postings(texts: DataFrame, k: int, t: float, count_bits: int, block: int, p
                 i = by[cuts[p] : cuts[p + 1]]
                 if len(i):
                     own, local = np.unique(owner[i], return_inverse=True)
-                    rows.append((p, _pack(cls[own], n[own], sketch[own], h[i], local, pos[i], side[i])))
+                    bits = _gather(sketch, sketch_at[own], 2 << level[own])
+                    rows.append((p, _pack(cls[own], n[own], level[own], bits, h[i], local, pos[i], side[i])))
             yield pd.DataFrame(rows, columns=["part", "packed"])
 
     return texts.mapInPandas(emit, "part int, packed binary")
@@ -188,31 +204,75 @@ def _divide(owner, h, rank, pos, side, cls, hot, block):  # noqa: ANN001, ANN202
     return join(owner, owner[many][src]), join(h, mixed), join(pos, pos[many][src]), join(side, new_side)
 
 
-def _sketches(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """Parity sketches: bit i is whether an odd number of the set's shingles hash to i."""
-    bits = _WORDS * 64
-    bit = ((h >> np.uint64(40)) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(owner * bits + bit, minlength=texts * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(texts, bits), axis=1).view(np.uint64)
+def _gather(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of ``count`` values from each ``start`` on, one after the other."""
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return values[np.repeat(start, count) + place]
+
+
+def _sketches(packed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level, words, start): a parity sketch for each text, of 2 << level words from start on.
+
+    Bit i tells whether an odd number of the set's shingles hash to i. The level rises with the size of the set. A
+    sketch folds to a lower level by xor of its halves.
+    """
+    level = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 84))).astype(np.int64)
+    words = 2 << level
+    start = np.cumsum(words) - words
+    owner = (packed >> np.uint64(HASH_BITS)).astype(np.int64)
+    bit = ((packed & HASH_MASK) >> np.uint64(8)).astype(np.int64) & (64 * words - 1)[owner]
+    odd = (np.bincount(64 * start[owner] + bit, minlength=64 * int(words.sum())) & 1).astype(np.uint8)
+    return level, np.packbits(odd).view(np.uint64), start
 
 
-def _pack(cls, n, sketch, h, local, pos, side) -> bytes:  # noqa: ANN001
-    """Texts: class, size, sketch; postings: 32 bits of the shingle, text, position, side."""
+def _pack(cls, n, level, sketch, h, local, pos, side) -> bytes:  # noqa: ANN001
+    """Texts: class, size, level, sketch; postings: 32 bits of the shingle, text, position, side."""
     wide = int(max(n.max(initial=0), len(cls)) >= 1 << 16)
     small = np.uint32 if wide else np.uint16
     return b"".join(
-        (struct.pack("<IIB", len(cls), len(h), wide), cls.tobytes(), sketch.tobytes(), n.astype(small).tobytes(), h.astype(np.uint32).tobytes(), local.astype(small).tobytes(), pos.astype(small).tobytes(), side.tobytes())
+        (struct.pack("<IIIB", len(cls), len(h), len(sketch), wide), cls.tobytes(), sketch.tobytes(), level.astype(np.uint8).tobytes(), n.astype(small).tobytes(), h.astype(np.uint32).tobytes(), local.astype(small).tobytes(), pos.astype(small).tobytes(), side.tobytes())
     )
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    texts, posts, wide = struct.unpack_from("<IIB", blob)
-    at, out, small = 9, [], np.uint32 if wide else np.uint16
-    for kind, count in ((np.uint64, texts), (np.uint64, texts * _WORDS), (small, texts), (np.uint32, posts), (small, posts), (small, posts), (np.uint8, posts)):
+    texts, posts, words, wide = struct.unpack_from("<IIIB", blob)
+    at, out, small = 13, [], np.uint32 if wide else np.uint16
+    for kind, count in ((np.uint64, texts), (np.uint64, words), (np.uint8, texts), (small, texts), (np.uint32, posts), (small, posts), (small, posts), (np.uint8, posts)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += count * np.dtype(kind).itemsize
-    cls, sketch, n, h, local, pos, side = out
-    return cls, sketch.reshape(texts, _WORDS), n.astype(np.int32), h, local.astype(np.int32), pos.astype(np.int32), side
+    cls, sketch, level, n, h, local, pos, side = out
+    return cls, sketch, level.astype(np.int64), n.astype(np.int32), h, local.astype(np.int32), pos.astype(np.int32), side
+
+
+class _Distance:
+    """Lower bounds of the distances of sets, from their sketches folded to the lower level of the two."""
+
+    def __init__(self, sketch: np.ndarray, level: np.ndarray) -> None:
+        start = np.cumsum(2 << level) - (2 << level)
+        self.level = level
+        self.row: dict[int, np.ndarray] = {}
+        self.bits: dict[int, np.ndarray] = {}
+        above = np.zeros(0, np.int64), np.zeros((0, 0), np.uint64)
+        for x in range(int(level.max()), -1, -1):
+            words = 2 << x
+            own = np.nonzero(level == x)[0]
+            mine = sketch[(start[own][:, None] + np.arange(words)[None, :])] if len(own) else np.zeros((0, words), np.uint64)
+            folded = above[1].reshape(-1, 2, words) if len(above[0]) else np.zeros((0, 2, words), np.uint64)
+            who = np.concatenate([above[0], own])
+            bits = np.concatenate([folded[:, 0] ^ folded[:, 1], mine])
+            row = np.full(len(level), -1, np.int64)
+            row[who] = np.arange(len(who))
+            self.row[x], self.bits[x] = row, bits
+            above = who, bits
+
+    def between(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int32)
+        low = np.minimum(self.level[x], self.level[y])
+        for v in np.unique(low):
+            at = np.nonzero(low == v)[0]
+            row, bits = self.row[int(v)], self.bits[int(v)]
+            out[at] = np.bitwise_count(bits[row[x[at]]] ^ bits[row[y[at]]]).sum(axis=1, dtype=np.int32)
+        return out
 
 
 def _joiner(t: float):  # noqa: ANN202
@@ -225,18 +285,26 @@ def _joiner(t: float):  # noqa: ANN202
             return
         base = np.cumsum([0] + [len(f[0]) for f in found])
         cls, first, same = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
-        sketch = np.concatenate([f[1] for f in found])[first]
-        n = np.concatenate([f[2] for f in found])[first]
-        token = np.concatenate([f[3] for f in found])
-        doc = same[np.concatenate([f[4] + b for f, b in zip(found, base, strict=False)])].astype(np.int32)
-        pos = np.concatenate([f[5] for f in found])
-        side = np.concatenate([f[6] for f in found])
+        n = np.concatenate([f[3] for f in found])[first]
+        # Texts are numbered by size, so the postings of a shingle come by size too.
+        by_size = np.argsort(n, kind="stable")
+        number = np.empty(len(n), np.int64)
+        number[by_size] = np.arange(len(n))
+        cls, n, first = cls[by_size], n[by_size], first[by_size]
+        words = 2 << np.concatenate([f[2] for f in found])
+        sketch = _gather(np.concatenate([f[1] for f in found]), (np.cumsum(words) - words)[first], words[first])
+        distance = _Distance(sketch, np.concatenate([f[2] for f in found])[first])
+        doc = number[same[np.concatenate([f[5] + b for f, b in zip(found, base, strict=False)])]]
+        key = (np.concatenate([f[4] for f in found]).astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64)
+        pos = np.concatenate([f[6] for f in found])
+        side = np.concatenate([f[7] for f in found])
         del found
-        at = np.lexsort((doc, n[doc], token))
-        token, doc, pos, side = token[at], doc[at], pos[at], side[at]
+        at = np.argsort(key)
+        key, pos, side = key[at], pos[at], side[at]
         new = np.ones(len(at), bool)
-        new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]) | (side[1:] != side[:-1])
-        token, doc, pos, side = token[new], doc[new], pos[new], side[new]
+        new[1:] = (key[1:] != key[:-1]) | (side[1:] != side[:-1])
+        key, pos, side = key[new], pos[new], side[new]
+        token, doc = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int32)
         size = n[doc]
         left = (size - pos).astype(np.float32)
         divided = bool((side != 2).any())
@@ -255,7 +323,7 @@ def _joiner(t: float):  # noqa: ANN202
             if divided:
                 ok &= (side[active] == 2) | (side[active] != side[b])
             x, y = doc[active[ok]], doc[b[ok]]
-            far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int32)
+            far = distance.between(x, y)
             near = (n[x] + n[y] - far) // 2 >= _ceil(share * (n[x] + n[y]))
             if near.any():
                 keep.append(np.stack([x[near], y[near]], axis=1))
