@@ -148,9 +148,16 @@ def round_robin(lists: DataFrame, question: str, list_no: str, rank: str, id_: s
 
 def hashed_vector(text: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed hashed counts of words, not normalised."""
+
+    def spread(cells: pd.Series) -> pd.Series:
+        out = []
+        for c in cells:
+            n = np.bincount(np.asarray(c, dtype=np.int64), minlength=2 * dims) if c is not None and len(c) else np.zeros(2 * dims)
+            out.append((n[:dims] - n[dims:]).astype(np.float32))
+        return pd.Series(out, index=cells.index)
+
     cells = F.transform(index_tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dims)))
-    one = lambda i: F.size(F.filter(cells, lambda c: c == i)) - F.size(F.filter(cells, lambda c: c == i + dims))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: one(i).cast("float"))
+    return F.pandas_udf(spread, T.ArrayType(T.FloatType()))(cells)
 
 
 def missing_vectors(texts: DataFrame, text: str, cache: DataFrame, model: str) -> DataFrame:
