@@ -2,8 +2,8 @@
 
 Each source may contribute its size times its cap. Sources whose target share of the total exceeds that are clamped
 at it, their excess weight goes to the others in proportion to their targets, and so on until none exceeds its cap.
-A source's goal is then a number of whole passes over it and a part of one more. The part is drawn by a seeded hash
-of the key: all records whose hash lies below the threshold at which the sizes add up to the part.
+A source's goal is then a number of whole passes over it and a part of one more. The part is drawn in the order of a
+seeded hash of the key, up to the threshold at which the sizes add up to it.
 
 The total, unless given, is the largest at which every source with records meets its share exactly, but at least half
 of one pass over all of them.
@@ -87,18 +87,13 @@ def mix(df: DataFrame, targets: DataFrame, key: str, source: str, size: Column,
     plan = spark.createDataFrame(plan_rows, plan_schema)
 
     h = F.xxhash64(F.lit(seed), F.col("key"), F.col("source"))
-    drawn = sized.withColumn("hi", F.pmod(h, F.lit(1 << _BITS)).cast("int")).withColumn("lo", F.pmod(F.shiftright(h, _BITS), F.lit(1 << _BITS)).cast("int"))
-    first = _threshold(drawn.groupBy("source", "hi").agg(F.sum("size").alias("n")), "hi", plan.select("source", F.col("part").alias("need")))
-    inner = drawn.join(F.broadcast(first.select("source", "hi", "need")), ["source", "hi"])
-    second = _threshold(inner.groupBy("source", "lo").agg(F.sum("size").alias("n")), "lo", first.select("source", "need"), nearest=True)
-    edge = plan.select("source", "whole").join(first.select("source", F.col("hi").alias("edge_hi")), "source", "left").join(
-        second.select("source", F.col("lo").alias("edge_lo"), "take"), "source", "left"
+    cells = sized.withColumn("hi", F.pmod(h, F.lit(1 << _BITS)).cast("int")).withColumn("lo", F.pmod(F.shiftright(h, _BITS), F.lit(1 << _BITS)).cast("int"))
+    extra = _draw(cells, plan.select("source", F.col("part").alias("need"), F.col("goal"), (F.col("max_repeats") - F.col("whole")).alias("most")))
+    selection = (
+        extra.join(F.broadcast(plan.select("source", "whole")), "source")
+        .select("key", "source", "size", (F.col("whole") + F.col("extra")).alias("repeats"))
+        .filter("repeats > 0")
     )
-    with_edge = drawn.join(F.broadcast(edge), "source")
-    extra = (F.col("hi") < F.col("edge_hi")) | (
-        (F.col("hi") == F.col("edge_hi")) & ((F.col("lo") < F.col("edge_lo")) | ((F.col("lo") == F.col("edge_lo")) & F.col("take")))
-    )
-    selection = with_edge.select("key", "source", "size", (F.col("whole") + F.coalesce(extra, F.lit(False)).cast("int")).alias("repeats")).filter("repeats > 0")
     reached = selection.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     shares = plan.join(reached, "source", "left").select(
         "source", "target_share", "max_repeats", "available", F.col("goal").alias("goal_tokens"),
@@ -108,13 +103,40 @@ def mix(df: DataFrame, targets: DataFrame, key: str, source: str, size: Column,
     return Mix(selection.withColumnRenamed("key", key), shares)
 
 
-def _threshold(cells: DataFrame, cell: str, need: DataFrame, nearest: bool = False) -> DataFrame:
-    """For each source the cell in which the running size passes what is needed, and what is needed within it.
+def _draw(cells: DataFrame, need: DataFrame, rounds: int = 3, more: int = 5, short: float = 0.005) -> DataFrame:
+    """``cells`` with ``extra``, so that sizes times extra add up to what each source needs, never to more.
 
-    A source has at most 4,096 cells, whatever its rows. ``take`` tells whether taking the whole cell comes nearer.
+    A round takes, in order of hash, one more of all records up to the one that would be too much. What is then still
+    needed is drawn from the other records that are small enough, so one very large record does not leave a source
+    short. If a source still lacks more than ``short`` of its goal after ``rounds``, as the records left are too large,
+    smaller ones are taken once more, up to the cap.
+    """
+    now = cells.withColumn("extra", F.lit(0))
+    for i in range(rounds + more):
+        if i >= rounds and not need.filter(F.col("need") > short * F.col("goal")).take(1):
+            break
+        most = F.least(F.col("most"), F.lit(1)) if i < rounds else F.col("most")
+        joined = now.join(F.broadcast(need.withColumn("most", most)), "source")
+        open_ = joined.filter((F.col("extra") < F.col("most")) & (F.col("size") <= F.col("need")))
+        hi = _edge(open_.groupBy("source", "hi").agg(F.sum("size").alias("n")), "hi", need.select("source", "need"))
+        inner = open_.select("source", "hi", "lo", "size").join(F.broadcast(hi), ["source", "hi"]).groupBy("source", "lo").agg(F.sum("size").alias("n"))
+        lo = _edge(inner, "lo", hi.select("source", "need"))
+        edge = hi.select("source", F.col("hi").alias("e_hi")).join(lo.select("source", F.col("lo").alias("e_lo")), "source", "left")
+        below = F.col("e_hi").isNull() | (F.col("hi") < F.col("e_hi")) | ((F.col("hi") == F.col("e_hi")) & (F.col("e_lo").isNull() | (F.col("lo") < F.col("e_lo"))))
+        take = (F.col("extra") < F.col("most")) & (F.col("size") <= F.col("need")) & below
+        taken = cut(joined.join(F.broadcast(edge), "source", "left").select(*cells.columns, "extra", F.coalesce(take, F.lit(False)).cast("int").alias("now")))
+        got = taken.groupBy("source").agg(F.sum(F.col("size") * F.col("now")).alias("got"))
+        need = cut(need.join(got, "source", "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), "goal", "most"))
+        now = taken.select(*cells.columns, (F.col("extra") + F.col("now")).alias("extra"))
+    return now
+
+
+def _edge(cells: DataFrame, cell: str, need: DataFrame) -> DataFrame:
+    """For each source the first cell in which the running size passes what is needed, and what is needed within it.
+
+    A source whose cells all fit has no row. It has at most 4,096 cells, whatever its rows.
     """
     run = F.sum("n").over(Window.partitionBy("source").orderBy(cell))
-    summed = cells.withColumn("run", run).join(F.broadcast(need), "source").filter((F.col("need") > 0) & (F.col("run") >= F.col("need") - 1e-6))
-    found = summed.groupBy("source").agg(F.min(F.struct(cell, "run", "n", "need")).alias("c"))
-    rest = F.col("c.need") - (F.col("c.run") - F.col("c.n"))
-    return found.select("source", F.col(f"c.{cell}").alias(cell), rest.alias("need"), (rest * 2 >= F.col("c.n")).alias("take"))
+    over = cells.withColumn("run", run).join(F.broadcast(need), "source").filter(F.col("run") > F.col("need") + 1e-6)
+    first = over.groupBy("source").agg(F.min(F.struct(cell, "run", "n", "need")).alias("c"))
+    return first.select("source", F.col(f"c.{cell}").alias(cell), (F.col("c.need") - (F.col("c.run") - F.col("c.n"))).alias("need"))

@@ -1,6 +1,6 @@
 """Fill containers of fixed capacity: conflict-constrained best fit.
 
-Items go in by falling size. Open bins are kept by the room they have left, each with a bitmap of the sources and one
+Items go in by falling size, those of a duplicate cluster large enough to touch most bins first. Open bins are kept by the room they have left, each with a bitmap of the sources and one
 of the duplicate clusters in it. The successor search starts at the tightest bin that holds the item and goes on to
 looser ones until a compatible one is found. Two members of a duplicate cluster never share a bin. Two items of one
 source avoid each other too, but only as long as a bin without that source has room: where one source holds much of the data,
@@ -28,7 +28,7 @@ from siltmill.runtime import cut
 
 
 def best_fit(items: Iterable[tuple[int, int, int]], capacity: int) -> list[int]:
-    """The bin of each item (size, source, cluster), which come by falling size.
+    """The bin of each item (size, source, cluster), in the order given; falling size fills best.
 
     Source and cluster are small numbers from 0, bits of a bitmap; -1 is none and conflicts with nothing.
     Bins that an item's cluster excludes are set aside as long as items of the same size and cluster follow, so a run
@@ -116,7 +116,10 @@ def pack(df: DataFrame, key: str, size: str, source: str, cluster: str, capacity
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "cluster", "key", "i"], ascending=[False, True, True, True], kind="stable")
+        # A cluster with members for more than half of the bins goes first, else its last members find no bin without it.
+        members = pdf["cluster"].map(pdf["cluster"].value_counts()).fillna(0)
+        pdf = pdf.assign(later=members * capacity <= pdf["size"].sum() / 2)
+        pdf = pdf.sort_values(["later", "size", "cluster", "key", "i"], ascending=[True, False, True, True, True], kind="stable")
         own = pdf["cluster"].where(pdf.duplicated("cluster", keep=False) & pdf["cluster"].notna())
         codes = zip(pdf["size"].tolist(), pd.factorize(pdf["source"])[0].tolist(), pd.factorize(own)[0].tolist(), strict=True)
         base = int(pdf["shard"].iloc[0]) << 32

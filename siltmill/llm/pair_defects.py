@@ -114,8 +114,8 @@ def language(text: Column, least: int = 2) -> Column:
     return F.when((best["n"] >= least) & (best["n"] >= 2 * second["n"]), best["code"])
 
 
-def shortened(texts: DataFrame, least: int = 20, more: int = 10) -> DataFrame:
-    """(text): the texts of ``least`` characters or more with which a text longer by ``more`` begins.
+def shortened(texts: DataFrame, least: int = 20) -> DataFrame:
+    """(text): the texts of ``least`` characters or more with which another text begins.
 
     ``texts`` is one column of distinct texts. They are range-partitioned and sorted; each is compared with the next
     in one streaming pass. The last of a partition is compared with the first of the next one: a row for each
@@ -129,7 +129,7 @@ def shortened(texts: DataFrame, least: int = 20, more: int = 10) -> DataFrame:
             for text, part in zip(pdf["text"], pdf["pid"], strict=True):
                 if last is None:
                     out.append((part, "head", text))
-                elif len(last) >= least and len(text) >= len(last) + more and text.startswith(last):
+                elif len(last) >= least and text.startswith(last):
                     out.append((part, "short", last))
                 last, pid = text, part
             yield pd.DataFrame(out, columns=["pid", "kind", "text"])
@@ -142,7 +142,7 @@ def shortened(texts: DataFrame, least: int = 20, more: int = 10) -> DataFrame:
     edges = found.filter("kind <> 'short'").withColumn("order", F.when(F.col("kind") == "head", 0).otherwise(1))
     after = F.lead("text").over(Window.orderBy("pid", "order"))  # two rows for each partition
     tails = edges.withColumn("after", after).filter("kind = 'tail'")
-    tails = tails.filter((F.length("text") >= least) & (F.length("after") >= F.length("text") + more) & F.startswith("after", "text"))
+    tails = tails.filter((F.length("text") >= least) & F.startswith("after", "text"))
     return found.filter("kind = 'short'").select("text").unionByName(tails.select("text"))
 
 
@@ -171,7 +171,7 @@ def defects(df: DataFrame, key: list[str], question: str, answer: str, category:
         .when(refusal, "refusal")
     )
     judged = rows.withColumn("_d", first).withColumn("_e", F.when(F.col("_d").isNull(), ending(b)))
-    stem = F.regexp_replace(b, rf"(?:{CITATION})+\s*$", "")
+    stem = F.regexp_replace(b, rf"(?:{CITATION}|[\s.!?…])+$", "")
     judged = cut(judged.withColumn("_s", stem).withColumn("_l", F.length("_b")))
     short = shortened(judged.filter("_d is null").select(F.col("_s").alias("text")).distinct()).withColumn("_short", F.lit(True))
     spikes = length_spikes(judged.filter("_e <> 'proper'").select(F.col("_l").alias("length"))).withColumn("_spike", F.lit(True))

@@ -59,30 +59,37 @@ def split_text(text: str, limit: int, overlap: int, min_fill: float = 0.5, vocab
             i -= 1
         return i
 
+    low = 0  # the token after the last piece
     while True:
         room, end, kind = limit, n, "end"
         while True:
             if n - s > room:
-                end, kind = _end(at, s, room, overlap, min_fill)
+                end, kind = _end(at, s, room, low, min_fill)
                 end = aligned(end)
+                if end <= low:  # an overlap leaves no room for more text: go without
+                    if s == low:
+                        end = next(i for i in range(low + 1, n + 1) if whole[i])
+                    else:
+                        s, room, end, kind = low, limit, n, "end"
+                        continue
             a, b = to_char(off[s]), to_char(off[end])
             tokens = count(text[a:b])
-            if tokens <= limit:
+            if tokens <= limit or (s == low and not whole[s + 1 : end].any()):
                 break
             room = min(room, end - s) - max(1, tokens - limit)  # a cut within a word can give other tokens
         out.append((a, b, tokens, kind))
         if end == n:
             return out
         back = aligned(max(end - overlap, 0))
-        s = back if back > s else end
+        s, low = (back if back > s else end), end
 
 
-def _end(at: list[np.ndarray], s: int, room: int, overlap: int, min_fill: float) -> tuple[int, str]:
-    """The token before which a piece that starts at s ends, and the kind of boundary."""
+def _end(at: list[np.ndarray], s: int, room: int, low: int, min_fill: float) -> tuple[int, str]:
+    """The token before which a piece that starts at s and goes beyond low ends, and the kind of boundary."""
     top, best, best_kind = s + room, -1, ""
     for (kind, _), places in zip(BOUNDARIES, at, strict=True):
         i = int(np.searchsorted(places, top, "right")) - 1
-        if i >= 0 and places[i] > s + overlap:
+        if i >= 0 and places[i] > low:
             if places[i] - s >= min_fill * room:
                 return int(places[i]), kind
             if places[i] > best:
