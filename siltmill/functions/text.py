@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ QUESTION_CUT = (
 )
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is evaluated once, however often ``make`` uses it in its own lambdas."""
+    return F.transform(F.array(value), make)[0]
+
+
 def is_blank(text: Column) -> Column:
     """Null, or nothing but white space and invisible characters."""
     return text.isNull() | text.rlike(r"^[\s\p{Z}\p{C}]*$")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmill.functions.text import norm_text, split_words
+from siltmill.functions.text import bound, norm_text, split_words
 
 #: Fixed value: a heading line.
 HEADING = r"^(#{1,4})\s+(.*)$"
@@ -18,31 +18,32 @@ def sections(text: Column) -> Column:
 
     A heading of level n replaces the path from its n-th place on; a skipped level leaves no gap, so headings of one
     level may nest. Sections with a blank body are left out, their headings stay on the path. Everything happens
-    within the row: lines fold into sections by one aggregate, without a shuffle.
+    within the row, without a shuffle: only the headings are folded, bodies are slices of the lines between them.
     """
-    state = "struct<done:array<struct<path:array<string>,lines:array<string>>>,path:array<string>,lines:array<string>>"
-    start = F.struct(
-        F.array().cast("array<struct<path:array<string>,lines:array<string>>>").alias("done"),
-        F.array().cast("array<string>").alias("path"),
-        F.array().cast("array<string>").alias("lines"),
-    ).cast(state)
-
-    def closed(acc: Column) -> Column:
-        return F.concat(acc["done"], F.array(F.struct(acc["path"].alias("path"), acc["lines"].alias("lines"))))
-
-    def step(acc: Column, line: Column) -> Column:
-        marks = F.length(F.regexp_extract(line, HEADING, 1))
-        title = F.trim(F.regexp_extract(line, HEADING, 2))
-        path = F.concat(F.slice(acc["path"], F.lit(1), F.least(F.size(acc["path"]), marks - 1)), F.array(title))
-        opened = F.struct(closed(acc).alias("done"), path.alias("path"), F.array().cast("array<string>").alias("lines"))
-        kept = F.struct(acc["done"].alias("done"), acc["path"].alias("path"), F.concat(acc["lines"], F.array(line)).alias("lines"))
-        return F.when(line.rlike(HEADING), opened).otherwise(kept).cast(state)
-
-    folded = F.aggregate(F.split(F.coalesce(text, F.lit("")), LINE_END), start, step, closed)
-    bodies = F.transform(
-        folded, lambda x: F.struct(F.array_join(x["path"], " > ").alias("heading_path"), F.trim(F.array_join(x["lines"], "\n")).alias("body"))
-    )
-    kept = F.filter(bodies, lambda x: x["body"].rlike(r"[^\s\p{Z}]"))
+    return bound(F.split(F.coalesce(text, F.lit("")), LINE_END), _sections)
+
+
+def _sections(lines: Column) -> Column:
+    marks = F.transform(lines, lambda x, i: F.when(x.rlike(HEADING), F.struct(i.alias("at"), x.alias("line"))))
+    heads = F.filter(marks, lambda x: x.isNotNull())
+    paths = "array<struct<at:int,path:array<string>>>"
+    start = F.array(F.struct(F.lit(-1).alias("at"), F.array().cast("array<string>").alias("path"))).cast(paths)
+
+    def step(acc: Column, h: Column) -> Column:
+        before = F.element_at(acc, -1)["path"]
+        level = F.length(F.regexp_extract(h["line"], HEADING, 1))
+        path = F.concat(F.slice(before, F.lit(1), F.least(F.size(before), level - 1)), F.array(F.trim(F.regexp_extract(h["line"], HEADING, 2))))
+        return F.concat(acc, F.array(F.struct(h["at"].alias("at"), path.alias("path")))).cast(paths)
+
+    def cut(opened: Column) -> Column:
+        def body(x: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(opened, i + 1)["at"], F.size(lines))
+            own = F.slice(lines, x["at"] + 2, end - x["at"] - 1)
+            return F.struct(F.array_join(x["path"], " > ").alias("heading_path"), F.trim(F.array_join(own, "\n")).alias("body"))
+
+        return F.transform(opened, body)
+
+    kept = F.filter(bound(F.aggregate(heads, start, step), cut), lambda x: x["body"].rlike(r"[^\s\p{Z}]"))
     return F.transform(kept, lambda x, i: F.struct(i.alias("s"), x["heading_path"].alias("heading_path"), x["body"].alias("body")))
 
 
@@ -57,10 +58,12 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 
 def windows(words: Column, size: int = 180, overlap: int = 30) -> Column:
     """An array of (start, piece)."""
-    return F.transform(
-        window_starts(F.size(words), size, overlap),
-        lambda st: F.struct(st.alias("start"), F.array_join(F.slice(words, st + 1, F.lit(size)), " ").alias("piece")),
-    )
+
+    def cut(w: Column) -> Column:
+        piece = lambda st: F.array_join(F.slice(w, st + 1, F.lit(size)), " ")
+        return F.transform(window_starts(F.size(w), size, overlap), lambda st: F.struct(st.alias("start"), piece(st).alias("piece")))
+
+    return bound(words, cut)
 
 
 def page_sections(pages: DataFrame, key: str, text: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltmill.functions.text import index_tokens
+from siltmill.runtime import cut
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -71,25 +72,70 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def bm25(queries: DataFrame, query_id: str, query: str, corpus: DataFrame, id_: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, query_id: str, query: str, corpus: DataFrame, id_: str, text: str, k: int, k1: float = 1.5, b: float = 0.75, block: int = 8192) -> DataFrame:
     """(query_id, id, score, rank): Okapi scores above zero, the k best of each query, ties by id.
 
     Query terms are a set. Postings are restricted to the terms that any query has before they are scored; counts and
-    lengths are over all texts.
+    lengths are over all texts. Scores are added up block by block, ``block`` texts against ``block`` queries, and only
+    the k best of a block leave it, so a term that everything has makes no hot join key. Texts are numbered in order
+    of id, so ties go by number.
     """
-    docs = corpus.select(F.col(id_).alias("id"), index_tokens(F.col(text)).alias("t")).withColumn("len", F.size("t"))
+    numbered = cut(corpus.select(F.col(id_).alias("id"), index_tokens(F.col(text)).alias("t")).filter("id is not null").orderBy("id").withColumn("no", F.monotonically_increasing_id()))
+    asked = cut(queries.select(F.col(query_id).alias("q"), index_tokens(F.col(query)).alias("t")).withColumn("qn", F.monotonically_increasing_id()))
+    docs = numbered.select("no", "t", F.size("t").alias("len"))
     stats = docs.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("len").alias("avg_len"))
-    terms = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(index_tokens(F.col(query)))).alias("term"))
-    wanted = terms.select("term").distinct()
-    tf = docs.select("id", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = asked.select(F.explode("t").alias("term")).distinct()
+    tf = docs.select("no", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "no", "len").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = tf.join(df_, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avg_len"))
-    weighted = scored.select("term", "id", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    sums = terms.join(weighted, "term").groupBy("q", "id").agg(F.sum("w").alias("score")).filter("score > 0")
-    best = top(sums, ["q"], [F.desc(F.round("score", 9)), F.asc("id")], k)
-    return best.select(F.col("q").alias(query_id), F.col("id").alias(id_), "score", "rank")
+    weighted = scored.select("term", "no", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
+    size = numbered.count()
+    postings = (
+        weighted.withColumn("block", F.pmod(F.xxhash64("no"), F.lit(max(1, math.ceil(size / block)))))
+        .groupBy("block")
+        .agg(F.collect_list(F.struct("term", "no", "w")).alias("p"))
+        .select(F.col("p.term").alias("terms"), F.col("p.no").alias("nos"), F.col("p.w").alias("ws"))
+    )
+    asking = (
+        asked.filter(F.size("t") > 0)
+        .withColumn("block", F.pmod(F.xxhash64("qn"), F.lit(max(1, math.ceil(asked.count() / block)))))
+        .groupBy("block")
+        .agg(F.collect_list(F.struct("qn", F.array_distinct("t").alias("t"))).alias("q"))
+        .select(F.col("q.qn").alias("qns"), F.col("q.t").alias("ts"))
+    )
+    found = postings.crossJoin(asking).mapInPandas(_block_scores(k), "qn long, no long, score double")  # block by block
+    best = top(found, ["qn"], [F.desc(F.round("score", 9)), F.asc("no")], k)
+    named = best.join(numbered.select("no", "id"), "no").join(asked.select("qn", "q"), "qn")
+    return named.select(F.col("q").alias(query_id), F.col("id").alias(id_), "score", "rank")
+
+
+def _block_scores(k: int):  # noqa: ANN202
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for terms, nos, ws, qns, ts in zip(pdf["terms"], pdf["nos"], pdf["ws"], pdf["qns"], pdf["ts"], strict=True):
+                code, names = pd.factorize(np.asarray(terms, dtype=object))
+                docs, at = np.unique(np.asarray(nos, np.int64), return_inverse=True)
+                order = np.argsort(code, kind="stable")
+                at, w = at[order], np.asarray(ws, float)[order]
+                cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
+                place = {n: i for i, n in enumerate(names)}
+                out = []
+                for qn, t in zip(qns, ts, strict=True):
+                    s = np.zeros(len(docs))
+                    for i in sorted(place[x] for x in t if x in place):
+                        s[at[cuts[i] : cuts[i + 1]]] += w[cuts[i] : cuts[i + 1]]
+                    hit = np.nonzero(s > 0)[0]
+                    if len(hit) > k:
+                        least = np.partition(s[hit], len(hit) - k)[len(hit) - k]
+                        hit = hit[s[hit] >= least - 1e-8]
+                    best = hit[np.lexsort((docs[hit], -np.round(s[hit], 9)))][:k]
+                    out.append(pd.DataFrame({"qn": np.full(len(best), qn, np.int64), "no": docs[best], "score": s[best]}))
+                if out:
+                    yield pd.concat(out)
+
+    return score
 
 
 def pool(dense: DataFrame, sparse: DataFrame, by: list[str], id_: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmill.functions.text import norm_text, quote_fragments
+from siltmill.functions.text import bound, quote_fragments
 from siltmill.functions.urls import match_url
 
 
@@ -25,7 +25,7 @@ def quote_rank(quote: Column, normal_texts: Column) -> Column:
 
 
 def quote_ranks(quotes: Column, normal_texts: Column) -> Column:
-    return F.transform(quotes, lambda q: quote_rank(q, normal_texts))
+    return bound(normal_texts, lambda t: F.transform(quotes, lambda q: quote_rank(q, t)))
 
 
 def url_rank(urls: Column, wanted: Column) -> Column:
