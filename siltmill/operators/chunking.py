@@ -10,7 +10,7 @@ from siltmill.functions.text import bound, norm_text, split_words
 #: Fixed value: a heading line.
 HEADING = r"^(#{1,4})\s+(.*)$"
 #: What ends a line of a page text.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def sections(text: Column) -> Column:

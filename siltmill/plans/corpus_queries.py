@@ -127,6 +127,28 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.page_sections(docs, "doc_id", "text")
 
 
+_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_HEAD = r"^(#{1,4})\s+(.*)$"
+_SECTIONS = rf"""
+l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{_LINES}') AS x FROM documents)),
+h AS (SELECT *, length(regexp_extract(line, '{_HEAD}', 1)) AS lv, trim(regexp_extract(line, '{_HEAD}', 2)) AS title FROM l),
+n AS (SELECT *, CAST(sum(CASE WHEN lv > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS sec FROM h),
+p AS (SELECT DISTINCT doc_id, 0 AS sec, CAST([] AS VARCHAR[]) AS path FROM l
+      UNION ALL SELECT p.doc_id, n.sec, list_concat(path[1:lv - 1], [title]) FROM p JOIN n ON n.doc_id = p.doc_id AND n.sec = p.sec + 1 AND n.lv > 0),
+b AS (SELECT doc_id, sec, trim(string_agg(line, chr(10) ORDER BY i)) AS body FROM n WHERE lv = 0 GROUP BY doc_id, sec),
+sections AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INTEGER) AS s, array_to_string(path, ' > ') AS heading_path, body
+             FROM b JOIN p USING (doc_id, sec) WHERE regexp_matches(body, '[^\s\p{{Z}}]'))"""
+PAGE_SECTIONS = f"WITH RECURSIVE {_SECTIONS} SELECT doc_id, s, heading_path, body FROM sections"
+PAGE_CHUNKS = f"""WITH RECURSIVE {_SECTIONS},
+w AS (SELECT doc_id, s, heading_path, list_filter(string_split_regex(body, '{_SPACE}'), lambda w: w <> '') AS w FROM sections),
+e AS (SELECT doc_id, s, heading_path, w, unnest(list_filter(range(0, greatest(len(w), 1), 150), lambda st: st < len(w) AND (st = 0 OR st - 150 + 180 < len(w)))) AS start FROM w),
+c AS (SELECT *, array_to_string(w[start + 1:start + 180], ' ') AS piece, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, start) - 1 AS INTEGER) AS n FROM e)
+SELECT doc_id, concat_ws('_', page_key, substr(sha256(coalesce(d.text, '')), 1, 16), CAST(n AS VARCHAR)) AS id, n, s, CAST(start AS INTEGER) AS start,
+       CAST(len(w[start + 1:start + 180]) AS INTEGER) AS n_words, heading_path,
+       coalesce(title, '') || CASE WHEN heading_path <> '' THEN ' | ' || heading_path ELSE '' END || chr(10) || piece AS text
+FROM c JOIN documents d USING (doc_id)"""
+
+
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of each document: windows of 180 words with 30 words of overlap, by section."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "page_key", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16).alias("content_hash"), "title", "text")
@@ -251,7 +273,7 @@ _ALL = {
     "norm_tokens": (norm_tokens, NORM_TOKENS), "stopword_tokens": (stopword_tokens, STOPWORD_TOKENS), "quote_fragments": (quote_parts, QUOTE_PARTS),
     "date_to_int": (date_ints, DATE_INTS), "url_norm": (url_forms, URL_FORMS), "url_normalize_full": (normal_urls, NORMAL_URLS),
     "manifest_filter": (manifest_pages, MANIFEST_PAGES), "page_dates": (page_dates, PAGE_DATES), "snapshot_lookup": (snapshot_lookup, SNAPSHOT_LOOKUP),
-    "section_split": (page_sections, None), "page_chunks": (page_chunks, None), "chunk_windows": (chunk_windows, CHUNK_WINDOWS),
+    "section_split": (page_sections, PAGE_SECTIONS), "page_chunks": (page_chunks, PAGE_CHUNKS), "chunk_windows": (chunk_windows, CHUNK_WINDOWS),
     "chunk_dedupe": (chunk_dedupe, CHUNK_DEDUPE), "expand_window": (section_expand, SECTION_EXPAND), "embed_cache_antijoin": (vector_cache_misses, VECTOR_CACHE_MISSES),
     "chunk_stats": (chunk_stats, CHUNK_STATS), "crawl_inspection": (crawl_inspection, CRAWL_INSPECTION), "link_classify": (link_classes, LINK_CLASSES),
     "crawl_frontier": (crawl_frontier, CRAWL_FRONTIER),
