@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltmill.functions.text import bound
 from siltmill.runtime import cut
 
 #: The closing notice of the pipeline, by its first words in each language, to the end of the line.
@@ -41,10 +42,10 @@ REFUSAL = (
 TURN = r"(?i)[,;]\s*(?:but|however|mais|cependant|pero|sin embargo|aber|doch|jedoch|allerdings)\b"
 YES_NO = r"(?i)^(?:yes|no|oui|non|sí|si|ja|nein)\b"
 #: Letters of one language among these.
-LETTERS = {"en": r"[^\s\S]", "fr": "[àâçèêëîïôûùœ]", "es": "[ñáíóú¿¡]", "de": "[äöüß]"}
+LETTERS = {"fr": "[àâçèêëîïôûùœ]", "es": "[ñáíóú¿¡]", "de": "[äöüß]"}
 #: Frequent function words that the other languages here do not share.
 FUNCTION_WORDS = {
-    "en": "the is are and for with you your must will before after not when where if by who does can to has been how which this from until only or what do my an it on at whose than it's they",
+    "en": "the is are and for with you your must will before after not when where if by who does can to has been how which this from until only or what do my an it on at whose than it's they then both each since while",
     "fr": "le les du une est et vous votre pour dans avec après avant qui sur aux par ou quand elles faut depuis doit sont ce cette il ne pas je je ma mon combien où elle dès nous comme compte pendant jusqu temps sous",
     "es": "el los las una del con su antes después cuando tiene y se al desde debe hasta puede está tengo cuántos dónde hay para por usted lo va más pues donde ante sobre",
     "de": "der die das und ist ein eine einen für mit nicht sie ihr ihre vor nach wenn zu im dem den auf bei kann man wird oder noch ich wie von bis seit beim um zur muss meine",
@@ -104,14 +105,19 @@ def ending(body: Column) -> Column:
 
 
 def language(text: Column, least: int = 2) -> Column:
-    """The language by function words and letters, quotations, links and names aside; null unless one is clearly ahead."""
+    """The language by distinct function words and by letters, quotations, links and names aside; null unless one is clearly ahead."""
     bare = F.regexp_replace(text, r"[“\"«„][^”\"»“]*[”\"»“]|https?://\S+|\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)* of \p{Lu}\p{L}+", " ")
-    words = F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}+"), F.lit(0))
-    hits = lambda code: F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS[code].split()) | w.rlike(LETTERS[code])))
-    scores = [F.struct(hits(code).alias("n"), F.lit(code).alias("code")) for code in FUNCTION_WORDS]
-    ranked = F.sort_array(F.array(*scores), asc=False)
-    best, second = ranked[0], ranked[1]
-    return F.when((best["n"] >= least) & (best["n"] >= 2 * second["n"]), best["code"])
+    low = F.lower(bare)
+
+    def hits(words: Column, code: str) -> Column:
+        own = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in FUNCTION_WORDS[code].split()])))
+        return own + F.regexp_count(low, F.lit(LETTERS[code])) if code in LETTERS else own
+
+    def judge(words: Column) -> Column:
+        scores = [F.struct(hits(words, code).alias("n"), F.lit(code).alias("code")) for code in FUNCTION_WORDS]
+        return bound(F.sort_array(F.array(*scores), asc=False), lambda r: F.when((r[0]["n"] >= least) & (r[0]["n"] >= 2 * r[1]["n"]), r[0]["code"]))
+
+    return bound(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)), judge)
 
 
 def shortened(texts: DataFrame, least: int = 20) -> DataFrame:
