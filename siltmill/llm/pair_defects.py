@@ -27,6 +27,8 @@ from siltmill.runtime import cut
 #: The closing notice of the pipeline, by its first words in each language, to the end of the line.
 NOTICE = r"(?:^|\n)\s*(?:General guidance only|À titre indicatif|Solo orientativo|Nur zur Orientierung)[^\n]*\s*$"
 CITATION = r"\s*\[\d+\]"
+#: An ellipsis at the end, citations and closing marks aside.
+ELLIPSIS = rf"""(?:…|\.{{3,}})(?:{CITATION}|[\s\p{{Pe}}\p{{Pf}}\p{{Pi}}"'*_`])*$"""
 PLACEHOLDERS = ("n a", "na", "null", "none", "nil", "nan", "tbd", "todo", "undefined")
 #: What a sentence says that declines.
 REFUSAL = (
@@ -91,14 +93,15 @@ def is_refusal(body: Column) -> Column:
 
 
 def ending(body: Column) -> Column:
-    """proper, unclear (a list item, a link, a lone word: both ends are possible) or broken."""
+    """proper, unclear (a list item, a link, a lone word: both ends are possible) or broken. An ellipsis breaks off."""
     bare = F.regexp_replace(body, rf"(?:{CITATION})+\s*$", "")
     last = F.element_at(F.split(bare, "\n"), -1)
     item = last.rlike(r"^\s*(?:[-*•]|\d+[.)])\s+\S")
     link = bare.rlike(r"https?://\S+$")
     lone = bare.rlike(YES_NO) & (F.size(F.split(bare, r"\s+")) <= 3)
     return (
-        F.when(bare.rlike(r"""[.!?…。][\p{Pe}\p{Pf}\p{Pi}"'*_`]*$"""), "proper")
+        F.when(body.rlike(ELLIPSIS), "broken")
+        .when(bare.rlike(r"""[.!?。][\p{Pe}\p{Pf}\p{Pi}"'*_`]*$"""), "proper")
         .when((item | link | lone) & ~bare.rlike(r"[\[(,:;-]$"), "unclear")
         .otherwise("broken")
     )

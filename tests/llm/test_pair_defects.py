@@ -75,3 +75,11 @@ def test_answers_at_the_length_limit_are_truncated(spark):
     rows = [(f"l{i}", "q", item + "passport"[: i % 8 + 1] + "x" * (40 - i % 8), None) for i in range(60)] + [(f"o{i}", "q", item + f"{i:02d}" + "y" * i, None) for i in range(1, 30)]
     got = {r["k"] for r in pdx.defects(spark.createDataFrame(rows, "k string, q string, a string, c string"), ["k"], "q", "a", "c").filter("defect = 'truncated'").collect()}
     assert got >= {f"l{i}" for i in range(60)} and len(got) <= 61
+
+
+def test_answers_that_end_in_an_ellipsis_are_truncated(spark):
+    ends = ["in…", "in ...", "in...", "in… [1][3]", "in ... [2]", "in…”", "in ...**", "in…" + NOTE, "in (the office ...)"]
+    rows = [(f"e{i}", Q, GOOD + " Interviews take place " + e, None) for i, e in enumerate(ends)]
+    rows += [("whole", Q, GOOD + " Wait… then send it.", None), ("bare", Q, "...", None), ("no", Q, "I do not know...", None)]
+    got = {r["k"]: r["defect"] for r in pdx.defects(spark.createDataFrame(rows, "k string, q string, a string, c string"), ["k"], "q", "a", "c").collect()}
+    assert got == {f"e{i}": "truncated" for i in range(len(ends))} | {"bare": "empty", "no": "refusal"}
