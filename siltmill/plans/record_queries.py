@@ -35,10 +35,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of results."""
+    """The flat table of results: their scalar fields. What is nested in a result is in the tables below, by its key."""
     return _entity(spark, sf_dir, "")
 
 
+def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat child table of errors: at most one of each result."""
+    return _entity(spark, sf_dir, "error")
+
+
 def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat child table of retrieved chunks."""
     return _entity(spark, sf_dir, "chunks[]")
@@ -49,6 +54,11 @@ def p1_quote_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entity(spark, sf_dir, "quote_ranks[]")
 
 
+def p1_quote_ranks_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat child table of quote ranks with the fixed matching."""
+    return _entity(spark, sf_dir, "quote_ranks_fixed[]")
+
+
 def p1_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat child table of unsupported claims."""
     return _entity(spark, sf_dir, "unsupported_claims[]")
@@ -83,4 +93,4 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_results, p1_chunks, p1_quote_ranks, p1_claims, p3_found, p5_found, p5_runs)}
+    return {f.__name__: f for f in (p1_found, p1_results, p1_errors, p1_chunks, p1_quote_ranks, p1_quote_ranks_fixed, p1_claims, p3_found, p5_found, p5_runs)}

@@ -21,6 +21,11 @@ SELECT DISTINCT run_id, id, '' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, C
        quote_retrieved_fixed, verdict, reason, grounded, failure_type FROM e2e_rows
 """
 
+P1_ERRORS = r"""
+WITH e AS (SELECT DISTINCT run_id, id, error FROM e2e_rows)
+SELECT run_id, id, 'error' AS node_id, '' AS parent_id, CAST(NULL AS INTEGER) AS pos, error.stage AS stage, error.message AS message, error.trace AS trace FROM e WHERE error IS NOT NULL
+"""
+
 P1_CHUNKS = r"""
 WITH e AS (SELECT DISTINCT run_id, id, chunks FROM e2e_rows),
 x AS (SELECT run_id, id, unnest(range(1, len(chunks) + 1)) AS pos, unnest(chunks) AS c FROM e)
@@ -33,6 +38,8 @@ SELECT run_id, id, 'quote_ranks/' || pos AS node_id, 'quote_ranks' AS parent_id,
   (SELECT run_id, id, unnest(range(1, len(quote_ranks) + 1)) AS pos, unnest(quote_ranks) AS value FROM e)
 """
 
+P1_QUOTE_RANKS_FIXED = P1_QUOTE_RANKS.replace("quote_ranks", "quote_ranks_fixed")
+
 P1_CLAIMS = r"""
 WITH e AS (SELECT DISTINCT run_id, id, unsupported_claims FROM e2e_rows)
 SELECT run_id, id, 'unsupported_claims/' || pos AS node_id, 'unsupported_claims' AS parent_id, CAST(pos AS INTEGER) AS pos, value FROM
@@ -94,4 +101,4 @@ UNION ALL SELECT ledger, file_no, 'retyped', path, '' FROM cur JOIN prev USING (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_results": P1_RESULTS, "p1_chunks": P1_CHUNKS, "p1_quote_ranks": P1_QUOTE_RANKS, "p1_claims": P1_CLAIMS, "p3_found": P3_FOUND, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p1_results": P1_RESULTS, "p1_errors": P1_ERRORS, "p1_chunks": P1_CHUNKS, "p1_quote_ranks": P1_QUOTE_RANKS, "p1_quote_ranks_fixed": P1_QUOTE_RANKS_FIXED, "p1_claims": P1_CLAIMS, "p3_found": P3_FOUND, "p5_found": P5_FOUND}

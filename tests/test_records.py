@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from siltmill.operators import schema_drift, shredding, snapshots
+from siltmill.plans import record_queries
 
 KIND = "run string, id string, node string, chunks array<struct<rank:int,tags:array<string>,pos:string>>, marks array<int>, extra map<string,int>, raw binary"
 ROWS = [
@@ -120,3 +121,16 @@ def test_union_table_has_the_latest_layout(spark):
     assert schema == [("t", "array"), ("y", "double")]
     rows = {r["run"]: (r["file_no"], r["t"], r["y"]) for r in schema_drift.union_table(fields, changes, schema, names).collect()}
     assert rows == {"a": (1, ["u"], 1.0), "b": (2, ["v"], 2.0), "c": (2, ["w", "q"], 3.5)}
+
+
+def test_every_field_of_a_result_is_in_a_flat_table(spark, tmp_path):
+    kind = "run_id string, id string, answer string, chunks array<struct<rank:int>>, quote_ranks array<int>, quote_ranks_fixed array<int>, unsupported_claims array<string>, error struct<stage:string,message:string,trace:string>"
+    rows = [("r", "a", "x", [(1,)], [1], [2, None], ["c"], None), ("r", "b", None, None, None, [], None, ("answer", "timed out", None)), ("r", "c", None, None, None, None, None, (None, None, None))]
+    spark.createDataFrame(rows + rows[:2], kind).write.parquet(str(tmp_path / "e2e_rows.parquet"))
+    errors = record_queries.p1_errors(spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["parent_id"], r["stage"] or "", r["message"], r["trace"]) for r in errors) == [("b", "", "answer", "timed out", None), ("c", "", "", None, None)]
+    fixed = record_queries.p1_quote_ranks_fixed(spark, str(tmp_path)).collect()
+    assert {(r["id"], r["pos"], r["value"]) for r in fixed} == {("a", 1, 2), ("a", 2, None)} and len(fixed) == 2
+    flat = [f for n, f in record_queries.queries().items() if n.startswith("p1_") and n != "p1_found"]
+    nodes = {r["node_id"].split("/")[0] for f in flat for r in f(spark, str(tmp_path)).select("node_id").collect()}
+    assert nodes == {"", "chunks", "quote_ranks", "quote_ranks_fixed", "unsupported_claims", "error"}
