@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from urllib.robotparser import RobotFileParser
 
@@ -66,22 +67,38 @@ def page_gate(status: Column, content_type: Column) -> Column:
     )
 
 
-def frontier(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(url, depth): pages reached from the seeds, breadth first.
+def frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(url, depth, parent): pages reached from the seeds, breadth first, to ``max_depth`` or until a level is empty.
+
+    The parent is the page whose link puts the url into the queue first: of the last level's pages that link to it, the
+    one that comes first in that queue itself, which holds a level's pages in the order of their parents' turns and,
+    below a parent, of ``place`` (by url where links have none). Seeds have no parent and take turns by url.
 
     Each level is one join of the last level with the links and one anti-join with what is known; a level's pages are
     written before the next begins. The number of rounds is the depth, whatever the number of pages.
     """
-    edges = links.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    known = cut(seeds.select("url", F.lit(0).alias("depth")).filter("url is not null").distinct())
-    level = known
-    for depth in range(1, max_depth + 1):
-        found = level.join(edges, level["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        level = cut(found.join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
+    place = F.col("place").cast("long") if "place" in links.columns else F.lit(0).cast("long")
+    edges = links.select("src", "dst", place.alias("place")).filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("place").alias("place"))
+    start = seeds.select("url").filter("url is not null").distinct()
+    level = cut(_turns(start.withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string")}), ["url"]))
+    known = level
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
+        first = F.min_by(F.struct("turn", "place", F.col("url").alias("parent")), F.struct("turn", "place"))
+        found = level.join(edges, level["url"] == edges["src"]).groupBy("dst").agg(first.alias("f")).select(F.col("dst").alias("url"), "f.*")
+        fresh = found.join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).withColumnRenamed("turn", "of")
+        level = cut(_turns(fresh, ["of", "place", "url"]))
         if level.isEmpty():
             break
         known = known.unionByName(level)
-    return known
+    return known.drop("turn")
+
+
+def _turns(level: DataFrame, order: list[str]) -> DataFrame:
+    """The pages of a level with their place in the queue, which grows in the order of the columns.
+
+    The rows are sorted across partitions; the turn grows with the partition and the row.
+    """
+    return level.orderBy(*order).withColumn("turn", F.monotonically_increasing_id()).select("url", "depth", "parent", "turn")
 
 
 def inspection(manifest: DataFrame) -> DataFrame:

@@ -254,12 +254,21 @@ SELECT url, parent, CASE WHEN NOT regexp_matches(url, '(?i)^https?://') THEN 'ig
   WHEN NOT (starts_with(path, '/en/') OR starts_with(path, '/fr/')) THEN 'off_path' ELSE 'enqueue' END AS reason FROM l"""
 
 
-def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breadth-first depth and first parent of each page reached from the seeds over the recorded links."""
+def _frontier(spark: SparkSession, sf_dir: str, max_depth: int | None) -> DataFrame:
     rows = table(spark, sf_dir, "pages_manifest")
     links = rows.filter("parent is not null").select(F.col("parent").alias("src"), F.col("url").alias("dst"), F.col("seq").alias("place"))
     seeds = rows.filter("seed is not null").select(F.col("seed").alias("url")).distinct()
-    return crawl.frontier(links, seeds, max_depth=4)
+    return crawl.frontier(links, seeds, max_depth)
+
+
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth-first depth of the pages up to four links from the seeds, as its SQL has it; ``crawl_reach`` has all pages."""
+    return _frontier(spark, sf_dir, max_depth=4).drop("parent")
+
+
+def crawl_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth-first depth and first parent of each page reached from the seeds over the recorded links."""
+    return _frontier(spark, sf_dir, max_depth=None)
 
 
 CRAWL_FRONTIER = """
@@ -276,7 +285,7 @@ _ALL = {
     "section_split": (page_sections, PAGE_SECTIONS), "page_chunks": (page_chunks, PAGE_CHUNKS), "chunk_windows": (chunk_windows, CHUNK_WINDOWS),
     "chunk_dedupe": (chunk_dedupe, CHUNK_DEDUPE), "expand_window": (section_expand, SECTION_EXPAND), "embed_cache_antijoin": (vector_cache_misses, VECTOR_CACHE_MISSES),
     "chunk_stats": (chunk_stats, CHUNK_STATS), "crawl_inspection": (crawl_inspection, CRAWL_INSPECTION), "link_classify": (link_classes, LINK_CLASSES),
-    "crawl_frontier": (crawl_frontier, CRAWL_FRONTIER),
+    "crawl_frontier": (crawl_frontier, CRAWL_FRONTIER), "crawl_reach": (crawl_reach, None),
 }
 
 

@@ -2,10 +2,12 @@
 
 import random
 import re
+from collections import deque
 
 from pyspark.sql import functions as F
 
 from siltmill.operators import chunking, crawl, curation, scoring
+from siltmill.plans import corpus_queries
 from siltmill.sources import corpus
 
 LINES = ["# A", "## B", "### C", "#### D", "##### five", "#tag", "text one", "  ", "more text", "- item"]
@@ -159,3 +161,33 @@ def test_freeze_refuses_short_categories(spark):
     assert curation.freeze(rows, rows.limit(0), least=2).count() == 12
     with pytest.raises(ValueError, match="too few"):
         curation.freeze(rows.filter("category <> 'temporal'"), rows.limit(0), least=2)
+
+
+def model_frontier(links, seeds):
+    out = {}
+    for src, dst, place in sorted(links, key=lambda x: x[2]):
+        out.setdefault(src, []).append(dst)
+    found, queue = {s: (0, None) for s in sorted(seeds)}, deque(sorted(seeds))
+    while queue:
+        url = queue.popleft()
+        for dst in out.get(url, []):
+            if dst not in found:
+                found[dst] = (found[url][0] + 1, url)
+                queue.append(dst)
+    return found
+
+
+def test_crawl_reaches_every_page_with_its_first_parent(spark, tmp_path):
+    rng = random.Random(3)
+    urls = [f"u{i:02d}" for i in range(40)]
+    rng.shuffle(urls)
+    pairs = [(urls[i], urls[i + 1]) for i in range(12)] + [(urls[rng.randrange(i - 6, i)], urls[i]) for i in range(13, 40) for _ in range(2)]
+    rng.shuffle(pairs)
+    links = [(a, b, n) for n, (a, b) in enumerate(pairs)]
+    seeds = [urls[0], urls[7]]
+    want = model_frontier(links, seeds)
+    assert max(d for d, _ in want.values()) > 4
+    rows = [(n, b, a, None) for a, b, n in links] + [(100 + n, s, None, s) for n, s in enumerate(seeds)]
+    spark.createDataFrame(rows, "seq int, url string, parent string, seed string").write.parquet(str(tmp_path / "pages_manifest.parquet"))
+    got = corpus_queries.crawl_reach(spark, str(tmp_path)).collect()
+    assert {r["url"]: (r["depth"], r["parent"]) for r in got} == want and len(got) == len(want)
