@@ -127,7 +127,7 @@ SELECT item, id, CAST(row_number() OVER (PARTITION BY item ORDER BY o, id) AS IN
 
 
 def hybrid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool of a first ranking (over titles) and the lexical hits that it lacks."""
+    """The pool of a first lexical ranking, over titles, and the lexical hits that it lacks; ``dense_candidates`` has the dense one."""
     items, chunks = _items(spark, sf_dir), _chunks(spark, sf_dir)
     first = ranking.bm25(items, "item", "question", chunks.withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1))), "id", "text", K)
     second = ranking.bm25(items, "item", "question", chunks, "id", "text", K)
@@ -141,6 +141,16 @@ p AS (SELECT a.item, a.id, 0 AS src, a.rank AS r, b.rank AS bm25_rank FROM a LEF
 SELECT item, id, CAST(row_number() OVER (PARTITION BY item ORDER BY src, r) AS INTEGER) AS rank, CAST(bm25_rank AS INTEGER) AS bm25_rank FROM p"""
 
 
+def dense_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of the dense hits, by hashed vectors of whole texts, and the lexical hits that are not among them."""
+    items, chunks = _items(spark, sf_dir), _chunks(spark, sf_dir)
+    dense = ranking.exact_search(
+        items.select("item", ranking.hashed_vector(F.col("question")).alias("v")), "item", "v", chunks.select("id", ranking.hashed_vector(F.col("text")).alias("v")), "id", "v", K
+    ).withColumnRenamed("sim", "score")
+    sparse = ranking.bm25(items, "item", "question", chunks, "id", "text", K)
+    return ranking.pool(dense, sparse, ["item"], "id").select("item", "id", F.round("score", 5).alias("sim"), "rank", "bm25_rank")
+
+
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical hits reranked by the share of the question's terms that they have."""
     items, chunks = _items(spark, sf_dir), _chunks(spark, sf_dir)
@@ -165,7 +175,7 @@ def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = {
     "dense_topk": (dense_topk, _DENSE.format(where="")), "dense_topk_filtered": (dense_topk_filtered, _DENSE.format(where="AND v.label >= 2 AND v.label <> 5")),
     "ann_recall": (ann_recall, None), "bm25_topk": (bm25_topk, BM25_TOPK), "split_question": (split_questions, SPLIT_QUESTIONS), "rrf": (rrf, RRF),
-    "round_robin": (round_robin, ROUND_ROBIN), "hybrid_candidates": (hybrid_candidates, HYBRID_CANDIDATES), "rerank_overlap": (rerank_overlap, RERANK_OVERLAP),
+    "round_robin": (round_robin, ROUND_ROBIN), "hybrid_candidates": (hybrid_candidates, HYBRID_CANDIDATES), "dense_candidates": (dense_candidates, None), "rerank_overlap": (rerank_overlap, RERANK_OVERLAP),
     "retrieve": (retrieve, None),
 }
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltmill.operators import ann, ledger, questions, ranking, responses, scoring
+from siltmill.operators import ann, chunking, ledger, questions, ranking, responses, scoring
+from siltmill.plans import ranking_queries
 from siltmill.sources import collections, corpus
 from siltmill.streaming import ingest
 
@@ -179,3 +180,17 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest.append_chunks(ingest.chunk_stream(ingest.read_pages(spark, str(tmp_path / "in"), 1)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["k0_h_0", "k1_h_0", "k2_h_0"]
+
+
+def test_candidates_hold_the_dense_hits(spark, tmp_path):
+    texts = [f"title\n{w} permit" for w in ("red", "green", "blue", "grey")] + [f"other{i}\nnothing {i} at all" for i in range(20)]
+    spark.createDataFrame([(f"c{i:02d}", t, "u") for i, t in enumerate(texts)], "id string, text string, url string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("q", "grey permit")], "id string, question string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    rows = ranking_queries.dense_candidates(spark, str(tmp_path)).orderBy("rank").collect()
+    dense = [r for r in rows if r["sim"] is not None]
+    vecs = spark.createDataFrame([("grey permit",)] + [(t,) for t in texts], "t string").select("t", ranking.hashed_vector(F.col("t")).alias("v")).collect()
+    q, vs = np.array(vecs[0]["v"], float), [np.array(r["v"], float) for r in vecs[1:]]
+    sims = [float(v @ q / np.linalg.norm(v) / np.linalg.norm(q)) for v in vs]
+    want = sorted(range(len(texts)), key=lambda i: (-round(sims[i], 9), i))[:10]
+    assert [r["sim"] for r in dense] == pytest.approx([sims[i] for i in want], abs=1e-5) and dense[0]["id"] == "c03"
+    assert {r["id"] for r in rows} >= {"c00", "c01", "c02", "c03"}
