@@ -100,6 +100,16 @@ def page_chunks(
     ).drop("_c")
 
 
+def section_index(pages: DataFrame, key: str, content_hash: str, title: str, text: str, url: str, size: int = 180, overlap: int = 30) -> DataFrame:
+    """(id, section, head, words, start, n_words): the section that each chunk was cut from, and where it starts in it."""
+    at = page_chunks(pages.select(key, content_hash, title, url, text), key, content_hash, title, text, size, overlap).select(
+        "id", key, content_hash, "s", "start", "n_words", F.concat_ws("#", F.col(url), F.col("s").cast("string")).alias("section"),
+        F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" | "), F.col("heading_path")).alias("head"),
+    )
+    bodies = page_sections(pages.select(key, content_hash, text), key, text).select(key, content_hash, "s", split_words(F.col("body")).alias("words"))
+    return at.join(bodies, [key, content_hash, "s"]).select("id", "section", "head", "words", "start", "n_words").dropDuplicates(["id"])
+
+
 def fold_copies(chunks: DataFrame, text: str, url: str, order: list[str]) -> DataFrame:
     """The first chunk, by ``order``, of each normal text, with n_copies and also_urls (the others' urls, sorted).
 

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmill.functions.text import is_vague, question_parts
-from siltmill.operators import ranking
+from siltmill.functions.urls import page_url
+from siltmill.operators import ann, chunking, ranking, responses
+from siltmill.runtime import cut
+
+RERANKERS = {"overlap": ranking.overlap_score}
 
 
 @dataclass(frozen=True)
 class Settings:
-    """What a retrieval run is configured by; the defaults are the plain ranking."""
+    """What a retrieval run is configured by; the defaults are the plain ranking. ``k`` is the depth of each list."""
 
     k: int = 50
     bm25_k: int = 0
@@ -27,12 +31,17 @@ class Settings:
     search: str = "hnsw"
     chain_hops: int = 1
     chain_context_k: int = 3
+    collapse_pages: bool = False
 
     def __post_init__(self) -> None:
         if self.fusion not in ("rrf", "round_robin"):
             raise ValueError(f"unknown fusion {self.fusion}")
         if self.search not in ("hnsw", "exact"):
             raise ValueError(f"unknown search {self.search}")
+        if self.reranker is not None and self.reranker not in RERANKERS:
+            raise ValueError(f"unknown reranker {self.reranker}")
+        if self.chain_hops not in (1, 2):
+            raise ValueError("a chain has one or two hops")
         if self.bm25_k and self.search != "exact":
             raise ValueError("lexical candidates need the exact search")
 
@@ -53,22 +62,89 @@ def searches(items: DataFrame, item: str, question: str, split: bool = True, dro
     return items.select(item, F.posexplode(chosen).alias("list_no", "query"))
 
 
-def retrieve(items: DataFrame, item: str, question: str, chunks: DataFrame, k: int = 50, settings: Settings | None = None) -> DataFrame:
-    """(item, id, url, rank): one plan for all questions; chunks has id, text, url.
-
-    Searches, a pool of dense (hashed vectors) and lexical candidates for each, reranking of the pool, fusion over a
-    question's searches.
-    """
-    s = settings or Settings(split_queries=True, subquery_filter=True, fusion="round_robin", search="exact", bm25_k=k)
-    q = searches(items, item, question, s.split_queries, s.subquery_filter).withColumn("q", F.concat_ws("\x1f", item, F.col("list_no").cast("string")))
-    dense = ranking.exact_search(
-        q.select("q", ranking.hashed_vector(F.col("query")).alias("v")), "q", "v", chunks.select("id", ranking.hashed_vector(F.col("text")).alias("v")), "id", "v", k
-    ).withColumnRenamed("sim", "score")
-    found = dense
+def _ranked(q: DataFrame, item: str, chunks: DataFrame, s: Settings) -> DataFrame:
+    """(item, list_no, id, rank): the candidates of each search, reranked where the settings say so."""
+    q = q.withColumn("q", F.concat_ws("\x1f", item, F.col("list_no").cast("string")))
+    asked = q.select("q", ranking.hashed_vector(F.col("query")).alias("v")).filter(F.exists("v", lambda x: x != 0))
+    vectors = chunks.select("id", ranking.hashed_vector(F.col("text")).alias("v"))
+    if s.search == "exact":
+        found = ranking.exact_search(asked, "q", "v", vectors, "id", "v", s.k)
+    else:
+        found = ann.search(ann.build(vectors, "id", "v"), asked, "q", "v", s.k)
+    found = found.withColumnRenamed("sim", "score")
     if s.bm25_k:
-        found = ranking.pool(dense, ranking.bm25(q, "q", "query", chunks, "id", "text", s.bm25_k), ["q"], "id")
-    scored = ranking.rerank(found.join(q, "q").join(chunks, "id"), ["q"], ranking.overlap_score(F.col("query"), F.col("text")))
+        found = ranking.pool(found, ranking.bm25(q, "q", "query", chunks, "id", "text", s.bm25_k), ["q"], "id")
+    found = found.join(q, "q")
+    if s.reranker:
+        found = ranking.rerank(found.join(chunks.select("id", "text"), "id"), ["q"], RERANKERS[s.reranker](F.col("query"), F.col("text")))
+    return found.select(item, "list_no", "id", "rank")
+
+
+def _expanded(hits: DataFrame, item: str, chunks: DataFrame, sections: DataFrame, s: Settings) -> DataFrame:
+    """Hits with the text of their section, at most ``expand_words`` of it, one for each unit. A chunk without section stays."""
+    rows = hits.join(chunks.select("id", F.col("text").alias("_t")), "id").join(sections.select("id", "section", "head", "words", "start", "n_words"), "id", "left")
+    first, n = chunking.expanded_span(F.size("words"), F.col("start"), F.col("n_words"), s.expand_words)
+    rows = rows.withColumns({"_f": first, "expanded_words": F.when(F.col("section").isNotNull(), n)})
+    body = F.array_join(F.slice("words", F.col("_f") + 1, F.col("expanded_words")), " ")
+    text = F.coalesce(F.trim(F.concat("head", F.lit("\n"), body)), F.col("_t"))
+    unit = F.coalesce(F.concat("section", F.lit("["), F.col("_f").cast("string"), F.lit(":"), (F.col("_f") + F.col("expanded_words")).cast("string"), F.lit("]")), F.col("id"))
+    return chunking.collapse_units(rows.select(item, "id", "rank", unit.alias("unit"), "expanded_words", text.alias("text")), item, ["unit"], "rank")
+
+
+def chain_requests(items: DataFrame, item: str, question: str, hits: DataFrame, chunks: DataFrame, s: Settings, sections: DataFrame | None, model: str) -> DataFrame:
+    """(item, user, key): what the model is asked for the second hop, from the first passages as it would see them."""
+    if s.expand:
+        seen = _expanded(hits.filter(F.col("rank") <= 3 * s.chain_context_k), item, chunks, sections, s)
+    else:
+        seen = hits.join(chunks.select("id", "text"), "id")
+    context = responses.passages(seen, item, "rank", "text", s.chain_context_k)
+    user = F.concat(F.lit("QUESTION:\n"), F.col(question), F.lit("\n\nPASSAGES FOUND SO FAR:\n"), F.coalesce("context", F.lit("")))
+    return items.join(context, item, "left").select(item, user.alias("user")).withColumn("key", responses.request_key(model, "chain", "v1", F.col("user")))
+
+
+def first_hop(items: DataFrame, item: str, question: str, chunks: DataFrame, s: Settings) -> DataFrame:
+    """(item, id, rank): the fused lists of a question's searches; the list of a single search as it is."""
+    q = cut(searches(items, item, question, s.split_queries, s.subquery_filter))
     fuse = ranking.round_robin if s.fusion == "round_robin" else ranking.rrf
-    out = fuse(scored, item, "list_no", "rank", "id", k)
-    name = "fused_rank" if s.fusion == "round_robin" else "rank"
-    return out.join(chunks.select("id", "url"), "id").select(item, "id", "url", F.col(name).alias("rank"))
+    out = fuse(_ranked(q, item, chunks, s), item, "list_no", "rank", "id", s.k + s.bm25_k)
+    if s.fusion == "round_robin":
+        out = out.withColumnRenamed("fused_rank", "rank")
+    many = q.groupBy(item).agg((F.max("list_no") > 0).alias("_many"))
+    return out.join(many, item).filter(~F.col("_many") | (F.col("rank") <= s.k)).select(item, "id", "rank")
+
+
+def retrieve(
+    items: DataFrame, item: str, question: str, chunks: DataFrame, k: int = 50, settings: Settings | None = None,
+    sections: DataFrame | None = None, cache: DataFrame | None = None, model: str = "gpt-5-mini",
+) -> DataFrame:
+    """(item, id, url, rank), and with ``expand`` unit, expanded_words, text: one plan for all questions; chunks has id, text, url.
+
+    Copies folded, searches, a pool of dense (hashed vectors) and lexical candidates for each, reranking of the pool,
+    fusion over a question's searches, a second hop, expansion to sections, collapse to pages: each as the settings
+    say. ``k`` hits of each question are left at the end, after hits of one unit or page have been collapsed.
+    ``sections`` (``chunking.section_index``) is needed to expand, ``cache`` (key, response, seq) for a second hop.
+    """
+    s = settings or Settings(split_queries=True, subquery_filter=True, fusion="round_robin", search="exact", bm25_k=50, reranker="overlap", collapse_pages=True)
+    if s.expand and sections is None:
+        raise ValueError("expansion needs the sections")
+    if s.chain_hops > 1 and cache is None:
+        raise ValueError("a second hop needs a response table")
+    chunks = chunks.select("id", "text", "url")
+    if s.dedupe:
+        chunks = cut(chunking.fold_copies(chunks, "text", "url", ["id"]).select("id", "text", "url"))
+    hits = first_hop(items, item, question, chunks, s)
+    if s.chain_hops > 1:
+        hits = cut(hits)
+        asked = responses.answered(chain_requests(items, item, question, hits, chunks, s, sections, model), cache)
+        more = cut(asked.select(item, F.posexplode(responses.clean_queries(F.col("response"), limit=2)).alias("list_no", "query")))
+        led = more.select(item).distinct()
+        chained = responses.chain_hop(hits.join(led, item, "left_semi"), _ranked(more, item, chunks, s), item, "rank", "id", s.k)
+        hits = chained.unionByName(hits.join(led, item, "left_anti"))
+    extra = ["unit", "expanded_words", "text"] if s.expand else []
+    if s.expand:
+        hits = _expanded(hits, item, chunks, sections, s).drop("chunk_rank")
+    hits = hits.join(chunks.select("id", "url"), "id")
+    if s.collapse_pages:
+        paged = hits.withColumn("_page", F.when(F.col("url").isNull(), F.col("id")).otherwise(page_url(F.col("url"))))
+        hits = chunking.collapse_units(paged, item, ["_page"], "rank")
+    return hits.filter(F.col("rank") <= k).select(item, "id", "url", "rank", *extra)

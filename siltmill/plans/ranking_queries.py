@@ -168,7 +168,10 @@ SELECT item, id, round(rerank_score, 6) AS rerank_score, CAST(retrieval_rank AS
 
 
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole retrieval plan for all questions at once: searches, pools, reranking, fusion, collapse to pages."""
+    """The retrieval plan for all questions at once: searches, pools, reranking, fusion, collapse to pages.
+
+    No copies are folded, nothing is expanded and there is no second hop here: those are settings of the operator.
+    """
     return questions.retrieve(_items(spark, sf_dir), "item", "question", _chunks(spark, sf_dir), k=K)
 
 

@@ -194,3 +194,34 @@ def test_candidates_hold_the_dense_hits(spark, tmp_path):
     want = sorted(range(len(texts)), key=lambda i: (-round(sims[i], 9), i))[:10]
     assert [r["sim"] for r in dense] == pytest.approx([sims[i] for i in want], abs=1e-5) and dense[0]["id"] == "c03"
     assert {r["id"] for r in rows} >= {"c00", "c01", "c02", "c03"}
+
+
+def test_retrieve_does_what_the_settings_say(spark):
+    texts = [("a0", "grey permit office", "p1?x=1"), ("a1", "grey permit office desk", "p1"), ("b0", "grey permit", "p2"), ("b1", "Grey  permit", "p3"), ("c0", "blue fee table", "p4")]
+    chunks = spark.createDataFrame([(i, t, "https://e.org/" + u) for i, t, u in texts], "id string, text string, url string")
+    items = spark.createDataFrame([("q", "grey permit")], "item string, question string")
+
+    def run(k=10, cache=None, sections=None, **changed):
+        s = questions.Settings(**{"search": "exact", "reranker": "overlap", "bm25_k": 5, **changed})
+        return questions.retrieve(items, "item", "question", chunks, k, s, sections, cache).orderBy("rank").collect()
+
+    assert {r["id"] for r in run()} >= {"a0", "a1", "b0", "b1"}
+    paged = run(k=3, collapse_pages=True)
+    assert len({r["url"].split("?")[0] for r in paged}) == 3 and [r["rank"] for r in paged] == [1, 2, 3]
+    assert "b1" not in {r["id"] for r in run(dedupe=True)}
+    assert [r["id"] for r in run(search="hnsw", bm25_k=0, reranker=None)][0] in ("b0", "b1")
+    words = "grey permit office desk".split()
+    sections = spark.createDataFrame([("a0", "p1#0", "t | h", words, 0, 3), ("a1", "p1#0", "t | h", words, 0, 4)], "id string, section string, head string, words array<string>, start int, n_words int")
+    units = {r["unit"]: r for r in run(expand=True, sections=sections)}
+    assert units["p1#0[0:4]"]["text"] == "t | h\ngrey permit office desk" and {"b0", "b1"} <= set(units)
+    assert len([u for u in units if u.startswith("p1")]) == 1
+    hop = questions.Settings(search="exact", k=2, reranker="overlap", chain_hops=2, chain_context_k=1)
+    asked = questions.chain_requests(items, "item", "question", questions.first_hop(items, "item", "question", chunks, hop), chunks, hop, None, "gpt-5-mini")
+    cache = asked.select("key", F.lit('{"queries": ["blue fee table"]}').alias("response"), F.lit(0).alias("seq"))
+    got = questions.retrieve(items, "item", "question", chunks, 10, hop, None, cache).orderBy("rank").collect()
+    assert got[0]["id"] in ("b0", "b1") and got[1]["id"] == "c0"
+    for wrong in ({"expand": True}, {"chain_hops": 2}, {"chain_hops": 3}, {"reranker": "model"}):
+        with pytest.raises(ValueError):
+            run(**wrong)
+    pages = spark.createDataFrame([("k", "h", "t", "## A\none two three", "u")], "key string, hash string, title string, text string, url string")
+    assert [tuple(r) for r in chunking.section_index(pages, "key", "hash", "title", "text", "url").collect()] == [("k_h_0", "u#0", "t | A", ["one", "two", "three"], 0, 3)]
