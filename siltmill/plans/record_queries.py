@@ -82,15 +82,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select(F.col("grp").alias("ledger"), "file_no", "change_kind", "field_path", "new_path")
 
 
+def _union(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The values of all runs in the latest layout, and its schema."""
+    fields = _run_fields(spark, sf_dir)
+    heads = cut(schema_drift.file_schemas(fields))
+    names = cut(schema_drift.latest_names(schema_drift.field_changes(fields), heads))
+    return cut(schema_drift.union_rows(fields, names)), cut(schema_drift.union_schema(heads, names))
+
+
 def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs in one table in the latest layout."""
-    fields = _run_fields(spark, sf_dir)
-    changes = cut(schema_drift.field_changes(fields))
-    names = cut(schema_drift.latest_names(changes, schema_drift.file_schemas(fields)))
-    schema = [(p, k) for p, k in schema_drift.union_schema(fields, names) if p != "run_id"]
-    runs = schema_drift.union_table(fields, changes, schema, names)
-    return runs.withColumnsRenamed({"grp": "ledger", "run": "run_id"})
+    rows, schema = _union(spark, sf_dir)
+    return schema_drift.union_table(rows, schema, leave_out=["run_id"]).withColumnsRenamed({"grp": "ledger", "run": "run_id"})
+
+
+def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in long form: for each run and field of the latest layout the type of the field and the value, as text."""
+    rows, schema = _union(spark, sf_dir)
+    return rows.join(schema, "path").select(F.col("grp").alias("ledger"), F.col("run").alias("run_id"), F.col("path").alias("field"), "kind", "file_no", "value")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_results, p1_errors, p1_chunks, p1_quote_ranks, p1_quote_ranks_fixed, p1_claims, p3_found, p5_found, p5_runs)}
+    return {f.__name__: f for f in (p1_found, p1_results, p1_errors, p1_chunks, p1_quote_ranks, p1_quote_ranks_fixed, p1_claims, p3_found, p5_found, p5_runs, p5_values)}

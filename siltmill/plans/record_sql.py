@@ -62,20 +62,25 @@ FROM a FULL OUTER JOIN b ON a.url = b.url AND a.s = b.s
 WHERE a.url IS NULL OR b.url IS NULL OR a.rows <> b.rows
 """
 
-P5_FOUND = r"""
+#: Fields of all lines and the renames between consecutive files.
+_P5 = r"""
 WITH RECURSIVE lines AS (
-  SELECT DISTINCT ledger, file_no, CASE WHEN json_valid(raw_record) THEN CAST(raw_record AS JSON) END AS j FROM runs_raw),
+  SELECT ledger, file_no, line_no, CASE WHEN json_valid(raw_record) THEN CAST(raw_record AS JSON) END AS j FROM runs_raw),
 files AS (SELECT DISTINCT ledger, file_no FROM lines),
-objects AS (SELECT ledger, file_no, json_extract_string(j, '$.run_id') AS run, j FROM lines WHERE json_type(j) = 'OBJECT'),
+objects AS (SELECT ledger, file_no, line_no, json_extract_string(j, '$.run_id') AS run, j FROM lines WHERE json_type(j) = 'OBJECT'),
 walk AS (
-  SELECT ledger, file_no, run, k AS path, json_extract(j, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM objects)
+  SELECT ledger, file_no, line_no, run, k AS path, json_extract(j, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM objects)
   UNION ALL
-  SELECT ledger, file_no, run, path || '.' || k, json_extract(v, '$."' || k || '"')
+  SELECT ledger, file_no, line_no, run, path || '.' || k, json_extract(v, '$."' || k || '"')
   FROM (SELECT *, unnest(json_keys(v)) AS k FROM walk WHERE json_type(v) = 'OBJECT')),
-f AS (
-  SELECT DISTINCT ledger, file_no, run, path, CAST(v AS VARCHAR) AS v,
+fl AS (
+  SELECT ledger, file_no, line_no, run, path, json_type(v) AS jt,
+         CASE WHEN json_type(v) IN ('VARCHAR', 'BOOLEAN', 'ARRAY') THEN CAST(v AS VARCHAR) WHEN CAST(v AS DOUBLE) = floor(CAST(v AS DOUBLE)) THEN CAST(CAST(CAST(v AS DOUBLE) AS HUGEINT) AS VARCHAR)
+              ELSE CAST(CAST(v AS DOUBLE) AS VARCHAR) END AS v,
+         CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' END AS plain,
          CASE json_type(v) WHEN 'VARCHAR' THEN 's' WHEN 'BOOLEAN' THEN 'b' WHEN 'ARRAY' THEN 'a' ELSE 'n' END AS t
   FROM walk WHERE json_type(v) NOT IN ('OBJECT', 'NULL')),
+f AS (SELECT DISTINCT ledger, file_no, run, path, v, t FROM fl),
 heads AS (SELECT ledger, file_no, path, list_sort(list(DISTINCT t)) AS t FROM f GROUP BY ALL),
 pairs AS (SELECT b.ledger, b.file_no FROM files a JOIN files b ON a.ledger = b.ledger AND a.file_no + 1 = b.file_no),
 prev AS (SELECT h.ledger, h.file_no + 1 AS file_no, path, t FROM heads h JOIN pairs p ON p.ledger = h.ledger AND p.file_no = h.file_no + 1),
@@ -92,13 +97,33 @@ n AS (SELECT new.ledger, new.file_no, new.path, new.t, f.run, f.v FROM new
 gs AS (SELECT ledger, file_no, path, any_value(t) AS t, list_sort(list((run, v))) AS held FROM g GROUP BY ALL),
 ns AS (SELECT ledger, file_no, path, any_value(t) AS t, list_sort(list((run, v))) AS held FROM n GROUP BY ALL),
 ren AS (SELECT gs.ledger, gs.file_no, gs.path AS a, ns.path AS b FROM gs JOIN ns
-        ON gs.ledger = ns.ledger AND gs.file_no = ns.file_no AND gs.t = ns.t AND gs.held = ns.held)
+        ON gs.ledger = ns.ledger AND gs.file_no = ns.file_no AND gs.t = ns.t AND gs.held = ns.held)"""
+
+P5_FOUND = _P5 + r"""
 SELECT ledger, file_no, 'renamed' AS change_kind, a AS field_path, b AS new_path FROM ren
 UNION ALL SELECT ledger, file_no, 'removed', path, '' FROM gone ANTI JOIN ren ON ren.ledger = gone.ledger AND ren.file_no = gone.file_no AND ren.a = gone.path
 UNION ALL SELECT ledger, file_no, 'added', path, '' FROM new ANTI JOIN ren ON ren.ledger = new.ledger AND ren.file_no = new.file_no AND ren.b = new.path
 UNION ALL SELECT ledger, file_no, 'retyped', path, '' FROM cur JOIN prev USING (ledger, file_no, path) WHERE cur.t <> prev.t
 """
 
+P5_VALUES = _P5 + r""",
+last AS (SELECT ledger, max(file_no) AS last FROM files GROUP BY ledger),
+named AS (
+  SELECT ledger, file_no, path, file_no AS at, path AS latest FROM heads
+  UNION ALL SELECT m.ledger, m.file_no, m.path, m.at + 1, coalesce(ren.b, m.latest) FROM named m JOIN last ON last.ledger = m.ledger
+  LEFT JOIN ren ON ren.ledger = m.ledger AND ren.file_no = m.at + 1 AND ren.a = m.latest WHERE m.at < last.last),
+final AS (SELECT m.ledger, m.file_no, m.path, m.latest FROM named m JOIN last ON last.ledger = m.ledger AND m.at = last.last),
+w AS (SELECT fl.*, latest, CASE WHEN jt = 'BOOLEAN' THEN 1 WHEN jt = 'DOUBLE' THEN 4 WHEN jt = 'VARCHAR' THEN 8 WHEN jt = 'ARRAY' THEN 16 ELSE 2 END AS bit FROM fl JOIN final USING (ledger, file_no, path)),
+b1 AS (SELECT ledger, latest, file_no, bit_or(bit) AS bits FROM w GROUP BY ALL),
+b2 AS (SELECT ledger, latest, arg_max(bits, file_no) AS bits FROM b1 GROUP BY ALL),
+kinds AS (SELECT latest, bit_or(bits) AS b FROM b2 GROUP BY latest)
+SELECT ledger, run AS run_id, latest AS field,
+       CASE WHEN b & 16 > 0 THEN 'array' WHEN b & 8 > 0 OR (b & 1 > 0 AND b & 6 > 0) THEN 'string' WHEN b & 1 > 0 THEN 'boolean' WHEN b & 4 > 0 THEN 'double' ELSE 'bigint' END AS kind,
+       file_no, coalesce(plain, v) AS value
+FROM w JOIN kinds USING (latest) WHERE run IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY ledger, run, latest ORDER BY file_no DESC, line_no DESC, (path = latest) DESC) = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_results": P1_RESULTS, "p1_errors": P1_ERRORS, "p1_chunks": P1_CHUNKS, "p1_quote_ranks": P1_QUOTE_RANKS, "p1_quote_ranks_fixed": P1_QUOTE_RANKS_FIXED, "p1_claims": P1_CLAIMS, "p3_found": P3_FOUND, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p1_results": P1_RESULTS, "p1_errors": P1_ERRORS, "p1_chunks": P1_CHUNKS, "p1_quote_ranks": P1_QUOTE_RANKS, "p1_quote_ranks_fixed": P1_QUOTE_RANKS_FIXED, "p1_claims": P1_CLAIMS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_values": P5_VALUES}

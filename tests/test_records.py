@@ -109,18 +109,65 @@ def test_field_changes_whole_and_broken_numbers_are_one_type(spark):
     assert schema_drift.field_changes(_fields(spark, [])).count() == 0
 
 
+def _changes(spark, files):
+    return sorted((r["file_no"], r["change_kind"], r["field_path"], r["new_path"]) for r in schema_drift.field_changes(_fields(spark, _files(files))).collect())
+
+
+def test_a_rename_needs_the_same_types_and_values(spark):
+    swapped = {1: [{"run_id": "a", "a": "5"}, {"run_id": "b", "a": 7}], 2: [{"run_id": "a", "b": 5}, {"run_id": "b", "b": "7"}]}
+    assert _changes(spark, swapped) == [(2, "added", "b", ""), (2, "removed", "a", "")]
+    whole = {1: [{"run_id": "a", "a": 5.0, "l": [1.0, {"k": 2.0}]}], 2: [{"run_id": "a", "b": 5, "m": [1, {"k": 2}]}]}
+    assert _changes(spark, whole) == [(2, "renamed", "a", "b"), (2, "renamed", "l", "m")]
+    fewer = {1: [{"run_id": "a", "a": 1}, {"run_id": "b"}], 2: [{"run_id": "a", "b": 1}, {"run_id": "b", "b": 1}]}
+    assert _changes(spark, fewer) == [(2, "added", "b", ""), (2, "removed", "a", "")]
+    no_run = {1: [{"run_id": "a", "a": 1}], 2: [{"run_id": "z", "b": 1}]}
+    assert _changes(spark, no_run) == [(2, "added", "b", ""), (2, "removed", "a", "")]
+
+
+def test_every_pair_that_agrees_is_a_rename(spark):
+    files = {1: [{"run_id": "a", "x": 1}], 2: [{"run_id": "a", "q.x": 1, "b": 1}]}
+    assert _changes(spark, files) == [(2, "renamed", "x", "b"), (2, "renamed", "x", "q.x")]
+
+
+def test_copies_of_a_line_count_once(spark):
+    files = {1: [{"run_id": "a", "x": 1}] * 50 + [{"run_id": "a", "x": 2}], 2: [{"run_id": "a", "y": 2}] * 3 + [{"run_id": "a", "y": 1}]}
+    assert _changes(spark, files) == [(2, "renamed", "x", "y")]
+
+
+def _union(spark, rows):
+    fields = _fields(spark, rows).cache()
+    heads = schema_drift.file_schemas(fields)
+    names = schema_drift.latest_names(schema_drift.field_changes(fields), heads)
+    return schema_drift.union_rows(fields, names), schema_drift.union_schema(heads, names)
+
+
 def test_union_table_has_the_latest_layout(spark):
     files = {
         1: [{"run_id": "a", "x": 1, "t": "u"}, {"run_id": "b", "x": 2, "t": "v"}],
         2: [{"run_id": "b", "y": 2, "t": ["v"]}, {"run_id": "c", "y": 3.5, "t": ["w", "q"]}],
     }
-    fields = _fields(spark, _files(files)).cache()
-    changes = schema_drift.field_changes(fields)
-    names = schema_drift.latest_names(changes, schema_drift.file_schemas(fields))
-    schema = [s for s in schema_drift.union_schema(fields, names) if s[0] != "run_id"]
-    assert schema == [("t", "array"), ("y", "double")]
-    rows = {r["run"]: (r["file_no"], r["t"], r["y"]) for r in schema_drift.union_table(fields, changes, schema, names).collect()}
-    assert rows == {"a": (1, ["u"], 1.0), "b": (2, ["v"], 2.0), "c": (2, ["w", "q"], 3.5)}
+    rows, schema = _union(spark, _files(files))
+    assert sorted(tuple(r)[:2] for r in schema.collect()) == [("run_id", "string"), ("t", "array"), ("y", "double")]
+    found = {r["run"]: (r["file_no"], r["t"], r["y"]) for r in schema_drift.union_table(rows, schema, ["run_id"]).collect()}
+    assert found == {"a": (1, ["u"], 1.0), "b": (2, ["v"], 2.0), "c": (2, ["w", "q"], 3.5)}
+    few = schema_drift.union_table(rows, schema, ["run_id"], most_columns=1)
+    assert few.columns == ["grp", "run", "file_no", "t", "more_fields"] and {r["run"]: r["more_fields"] for r in few.collect()} == {"a": {"y": "1"}, "b": {"y": "2"}, "c": {"y": "3.5"}}
+
+
+def test_a_chain_of_renames_ends_in_the_last_name(spark):
+    files = {n: [{"run_id": f"r{m}", f"n{n}": m} for m in (n - 1, n)] for n in range(1, 12)}
+    rows, schema = _union(spark, _files(files))
+    assert {(r["run"], r["path"], r["value"]) for r in rows.collect() if r["path"] != "run_id"} == {(f"r{m}", "n11", str(m)) for m in range(12)}
+    assert sorted(r["path"] for r in schema.collect()) == ["n11", "run_id"]
+
+
+def test_names_that_differ_in_case_are_two_columns(spark):
+    rows, schema = _union(spark, _files({1: [{"run_id": "a", "Limit": 1, "limit": 2, "file_no": 3, "x.y": 4}]}))
+    table = schema_drift.union_table(rows, schema, ["run_id"])
+    assert table.columns == ["grp", "run", "file_no", "Limit", "file_no_2", "limit_2", "x.y"]
+    assert tuple(table.first()) == ("l", "a", 1, 1, 3, 2, 4)
+    empty, none = _union(spark, [])
+    assert schema_drift.union_table(empty, none).columns == ["grp", "run", "file_no"]
 
 
 def test_every_field_of_a_result_is_in_a_flat_table(spark, tmp_path):
