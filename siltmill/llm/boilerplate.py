@@ -1,12 +1,17 @@
-"""Lines repeated across the documents of one site.
+"""Text repeated across the documents of one site.
 
-Each document is normalised and divided into content-defined chunks: a chunk ends where a rolling hash of the last
-bytes has its low bits zero, and at the ends of lines, since lines are what is reported. The chunks of a line depend on
-that line alone. Distinct documents are counted for each chunk and site. A line can only be excessive if all its
-chunks are, so lines with a rare chunk are out; the others are counted exactly, on their normal form.
+``repeated_spans`` takes no notice of lines: the words of a document are divided into content-defined chunks, which
+end where a rolling hash of the last words has its low bits zero. Distinct documents are counted for each chunk and
+site, and chunks that stand in too many are reported as spans; so is boilerplate that runs over line ends or stands
+within a longer line.
 
-The chunks that are excessive are told to the second pass in a bitmap of fixed size, 2**sieve_bits bits, whatever the
-corpus; cells that are shared only add lines to the exact count.
+``repeated_lines`` reports whole lines. Its chunks end where a rolling hash of the last bytes has its low bits zero, and
+besides at the ends of lines, as a line shorter than a chunk would be lost between its neighbours otherwise. A line can
+only be excessive if all its chunks are, so lines with a rare chunk are out; the others are counted exactly.
+
+The chunks that are excessive are told to the second pass in a bitmap of fixed size, 2**sieve_bits bits; cells that are
+shared only add to the exact count. Where more than an eighth of the cells would be taken, the bitmap is of no use: then
+all lines or chunks are counted exactly, as hashes of 128 bits, without their texts.
 
 Defined results: null and blank texts are not counted and have no lines; lines without letters or digits don't
 count; rows equal in key, site and text are one document; a null site makes no site, its documents have no excessive
@@ -17,11 +22,12 @@ table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmill.runtime import cut
@@ -32,6 +38,9 @@ _EDGES = re.compile(r"(?m)^ +| +$")
 _BLANKS = re.compile(r"  +")
 _WINDOW, _MASK = 8, np.uint64(0x1F)
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
+_WORD = re.compile(r"[^\W_]+")
+#: Units of a document, for one batch: row, place, first and last character, bytes to hash.
+Units = Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]]
 
 
 def normal_lines(text: str) -> list[str]:
@@ -87,30 +96,99 @@ def _lines_of(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def repeated_lines(df: DataFrame, key: str, site: str, text: str, least_docs: int = 8, least_share: float = 0.05, sieve_bits: int = 23) -> DataFrame:
     """(key, line_no) of the lines that stand in ``least_docs`` documents and ``least_share`` of those of their site."""
-    spark = df.sparkSession
+    found = _excessive(df, key, site, text, _line_units, least_docs, least_share, sieve_bits)
+    return found.select("key", F.col("no").alias("line_no")).distinct().withColumnRenamed("key", key)
+
+
+def repeated_spans(df: DataFrame, key: str, site: str, text: str, least_docs: int = 8, least_share: float = 0.05, sieve_bits: int = 23) -> DataFrame:
+    """(key, first, last): characters, from 1, of the runs of chunks that are repeated excessively within a site.
+
+    A row of ``df`` is a document; keys with several texts have the spans of each.
+    """
+    found = _excessive(df, key, site, text, _chunk_units, least_docs, least_share, sieve_bits).select("key", "d", "no", "first", "last").distinct()
+    run = Window.partitionBy("key", "d").orderBy("no")
+    runs = found.withColumn("run", F.col("no") - F.row_number().over(run)).groupBy("key", "d", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.select("key", "first", "last").distinct().withColumnRenamed("key", key)
+
+
+def _excessive(df: DataFrame, key: str, site: str, text: str, units: Units, least_docs: int, least_share: float, sieve_bits: int) -> DataFrame:
+    """(key, site, d, no, first, last) of the units, lines or chunks, that stand in too many documents of their site."""
     docs = df.select(F.col(key).alias("key"), F.col(site).alias("site"), F.col(text).alias("text"))
     docs = docs.filter(F.col("key").isNotNull() & F.col("site").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
     docs = docs.select("key", "site", "text", F.xxhash64("site").alias("seed"), F.xxhash64("key", "text").alias("d"))
-    # Copies of a row count once: exactly for the size of a site, and for lines below.
+    # Copies of a row count once: exactly for the size of a site, and for units below.
     sizes = docs.select("site", "seed", "d").distinct().groupBy("site", "seed").agg(F.count(F.lit(1)).alias("n_site"))
     needed = F.greatest(F.lit(least_docs), F.ceil(F.col("n_site") * least_share - 1e-9))
-    sizes = sizes.select("site", "seed", needed.alias("needed"))
+    sizes = cut(sizes.select("site", "seed", needed.alias("needed")))
 
-    counted = docs.select("text", "seed").mapInPandas(_chunk_counts, "seed long, chunk long, n long").groupBy("seed", "chunk").agg(F.sum("n").alias("n"))
+    counted = docs.select("text", "seed").mapInPandas(_chunk_counts(units), "seed long, chunk long, n long").groupBy("seed", "chunk").agg(F.sum("n").alias("n"))
     often = counted.filter(F.col("n") >= least_docs).join(sizes, "seed").filter("n >= needed")
-    cells = 1 << sieve_bits
-    hit = often.select(F.pmod("chunk", F.lit(cells)).cast("int").alias("cell")).distinct().toArrow()["cell"]
+    sieve = _sieve(often, 1 << sieve_bits)
+
+    kind = dict(df.dtypes)[key]
+    left = cut(docs.mapInPandas(_candidates(units, sieve, 1 << sieve_bits), f"key {kind}, site string, d long, no int, first int, last int, h1 long, h2 long"))
+    unit = ["site", "h1", "h2"]
+    in_docs = left.select(*unit, "d").distinct().groupBy(*unit).agg(F.count(F.lit(1)).alias("n"))
+    return left.join(in_docs.join(sizes.select("site", "needed"), "site").filter("n >= needed").select(*unit), unit, "left_semi")
+
+
+def _sieve(often: DataFrame, cells: int):  # noqa: ANN202
+    """The cells of the excessive chunks as a broadcast bitmap; None if they are too many for one."""
+    hit = often.select(F.pmod("chunk", F.lit(cells)).cast("int").alias("cell")).distinct().limit(cells // 8 + 1).toArrow()["cell"]
+    if len(hit) > cells // 8:
+        return None
     bitmap = np.zeros(cells, bool)
     bitmap[hit.to_numpy()] = True
-    sieve = spark.sparkContext.broadcast(np.packbits(bitmap))
+    return often.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+
+def _line_units(pdf: pd.DataFrame):  # noqa: ANN202
+    """Lines as units, and the unit and hash of each of their chunks. Characters are not looked at: 0."""
+    lines, row, number = _lines_of(pdf)
+    line, h = chunk_lines(lines)
+    none = np.zeros(len(row), np.int64)
+    return row, number, none, none, [x.encode("utf-8", "surrogatepass") for x in lines], line, h
 
-    kind = dict(df.dtypes)[key]
-    left = cut(docs.mapInPandas(_candidates(sieve, cells), f"key {kind}, site string, line_no int, line string, d long"))
-    excessive = (
-        left.select("site", "line", "d").distinct().groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).join(sizes.select("site", "needed"), "site").filter("n >= needed").select("site", "line")
-    )
-    found = left.join(excessive, ["site", "line"], "left_semi").select("key", "line_no").distinct()
-    return found.withColumnRenamed("key", key)
+
+def word_chunks(words: list[str], least: int = 6, window: int = 3, mask: int = 7) -> list[int]:
+    """The ends of the content-defined chunks of a sequence of words.
+
+    A chunk ends where the rolling hash of the last ``window`` words has its low bits zero, but not within ``least``
+    words of the end before, so common phrases are no chunks of their own.
+    """
+    n = len(words)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    rolling = np.zeros(n, np.uint64)
+    for j in range(window):
+        rolling[j:] += (h[: n - j] * _R) << np.uint64(j)
+    at = np.nonzero(((rolling >> np.uint64(40)) & np.uint64(mask)) == 0)[0] + 1
+    out, last = [], 0
+    for e in at.tolist():
+        if e - last >= least:
+            out.append(e)
+            last = e
+    if n > last:
+        out.append(n)
+    return out
+
+
+def _chunk_units(pdf: pd.DataFrame):  # noqa: ANN202
+    """Chunks of words as units of their own, wherever lines end. Digits count as 0."""
+    row, no, first, last, raw = [], [], [], [], []
+    for r, text in enumerate(pdf["text"]):
+        spans = [m.span() for m in _WORD.finditer(text)]
+        words = [_DIGITS.sub("0", text[a:b].lower()) for a, b in spans]
+        start = 0
+        for i, end in enumerate(word_chunks(words)):
+            row.append(r)
+            no.append(i)
+            first.append(spans[start][0] + 1)
+            last.append(spans[end - 1][1])
+            raw.append(" ".join(words[start:end]).encode("utf-8", "surrogatepass"))
+            start = end
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+    as_int = lambda x: np.array(x, np.int64)
+    return as_int(row), as_int(no), as_int(first), as_int(last), raw, np.arange(len(raw)), h
 
 
 def _of_site(h: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -119,39 +197,43 @@ def _of_site(h: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def _chunk_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents of this batch by site and chunk: each document counts once."""
-    for pdf in batches:
-        lines, row, _ = _lines_of(pdf)
-        line, h = chunk_lines(lines)
-        doc = row[line]
-        seed = pdf["seed"].to_numpy(np.int64)
-        h = _of_site(h, seed[doc])
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, doc = h[new], doc[new]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        at = np.nonzero(first)[0]
-        yield pd.DataFrame({"seed": seed[doc[at]], "chunk": h[at], "n": np.diff(np.append(at, len(h)))})
-
-
-def _candidates(sieve, cells: int):  # noqa: ANN001, ANN202
-    """Lines of which every chunk is in the sieve."""
+def _chunk_counts(units: Units):  # noqa: ANN202
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents of a batch by site and chunk: each document counts once."""
+        for pdf in batches:
+            row, _, _, _, _, unit, h = units(pdf)
+            doc = row[unit]
+            seed = pdf["seed"].to_numpy(np.int64)
+            h = _of_site(h, seed[doc])
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h, doc = h[new], doc[new]
+            first = np.ones(len(h), bool)
+            first[1:] = h[1:] != h[:-1]
+            at = np.nonzero(first)[0]
+            yield pd.DataFrame({"seed": seed[doc[at]], "chunk": h[at], "n": np.diff(np.append(at, len(h)))})
+
+    return count
+
+
+def _candidates(units: Units, sieve, cells: int):  # noqa: ANN001, ANN202
+    """Units of which every chunk is in the sieve; all that have a chunk where there is none."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = np.unpackbits(sieve.value).view(bool)
+        bitmap = None if sieve is None else np.unpackbits(sieve.value).view(bool)
         for pdf in batches:
-            lines, row, number = _lines_of(pdf)
-            line, h = chunk_lines(lines)
-            cell = _of_site(h, pdf["seed"].to_numpy(np.int64)[row[line]]) % cells
-            miss = np.bincount(line, weights=~bitmap[cell], minlength=len(lines))
-            some = np.bincount(line, minlength=len(lines))
-            at = np.nonzero((some > 0) & (miss == 0))[0]
+            row, number, first, last, raw, unit, h = units(pdf)
+            some = np.bincount(unit, minlength=len(row)) > 0
+            if bitmap is not None:
+                cell = _of_site(h, pdf["seed"].to_numpy(np.int64)[row[unit]]) % cells
+                some &= np.bincount(unit, weights=~bitmap[cell], minlength=len(row)) == 0
+            at = np.nonzero(some)[0]
             r = row[at]
+            h1, h2 = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i]) for i in at), ">i8").astype(np.int64).reshape(-1, 2).T
             yield pd.DataFrame(
-                {"key": pdf["key"].to_numpy(object)[r], "site": pdf["site"].to_numpy(object)[r], "line_no": number[at], "line": [lines[i] for i in at], "d": pdf["d"].to_numpy(np.int64)[r]}
+                {"key": pdf["key"].to_numpy(object)[r], "site": pdf["site"].to_numpy(object)[r], "d": pdf["d"].to_numpy(np.int64)[r], "no": number[at], "first": first[at], "last": last[at], "h1": h1, "h2": h2}
             )
 
     return scan
@@ -163,3 +245,12 @@ def without_lines(df: DataFrame, key: str, text: str, lines: DataFrame) -> DataF
     kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), (i + 1).cast("int")))
     joined = df.join(gone, key, "left")
     return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_gone")
+
+
+def without_spans(df: DataFrame, key: str, text: str, spans: DataFrame) -> DataFrame:
+    """All rows of ``df`` with those spans cut from their texts."""
+    gone = spans.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_gone"))
+    start = F.struct(F.lit("").alias("kept"), F.lit(1).alias("at"))
+    step = lambda a, x: F.struct(F.concat(a["kept"], F.substring(F.col(text), a["at"], F.greatest(x["first"] - a["at"], F.lit(0)))).alias("kept"), F.greatest(a["at"], x["last"] + 1).alias("at"))
+    rest = lambda a: F.concat(a["kept"], F.substring(F.col(text), a["at"], F.length(text)))
+    return df.join(gone, key, "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.aggregate("_gone", start, step, rest))).drop("_gone")

@@ -1,6 +1,7 @@
 """Near-duplicate texts: an exact similarity join by rare-first prefix filtering.
 
-Texts are sets of k-word shingles. Exact copies (equal sets) are folded into classes before anything is joined.
+Texts are sets of k-word shingles. Exact copies (equal sets) are folded into classes before anything is joined; copies
+of a class are told by its hash and confirmed by a second one over other word hashes.
 Shingles are ordered rare first; two sets of Jaccard similarity t or more must share a shingle within their
 prefixes of n - ceil(t n) + 1 shingles, so the join is on the prefix n-grams. Within a join group pairs pass
 
@@ -13,10 +14,12 @@ prefixes of n - ceil(t n) + 1 shingles, so the join is on the prefix n-grams. Wi
 Each filter is free of false negatives. Candidates are made distinct and verified once, on the words themselves.
 
 Scale: the order needs counts of all shingles. They are kept in a table of 2**count_bits cells, whatever the size
-of the corpus (cells that are shared only blur the order, never the result), so it can be broadcast. Postings travel
+of the corpus (cells that are shared only blur the order, never the result), so it can be broadcast. Each task hands
+its counts on as packed ranges of cells, which are summed range by range in arrays of fixed size. Postings travel
 as one packed row for each (batch of texts, join part): a text's sketch goes along once for each part, not once for
-each posting. A shingle in more than ``block`` texts is divided: its texts are hashed into blocks, and each pair of
-blocks is a join group of its own, so no task holds more than two blocks of a group, and none is dropped.
+each posting. The number of parts follows from the counted postings, so that a part fits in a task. A shingle in more
+than ``block`` texts is divided: its texts are hashed into blocks, and each pair of blocks is a join group of its own,
+so no task holds more than two blocks of a group, and none is dropped. Copies are expanded into pairs in blocks too.
 
 Defined results: null texts and texts of fewer than k words have no set and are like nothing. Rows repeated with the
 same key and text count once. A key with several texts has the links of each. Null keys are left out. An empty table
@@ -41,6 +44,10 @@ from siltmill.llm.shingles import BLOCK, HASH_BITS, HASH_MASK, Shingler, exact_s
 from siltmill.runtime import cut
 
 _SIEVE = 1 << 18
+#: Ranges of the count table, each summed by one task.
+_RANGES = 64
+#: Postings that a join part holds, about; texts that a task remembers as seen; copies in a block of pairs.
+_PART_POSTINGS, _SEEN, _COPIES = 4_000_000, 1 << 20, 2_000
 #: The packed order of a text's shingles: text, rank class, the upper bits of the hash.
 _RANK_BITS = 8
 _LOW = HASH_BITS - _RANK_BITS
@@ -51,7 +58,8 @@ _TOKEN_MASK = np.uint64((1 << _LOW) - 1)
 class NearDup:
     """Classes of exact copies and the links between them.
 
-    ``members``: key, cls (the class), one row for each key and text. ``links``: a < b (classes), similarity.
+    ``members``: rid (hash of key and text), key, cls (the class), chk (its second hash), one row for each key and text.
+    ``links``: a < b (classes), similarity.
     """
 
     members: DataFrame
@@ -67,14 +75,15 @@ def near_duplicates(
 ) -> NearDup:
     """All links of similarity ``threshold`` or more between different texts, and the classes of equal ones."""
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
     texts = texts.select(F.xxhash64("key", "text").alias("rid"), "key", "text")
 
     scanned = cut(_scan(texts, k, count_bits))
-    docs = scanned.filter("rid is not null").select("rid", "key", "cls", "n").distinct()
-    counts = scanned.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"))
-    order = spark.sparkContext.broadcast(_order_table(counts, count_bits))
+    docs = scanned.filter("rid is not null").select("rid", "key", "cls", "chk", "n").distinct()
+    order = spark.sparkContext.broadcast(_order_table(scanned.filter("part is not null").select("part", "cells"), count_bits))
+    if parts is None:
+        prefix = scanned.filter("rid is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(prefix or 0) // _PART_POSTINGS))
 
     postings = _postings(texts.select("text"), k, threshold, count_bits, block, parts, order)
     candidates = postings.repartitionById(parts, F.col("part")).mapInPandas(_joiner(threshold), "a long, b long").distinct()
@@ -86,25 +95,30 @@ def near_duplicates(
         .select("a", "b", "ra", "rb")
     )
     links = cut(_verified(cut(pairs), texts, k, threshold))
-    return NearDup(docs.select("key", "cls"), links)
+    return NearDup(docs.select("rid", "key", "cls", "chk"), links)
 
 
 def _scan(texts: DataFrame, k: int, count_bits: int) -> DataFrame:
-    """One pass for two things: each text's class and size, and each task's counts of shingles by cell."""
+    """One pass for two things: each text's class and size, and each task's counts of shingles, packed by range of cells."""
+    width = max(1, (1 << count_bits) // _RANGES)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, cells = Shingler(k), np.zeros(1 << count_bits, np.int64)
         for pdf in _blocks(batches):
             packed, size = shingler.sets(pdf["text"])
-            np.add.at(cells, (packed & np.uint64((1 << count_bits) - 1)).astype(np.int64), 1)
-            out = pd.DataFrame({"rid": pdf["rid"], "key": pdf["key"], "cls": _classes(packed, size).view(np.int64), "n": size})
-            yield _two_kinds(out[size > 0], None)
-        at = np.nonzero(cells)[0]
-        for i in range(0, len(at), 1 << 16):
-            yield _two_kinds(None, pd.DataFrame({"cell": at[i : i + (1 << 16)], "n": cells[at[i : i + (1 << 16)]]}))
+            cells += np.bincount((packed & np.uint64((1 << count_bits) - 1)).astype(np.int64), minlength=1 << count_bits)
+            cls, chk = _classes(packed, size)
+            out = pd.DataFrame({"rid": pdf["rid"], "key": pdf["key"], "cls": cls.view(np.int64), "chk": chk.view(np.int64), "n": size, "part": pd.array([None] * len(size), "Int32"), "cells": None})
+            yield out[size > 0]
+        none = pd.array([None], "Int64")
+        for p in range(0, 1 << count_bits, width):
+            at = np.nonzero(cells[p : p + width])[0]
+            if len(at):
+                counts = at.astype(np.uint32).tobytes() + cells[p + at].tobytes()
+                yield pd.DataFrame({"rid": none, "key": None, "cls": none, "chk": none, "n": none, "part": pd.array([p // width], "Int32"), "cells": [counts]})
 
     kind = dict(texts.dtypes)["key"]
-    return texts.mapInPandas(scan, f"rid long, key {kind}, cls long, cell int, n long")
+    return texts.mapInPandas(scan, f"rid long, key {kind}, cls long, chk long, n long, part int, cells binary")
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,32 +127,40 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.iloc[i : i + BLOCK].reset_index(drop=True)
 
 
-def _classes(packed: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each text's set; 0 where it is empty."""
+def _classes(packed: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each text's set, of the same shingles mixed in different ways; 0 where it is empty."""
     h = packed & HASH_MASK
+    other = (h ^ (h >> np.uint64(23))) * np.uint64(0x94D049BB133111EB)
+    other = other ^ (other >> np.uint64(31))
     ends = np.cumsum(size)
     digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(h[e - n : e].tobytes()) if n else 0 for n, e in zip(size.tolist(), ends.tolist(), strict=True)], np.uint64)
-
-
-def _two_kinds(docs: pd.DataFrame | None, cells: pd.DataFrame | None) -> pd.DataFrame:
-    if docs is not None:
-        out = docs.assign(cell=pd.array([None] * len(docs), dtype="Int32"))
-    else:
-        none = pd.array([None] * len(cells), dtype="Int64")
-        out = cells.assign(rid=none, key=None, cls=none)
-    return out[["rid", "key", "cls", "cell", "n"]]
+    cls = np.array([digest(h[e - n : e].tobytes()) if n else 0 for n, e in zip(size.tolist(), ends.tolist(), strict=True)], np.uint64)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(other, dtype=np.uint64)])
+    return cls, total[ends] - total[ends - size]
 
 
 def _order_table(counts: DataFrame, count_bits: int) -> np.ndarray:
     """Rank classes of the cells, as bytes: 0 not seen, 1 seen once, then by eighths of the binary logarithm.
 
-    Of fixed size, 2**count_bits bytes at most, whatever the corpus.
+    Of fixed size, 2**count_bits bytes, whatever the corpus: each range of cells is summed by one task, in an array as
+    long as the range, and comes to the driver as one row of bytes.
     """
-    rank = F.when(F.col("n") == 1, 1).otherwise(F.least(F.lit(255), F.ceil(F.log2("n") * 8) + 1))
-    rows = counts.select("cell", rank.cast("short").alias("rank")).toArrow()
+    width = max(1, (1 << count_bits) // _RANGES)
+
+    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for part, blob in zip(pdf["part"].tolist(), pdf["cells"], strict=True):
+                n = len(blob) // 12
+                at, c = np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.int64, n, 4 * n)
+                sums.setdefault(part, np.zeros(width, np.int64))[at] += c
+        for part, n in sums.items():
+            rank = np.where(n > 1, np.minimum(255, np.ceil(np.log2(np.maximum(n, 1)) * 8) + 1), n).astype(np.uint8)
+            yield pd.DataFrame({"part": [part], "ranks": [rank.tobytes()]})
+
     table = np.zeros(1 << count_bits, np.uint8)
-    table[rows["cell"].to_numpy()] = rows["rank"].to_numpy()
+    for r in counts.repartitionById(_RANGES, F.col("part")).mapInPandas(ranks, "part int, ranks binary").collect():
+        table[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["ranks"], np.uint8)
     return table
 
 
@@ -151,8 +173,10 @@ def _postings(texts: DataFrame, k: int, t: float, count_bits: int, block: int, p
         hot = min(255, math.ceil(math.log2(block) * 8) + 1)
         for pdf in _blocks(batches):
             packed, size = shingler.sets(pdf["text"])
-            cls = _classes(packed, size)
+            cls = _classes(packed, size)[0]
             keep = np.zeros(len(size), bool)
+            if len(seen) > _SEEN:  # a text that comes again is only sent again
+                seen.clear()
             for i, c in enumerate(cls.tolist()):
                 if size[i] and c not in seen:
                     keep[i] = True
@@ -175,14 +199,12 @@ def _postings(texts: DataFrame, k: int, t: float, count_bits: int, block: int, p
                 owner, h, pos, side = _divide(owner, h, rank, pos, side, cls, hot, block)
             part = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[by], np.arange(parts + 1))
+            sent, cuts = np.unique(part[by], return_index=True)
             rows = []
-            for p in range(parts):
-                i = by[cuts[p] : cuts[p + 1]]
-                if len(i):
-                    own, local = np.unique(owner[i], return_inverse=True)
-                    bits = _gather(sketch, sketch_at[own], 2 << level[own])
-                    rows.append((p, _pack(cls[own], n[own], level[own], bits, h[i], local, pos[i], side[i])))
+            for p, i in zip(sent.tolist(), np.split(by, cuts[1:]), strict=True):
+                own, local = np.unique(owner[i], return_inverse=True)
+                bits = _gather(sketch, sketch_at[own], 2 << level[own])
+                rows.append((p, _pack(cls[own], n[own], level[own], bits, h[i], local, pos[i], side[i])))
             yield pd.DataFrame(rows, columns=["part", "packed"])
 
     return texts.mapInPandas(emit, "part int, packed binary")
@@ -374,21 +396,31 @@ def linked_pairs(found: NearDup) -> DataFrame:
     a = m.select(F.col("key").alias("x"), F.col("cls").alias("a"))
     b = m.select(F.col("key").alias("y"), F.col("cls").alias("b"))
     across = found.links.join(a, "a").join(b, "b").select("x", "y")
-    within = a.join(b, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
-    both = across.unionByName(within).filter("x <> y")
+    both = across.unionByName(_copies(m)).filter("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def _copies(members: DataFrame) -> DataFrame:
+    """(x, y): the pairs of copies. Those of one text are hashed into blocks; each pair of blocks is a join group of its own."""
+    sizes = members.groupBy("cls", "chk").agg(F.ceil(F.count(F.lit(1)) / _COPIES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    own = members.join(sizes, ["cls", "chk"]).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    spread = own.select("cls", "chk", "rid", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = spread.select("cls", "chk", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rid", "key")
+    left = cell.filter("own = low").select("cls", "chk", "low", "high", F.col("rid").alias("r"), F.col("key").alias("x"))
+    right = cell.filter("own = high").select("cls", "chk", "low", "high", F.col("rid").alias("s"), F.col("key").alias("y"))
+    return left.join(right, ["cls", "chk", "low", "high"]).filter("low < high or r < s").select("x", "y")
+
+
 def groups(found: NearDup) -> DataFrame:
-    """(key, cls, group_id, n_copies, n_links): one row for each key and text.
+    """(key, group_id, n_copies, n_links): one row for each key and text.
 
-    ``group_id`` is the smallest class of the connected group, ``n_copies`` the rows of the class, ``n_links`` the
+    ``group_id`` is the smallest key of the connected group, ``n_copies`` the rows of the class, ``n_links`` the
     classes linked to it.
     """
     of = components(found.links.select("a", "b"))
     ends = found.links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    sizes = found.members.groupBy("cls").agg(F.count(F.lit(1)).alias("n_copies"))
-    classes = sizes.join(ends, "cls", "left").join(of.select(F.col("node").alias("cls"), "group"), "cls", "left")
-    return found.members.join(classes, "cls").select(
-        "key", "cls", F.coalesce("group", "cls").alias("group_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    sizes = found.members.groupBy("cls").agg(F.count(F.lit(1)).alias("n_copies"), F.min("key").alias("least"))
+    classes = sizes.join(ends, "cls", "left").join(of.select(F.col("node").alias("cls"), "group"), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+    first = classes.groupBy("group").agg(F.min("least").alias("group_id"))
+    named = classes.join(first, "group").select("cls", "group_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.members.join(named, "cls").select("key", "group_id", "n_copies", "n_links")

@@ -1,10 +1,13 @@
 """Fill containers of fixed capacity: conflict-constrained best fit.
 
-Items go in by falling size, those of a duplicate cluster large enough to touch most bins first. Open bins are kept by the room they have left, each with a bitmap of the sources and one
-of the duplicate clusters in it. The successor search starts at the tightest bin that holds the item and goes on to
-looser ones until a compatible one is found. Two members of a duplicate cluster never share a bin. Two items of one
-source avoid each other too, but only as long as a bin without that source has room: where one source holds much of the data,
-a strict rule would leave bins half empty.
+Items go in by falling size, those of a duplicate cluster large enough to touch most bins first. Open bins are kept by
+the room they have left, each with a bitmap of the sources and one of the duplicate clusters in it. The successor search
+starts at the tightest bin that holds the item and goes on to looser ones until a compatible one is found; if there is
+none, a bin is opened. Two members of a duplicate cluster never share a bin.
+
+``sources`` says how two items of one source are treated. "strict": they never share a bin either. "avoid": they do only
+if no other open bin has room, which keeps bins full where one source holds much of the data. "shared": no constraint.
+``containers`` counts the sources of each bin, so what "avoid" gave up is reported.
 
 An item larger than the capacity is cut into full pieces, which are bins of their own, and a rest, which is packed.
 
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 from siltmill.runtime import cut
 
 
-def best_fit(items: Iterable[tuple[int, int, int]], capacity: int) -> list[int]:
+def best_fit(items: Iterable[tuple[int, int, int]], capacity: int, avoid: bool = True) -> list[int]:
     """The bin of each item (size, source, cluster), in the order given; falling size fills best.
 
-    Source and cluster are small numbers from 0, bits of a bitmap; -1 is none and conflicts with nothing.
+    Source and cluster are small numbers from 0, bits of a bitmap; -1 is none and conflicts with nothing. ``avoid`` lets
+    an item join its source where only such bins have room; otherwise a bin is opened.
     Bins that an item's cluster excludes are set aside as long as items of the same size and cluster follow, so a run
     of copies looks at each bin once.
     """
@@ -78,7 +82,7 @@ def best_fit(items: Iterable[tuple[int, int, int]], capacity: int) -> list[int]:
             aside.clear()
             run = (size, cluster)
         found = search(size, s, c)
-        if found is None and s:
+        if found is None and s and avoid:
             found = search(size, 0, c)
         if found is None:
             bin_, room = len(sources), capacity
@@ -93,11 +97,13 @@ def best_fit(items: Iterable[tuple[int, int, int]], capacity: int) -> list[int]:
     return out
 
 
-def pack(df: DataFrame, key: str, size: str, source: str, cluster: str, capacity: int = 2048, shard_items: int = 4096) -> DataFrame:
-    """(key, piece_no, start_token, size, container): each piece of each item with its container.
+def pack(df: DataFrame, key: str, size: str, source: str, cluster: str, capacity: int = 2048, shard_items: int = 4096, sources: str = "avoid") -> DataFrame:
+    """(key, piece_no, start_token, n_tokens, source, container): each piece of each item with its container.
 
     ``size`` in tokens. ``cluster`` and ``source`` may be null.
     """
+    if sources not in ("strict", "avoid", "shared"):
+        raise ValueError(f"unknown treatment of sources: {sources}")
     rows = df.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size"), F.col(source).alias("source"), F.col(cluster).alias("cluster"))
     items = cut(rows.filter("key is not null").groupBy("key").agg(F.max_by(F.struct("size", "source", "cluster"), F.coalesce("size", F.lit(-1))).alias("i")).select("key", "i.*"))
     n = items.count()
@@ -121,23 +127,26 @@ def pack(df: DataFrame, key: str, size: str, source: str, cluster: str, capacity
         pdf = pdf.assign(later=members * capacity <= pdf["size"].sum() / 2)
         pdf = pdf.sort_values(["later", "size", "cluster", "key", "i"], ascending=[True, False, True, True, True], kind="stable")
         own = pdf["cluster"].where(pdf.duplicated("cluster", keep=False) & pdf["cluster"].notna())
-        codes = zip(pdf["size"].tolist(), pd.factorize(pdf["source"])[0].tolist(), pd.factorize(own)[0].tolist(), strict=True)
+        codes = zip(pdf["size"].tolist(), (pd.factorize(pdf["source"])[0] if sources != "shared" else [-1] * len(pdf)), pd.factorize(own)[0].tolist(), strict=True)
         base = int(pdf["shard"].iloc[0]) << 32
-        pdf = pdf.assign(container=[base + b for b in best_fit(codes, capacity)])
-        return pdf[["key", "i", "size", "container"]]
+        pdf = pdf.assign(container=[base + b for b in best_fit(codes, capacity, avoid=sources == "avoid")])
+        return pdf[["key", "i", "size", "source", "container"]]
 
     kind = dict(df.dtypes)[key]
-    packed = pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(fill, f"key {kind}, i long, size long, container long")
-    none = items.filter("size is null or size <= 0").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("container"))
+    packed = pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(fill, f"key {kind}, i long, size long, source {dict(df.dtypes)[source]}, container long")
+    none = items.filter("size is null or size <= 0").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("size"), "source", F.lit(None).cast("long").alias("container"))
     out = packed.unionByName(none)
-    return out.select(F.col("key").alias(key), (F.col("i") + 1).cast("int").alias("piece_no"), (F.col("i") * cap).alias("start_token"), F.col("size").alias("n_tokens"), "container")
+    return out.select(F.col("key").alias(key), (F.col("i") + 1).cast("int").alias("piece_no"), (F.col("i") * cap).alias("start_token"), F.col("size").alias("n_tokens"), "source", "container")
 
 
 def containers(packed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """(container, n_pieces, n_tokens, unused) of each container."""
+    """(container, n_pieces, n_tokens, unused, shared_source) of each container.
+
+    ``shared_source``: the pieces beyond the first of their source in it, pieces without source aside.
+    """
     return (
         packed.filter("container is not null")
         .groupBy("container")
-        .agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
+        .agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"), (F.count("source") - F.count_distinct("source")).alias("shared_source"))
         .withColumn("unused", F.lit(capacity) - F.col("n_tokens"))
     )

@@ -2,11 +2,11 @@
 
 ``defects`` gives each pair at most one defect: empty, copy, refusal, truncated, other_language, tried in this order.
 
-Shortened answers are found by sorting the distinct answers by text, range-partitioned, and comparing neighbours: if
+Shortened answers are found by sorting all distinct answers by text, range-partitioned, and comparing neighbours: if
 one answer begins with another, so does everything that sorts between them, so it is enough to compare each answer
-with the next. A histogram of lengths shows length limits as spikes. Either marks an answer that has no proper end
-(a list item, a link, a lone word) as truncated. An answer that breaks off within a sentence is truncated even if
-nothing longer exists: its end is looked at by itself.
+with the next. A histogram of the lengths of all answers shows length limits as spikes. Either marks an answer as
+truncated unless it closes with a sentence: a short answer with which a longer one begins is whole. An answer that
+breaks off within a sentence is truncated even if nothing longer exists: its end is looked at last, by itself.
 
 Defined results: a null answer is empty; a null question cannot be copied and has no language; a null category is
 answerable. Rows repeated in all used columns count once. Rows with the same key but other texts are judged each by
@@ -93,7 +93,7 @@ def is_refusal(body: Column) -> Column:
 
 
 def ending(body: Column) -> Column:
-    """proper, unclear (a list item, a link, a lone word: both ends are possible) or broken. An ellipsis breaks off."""
+    """proper, unclear (a list item, a link: both ends are possible) or broken. A lone yes or no is whole, an ellipsis breaks off."""
     bare = F.regexp_replace(body, rf"(?:{CITATION})+\s*$", "")
     last = F.element_at(F.split(bare, "\n"), -1)
     item = last.rlike(r"^\s*(?:[-*•]|\d+[.)])\s+\S")
@@ -102,7 +102,8 @@ def ending(body: Column) -> Column:
     return (
         F.when(body.rlike(ELLIPSIS), "broken")
         .when(bare.rlike(r"""[.!?。][\p{Pe}\p{Pf}\p{Pi}"'*_`]*$"""), "proper")
-        .when((item | link | lone) & ~bare.rlike(r"[\[(,:;-]$"), "unclear")
+        .when(lone & ~bare.rlike(r"[\[(,:;-]$"), "proper")
+        .when((item | link) & ~bare.rlike(r"[\[(,:;-]$"), "unclear")
         .otherwise("broken")
     )
 
@@ -123,7 +124,7 @@ def language(text: Column, least: int = 2) -> Column:
     return bound(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)), judge)
 
 
-def shortened(texts: DataFrame, least: int = 20) -> DataFrame:
+def shortened(texts: DataFrame, least: int = 1) -> DataFrame:
     """(text): the texts of ``least`` characters or more with which another text begins.
 
     ``texts`` is one column of distinct texts. They are range-partitioned and sorted; each is compared with the next
@@ -183,7 +184,7 @@ def defects(df: DataFrame, key: list[str], question: str, answer: str, category:
     stem = F.regexp_replace(b, rf"(?:{CITATION}|[\s.!?…])+$", "")
     judged = cut(judged.withColumn("_s", stem).withColumn("_l", F.length("_b")))
     short = shortened(judged.filter("_d is null").select(F.col("_s").alias("text")).distinct()).withColumn("_short", F.lit(True))
-    spikes = length_spikes(judged.filter("_e <> 'proper'").select(F.col("_l").alias("length"))).withColumn("_spike", F.lit(True))
+    spikes = length_spikes(judged.filter("_d is null").select(F.col("_l").alias("length"))).withColumn("_spike", F.lit(True))
     open_ = judged.filter("_e <> 'proper'").join(short, F.col("_s") == F.col("text"), "left").join(spikes, F.col("_l") == F.col("length"), "left")
     cut_off = (F.col("_e") == "broken") | F.coalesce("_short", F.lit(False)) | F.coalesce("_spike", F.lit(False))
     foreign = F.coalesce(language(q, 1) != language(b), F.lit(False))

@@ -25,7 +25,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with a text, the group it belongs to, its copies and its links."""
-    return neardup.groups(_chunk_copies(spark, sf_dir)).select(F.col("key").alias("id"), "cls", "group_id", "n_copies", "n_links")
+    return neardup.groups(_chunk_copies(spark, sf_dir)).select(F.col("key").alias("id"), "group_id", "n_copies", "n_links")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,12 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.without_lines(chunks.select("id", "text").distinct(), "id", "text", lines)
 
 
+def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of text that are repeated excessively on their site, wherever lines end, by content-defined chunks."""
+    chunks = table(spark, sf_dir, "chunks").withColumn("site", host(F.col("url")))
+    return boilerplate.repeated_spans(chunks, "id", "site", "text")
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     copies = neardup.groups(neardup.near_duplicates(docs, "doc_id", "text")).select(F.col("key").alias("doc_id"), "group_id")
@@ -58,7 +64,7 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training container of each document, or of each piece of a larger one."""
-    return _packed(spark, sf_dir)
+    return _packed(spark, sf_dir).drop("source")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +86,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir).shares
 
 
+def p8_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The goals of the sources by capped water-filling, with texts measured in bytes, which SQL can count too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("source"), F.octet_length("text").alias("size")).filter("size > 0")
+    found = mixing.goals(docs.groupBy("doc_id", "source").agg(F.max("size").alias("size")), table(spark, sf_dir, "mix_targets"))
+    return found.select("source", "size", F.round("goal", 3).alias("goal"), "clamped")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents above the limit."""
     pieces = splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text", keep_small=False)
@@ -93,5 +106,5 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    of = (p2_found, p2_groups, p4_found, p6_found, p6_clean, p7_assignment, p7_containers, p8_selection, p8_shares, p9_found, p9_pieces)
+    of = (p2_found, p2_groups, p4_found, p6_found, p6_clean, p6_spans, p7_assignment, p7_containers, p8_selection, p8_shares, p8_goals, p9_found, p9_pieces)
     return {f.__name__: f for f in of}

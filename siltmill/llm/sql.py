@@ -13,6 +13,20 @@ p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS commo
 SELECT DISTINCT id_a, id_b FROM p WHERE common / (na + nb - common) >= 0.6
 """
 
+P2_GROUPS = r"""
+WITH RECURSIVE c AS (SELECT DISTINCT id, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM c),
+d AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w),
+m AS (SELECT id, md5(CAST(s AS VARCHAR)) AS cls, s FROM d WHERE len(s) > 0),
+k AS (SELECT cls, len(any_value(s)) AS n, any_value(s) AS s, count(*) AS n_copies, min(id) AS least FROM m GROUP BY cls),
+g AS (SELECT cls, n, unnest(s) AS g FROM k),
+l AS (SELECT a.cls AS a, b.cls AS b FROM g a JOIN g b ON a.g = b.g AND a.cls <> b.cls AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n)
+      GROUP BY a.cls, b.cls, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.6),
+r AS (SELECT a AS cls, b AS other FROM l UNION SELECT r.cls, l.b FROM r JOIN l ON l.a = r.other),
+f AS (SELECT k.cls, least(k.least, min(o.least)) AS group_id FROM k LEFT JOIN r ON r.cls = k.cls LEFT JOIN k o ON o.cls = r.other GROUP BY k.cls, k.least)
+SELECT m.id, group_id, n_copies, (SELECT count(*) FROM l WHERE l.a = m.cls) AS n_links FROM m JOIN k USING (cls) JOIN f USING (cls)
+"""
+
 
 P6_FOUND = r"""
 WITH c AS (SELECT DISTINCT id, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS site, text FROM chunks
@@ -25,6 +39,22 @@ e AS (SELECT site, line FROM k JOIN n USING (site) WHERE line <> '' GROUP BY sit
 SELECT DISTINCT id, CAST(line_no AS INTEGER) AS line_no FROM k SEMI JOIN e USING (site, line)
 """
 
+#: Rounds: sources above their cap are clamped, what is left goes to the others by weight, until none is above.
+P8_GOALS = r"""
+WITH RECURSIVE d AS (SELECT doc_id, lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS source, max(strlen(text)) AS size FROM documents WHERE strlen(text) > 0 GROUP BY ALL),
+s AS (SELECT t.source, t.target_share AS w, t.max_repeats AS r, CAST(coalesce(sum(d.size), 0) AS BIGINT) AS size FROM mix_targets t LEFT JOIN d ON d.source = t.source GROUP BY ALL),
+c AS (SELECT *, CAST(size * r AS DOUBLE) AS cap FROM s),
+t AS (SELECT least(sum(size) FILTER (cap > 0), sum(cap)) AS total FROM c),
+f AS (SELECT 0 AS step, source, FALSE AS clamped FROM c WHERE cap > 0 AND w > 0
+      UNION ALL
+      SELECT step + 1, source, clamped OR w * lv >= cap FROM (
+        SELECT f.step, c.source, f.clamped, c.w, c.cap, (t.total - coalesce(sum(c.cap) FILTER (f.clamped) OVER (PARTITION BY f.step), 0)) / nullif(sum(c.w) FILTER (NOT f.clamped) OVER (PARTITION BY f.step), 0) AS lv
+        FROM f JOIN c USING (source), t WHERE f.step < 60)),
+e AS (SELECT source, clamped FROM f WHERE step = 60),
+l AS (SELECT (t.total - coalesce(sum(c.cap) FILTER (e.clamped), 0)) / nullif(sum(c.w) FILTER (NOT e.clamped), 0) AS lv FROM e JOIN c USING (source), t GROUP BY t.total)
+SELECT c.source, c.size, round(CASE WHEN e.source IS NULL THEN 0 WHEN e.clamped THEN c.cap ELSE c.w * l.lv END, 3) AS goal, coalesce(e.clamped, FALSE) AS clamped FROM c LEFT JOIN e USING (source), l
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p6_found": P6_FOUND}
+    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p6_found": P6_FOUND, "p8_goals": P8_GOALS}

@@ -132,12 +132,32 @@ def test_pack(spark):
     assert {r["unused"] >= 0 for r in packing.containers(out).collect()} == {True}
 
 
-def test_water_fill():
-    fill = mixing.water_fill
-    assert fill({"a": 0.5, "b": 0.5}, {"a": 100, "b": 100}, 100) == {"a": 50, "b": 50}
-    assert fill({"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 10, "b": 100, "c": 100}, 100) == {"a": 10, "b": 45, "c": 45}
-    assert fill({"a": 0.8, "b": 0.1, "c": 0.1}, {"a": 10, "b": 20, "c": 500}, 100) == {"a": 10, "b": 20, "c": 70}
-    assert fill({"a": 1.0}, {"a": 10}, 100) == {"a": 10} and fill({"a": 1.0, "b": 1.0}, {"a": 0, "b": 0}, 5) == {"a": 0, "b": 0}
+def brute_fill(weights, caps, total):
+    """Raise the level in small steps: what each source takes at it, until the total is reached."""
+    live = {s for s in weights if weights[s] > 0 and caps[s] > 0}
+    total = min(total, sum(caps[s] for s in live))
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(caps[s], weights[s] * level) for s in live) < total:
+            low = level
+        else:
+            high = level
+    return {s: min(caps[s], weights[s] * high) if s in live else 0.0 for s in weights}
+
+
+def test_water_fill(spark):
+    rng = random.Random(9)
+    for _ in range(4):
+        rows = [(f"s{i}", rng.choice([0.0, 0.1, 0.3, 0.5]), rng.choice([0, 10, 100, 1000]), rng.randint(0, 4)) for i in range(7)]
+        df = spark.createDataFrame(rows, "source string, weight double, size long, repeats int")
+        for total in (None, 50.0, 700.0, 1e7):
+            asked = sum(n for _, w, n, r in rows if w > 0 and n * r > 0) if total is None else total
+            want = brute_fill({s: w for s, w, _, _ in rows}, {s: float(n * r) for s, _, n, r in rows}, asked)
+            got = {r["source"]: (r["goal"], r["clamped"]) for r in mixing.water_fill(df, total).collect()}
+            assert set(got) == set(want) and all(abs(got[s][0] - want[s]) < 1e-3 for s in want), (rows, total)
+            caps = {s: n * r for s, _, n, r in rows}
+            assert all(not c or abs(g - caps[s]) < 1e-6 for s, (g, c) in got.items())
 
 
 def test_mix(spark):
@@ -147,21 +167,42 @@ def test_mix(spark):
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
     m = mixing.mix(df, targets, "doc", "source", F.col("n"), total=6000)
     shares = {r["source"]: r for r in m.shares.collect()}
-    assert shares["small"]["tokens"] == 1800 and shares["absent"]["tokens"] == 0, "a source at its cap"
-    assert abs(shares["big"]["tokens"] - 4200) <= 40 and abs(sum(r["reached_share"] or 0 for r in shares.values()) - 1) < 1e-9
+    assert shares["small"]["tokens"] == 1800 and shares["small"]["clamped"] and shares["absent"]["tokens"] == 0, "a source at its cap"
+    assert abs(shares["big"]["tokens"] - 4200) <= 5 and not shares["big"]["clamped"] and abs(sum(r["reached_share"] or 0 for r in shares.values()) - 1) < 1e-9
     sel = m.selection.collect()
     assert len({r["doc"] for r in sel}) == len(sel) and all(r["repeats"] <= (1 if r["source"] == "big" else 3) for r in sel)
-    near = spark.createDataFrame([("BIG", 0.975, 1), ("small ", 0.025, 3)], "source string, target_share double, max_repeats int")
-    for r in mixing.mix(df, near, "doc", "source", F.col("n")).shares.collect():
-        assert abs(r["reached_share"] - r["target_share"]) < 0.001
+    # One pass over everything by default: small is clamped, big takes the rest, all of it and no more.
+    whole = {r["source"]: r for r in mixing.mix(df, targets, "doc", "source", F.col("n")).shares.collect()}
+    assert whole["small"]["tokens"] == 1800 and whole["small"]["most_repeats"] == 3
+    assert abs(whole["big"]["tokens"] - (whole["big"]["available"] + 600 - 1800)) <= 40 and whole["big"]["most_repeats"] == 1
     lumpy = spark.createDataFrame([(1, "a", 900), *[(i, "a", 7) for i in range(2, 90)], (500, "b", 500)], "doc long, source string, n long")
     ab = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
-    for seed in (1,):
-        got = {r["source"]: r["tokens"] for r in mixing.mix(lumpy, ab, "doc", "source", F.col("n"), total=1000, seed=seed).shares.collect()}
-        assert 493 <= got["a"] <= 500 and got["b"] == 500
+    got = {r["source"]: r["tokens"] for r in mixing.mix(lumpy, ab, "doc", "source", F.col("n"), total=1000, seed=1).shares.collect()}
+    assert 493 <= got["a"] <= 500 and got["b"] == 500
     assert mixing.mix(df.limit(0), targets, "doc", "source", F.col("n")).selection.count() == 0
 
 
+def test_no_record_is_repeated_while_another_is_left_out(spark):
+    df = spark.createDataFrame([(i, "a", 1 + i % 9) for i in range(400)] + [(1000 + i, "b", 5) for i in range(20)], "doc long, source string, n long")
+    targets = spark.createDataFrame([("a", 0.5, 5), ("b", 0.5, 50)], "source string, target_share double, max_repeats int")
+    for total in (500.0, 1000.0, 3333.0):
+        m = mixing.mix(df, targets, "doc", "source", F.col("n"), total=total)
+        sel = {r["doc"]: r["repeats"] for r in m.selection.collect()}
+        for r in m.shares.collect():
+            own = [sel.get(d, 0) for d in (range(400) if r["source"] == "a" else range(1000, 1020))]
+            assert max(own) - min(own) <= 1 and max(own) <= -(-r["goal_tokens"] // r["available"]) and abs(r["tokens"] - r["goal_tokens"]) <= 5
+
+
+def test_strict_sources_never_share_a_bin(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(1, 900), "hot" if rng.random() < 0.3 else f"s{i % 7}", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc long, n long, source string, cluster long")
+    strict, avoid = (packing.containers(packing.pack(df, "doc", "n", "source", "cluster", sources=x)) for x in ("strict", "avoid"))
+    assert strict.agg(F.max("shared_source")).first()[0] == 0
+    assert strict.agg(F.sum("n_tokens")).first()[0] == avoid.agg(F.sum("n_tokens")).first()[0] == sum(n for _, n, _, _ in rows)
+    assert strict.count() >= avoid.count()
+
+
 def brute_lines(rows, least, share):
     docs = {(k, s, t) for k, s, t in rows if k is not None and s is not None and t is not None and t.strip()}
     site, seen, lines = Counter(), defaultdict(set), []
@@ -207,3 +248,31 @@ def test_chunks_of_a_line_depend_on_the_line_alone():
     assert len(a[1]) > 1
     assert b[1][b[0] == 2].tolist() == a[1].tolist() == b[1][b[0] == 3].tolist()
     assert boilerplate.chunk_lines([""])[1].tolist() == []
+
+
+def test_repeated_spans_over_line_ends_and_within_lines(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    notice = "this page is only general guidance and no legal advice so please ask the office in your own region before you apply for any of the permits named in this text"
+    rows = []
+    for i in range(60):
+        own = [word() for _ in range(80)]
+        broken = notice.split(" ")
+        at = 5 + i % 20
+        broken[at] = "\n" + broken[at]
+        rows.append((f"d{i}", "one" if i < 40 else "two", " ".join(own[:40]) + (" " + " ".join(broken) + " " if i < 40 and i % 2 else " ") + " ".join(own[40:])))
+    rows += [rows[1], ("n", "one", None), ("e", "one", ""), (None, "one", "x"), ("x", None, notice)]
+    df = spark.createDataFrame(rows, "id string, site string, text string").withColumn("first", F.lit(1))
+    texts = {k: t for k, _, t in rows}
+    for bits in (23, 3):
+        found = boilerplate.repeated_spans(df, "id", "site", "text", sieve_bits=bits)
+        covered = Counter()
+        for r in found.collect():
+            assert int(r["id"][1:]) % 2 and int(r["id"][1:]) < 40
+            piece = " ".join(texts[r["id"]][r["first"] - 1 : r["last"]].split())
+            assert piece in notice
+            covered[r["id"]] += len(piece)
+        assert len(covered) == 20 and min(covered.values()) > 0.6 * len(notice)
+    kept = {r["id"]: r["text"] for r in boilerplate.without_spans(df.select("id", "text").distinct(), "id", "text", found).collect()}
+    assert len(kept["d1"]) == len(texts["d1"]) - sum(r["last"] - r["first"] + 1 for r in found.collect() if r["id"] == "d1") and kept["d0"] == texts["d0"]
+    assert boilerplate.repeated_spans(df.limit(0), "id", "site", "text").count() == 0
