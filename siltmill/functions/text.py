@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word character as the scorer sees it: Java's ``\w`` is ASCII only.
 WORD = r"[\p{L}\p{N}_]+"
@@ -43,9 +40,15 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, by the Unicode library that Spark brings along; texts of ASCII only are left as they are."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
+
+
 def words(text: Column) -> Column:
-    """All words in lower case; null gives no words."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """All words of the compatibility composition in lower case; null gives no words."""
+    return F.regexp_extract_all(F.lower(nfkc(F.coalesce(text, F.lit("")))), F.lit(WORD), F.lit(0))
 
 
 def norm_text(text: Column) -> Column:
@@ -53,12 +56,6 @@ def norm_text(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition, which has no built-in. Used where composed and decomposed letters must agree."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
 def quote_fragments(quote: Column) -> Column:
     """The normal forms of the parts of a quote between ellipses, without empty ones."""
     parts = F.split(F.coalesce(quote, F.lit("")), r"\.\.\.|…")

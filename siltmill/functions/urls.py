@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The tracking parameters that a normal form drops, compared in lower case.
 TRACKING_PARAMS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid")
@@ -37,22 +33,27 @@ def short_hash(value: Column) -> Column:
     return F.substring(F.sha2(value, 256), 1, 16)
 
 
-def _normal(url: str | None) -> str | None:
-    if url is None:
-        return None
-    try:
-        parts = urlsplit(url)
-        kept = sorted((k, v) for k, v in parse_qsl(parts.query) if k.lower() not in TRACKING_PARAMS)
-    except ValueError:
-        return url
-    path = parts.path.split(";")[0] if ";" in parts.path.rsplit("/", 1)[-1] else parts.path
-    return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), path.rstrip("/") or "/", urlencode(kept), ""))
+def _decoded(part: Column) -> Column:
+    """A form-encoded text; one with a broken escape is taken as it stands, but for its plus signs."""
+    return F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(part: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-@F.pandas_udf(T.StringType())
-def normal_url(urls: pd.Series) -> pd.Series:
-    """The crawl's normal form: sorted parameters, no tracking, no fragment, percent-encoding made uniform.
+def normal_url(url: Column) -> Column:
+    """The crawl's normal form: sorted parameters, no tracking, no blank ones, no fragment, percent-encoding made uniform.
 
-    Decoding and encoding percent escapes in one character set has no built-in counterpart.
+    Scheme and host in lower case, no trailing slash (but for the root), no ``;`` parameters of the last part.
     """
-    return urls.map(_normal)
+    bare = F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+|#.*$", "")
+    front, query = F.substring_index(bare, "?", 1), F.regexp_extract(bare, r"^[^?]*\?(.*)$", 1)
+    scheme = F.regexp_extract(front, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    rest = F.substring(front, F.length(scheme) + 1, F.length(front))
+    host_part = F.regexp_extract(rest, r"^(//[^/]*)", 1)
+    path = F.regexp_replace(F.regexp_replace(F.substring(rest, F.length(host_part) + 1, F.length(rest)), ";[^/]*$", ""), "/+$", "")
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("=.")), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS)))
+    asked = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    return F.concat(F.lower(scheme), F.lower(host_part), F.when(path == "", "/").otherwise(path), F.when(asked == "", "").otherwise(F.concat(F.lit("?"), asked)))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltmill.functions.text import index_tokens
+from siltmill.functions.text import bound, index_tokens
 from siltmill.runtime import cut
 
 
@@ -49,7 +50,7 @@ def exact_search(queries: DataFrame, query_id: str, query_vec: str, corpus: Data
                 a = _unit(np.stack([np.asarray(x["v"], float) for x in qs]))
                 b = _unit(np.stack([np.asarray(v, float) for v in vs]))
                 ids = np.asarray(ids)
-                sims = np.nan_to_num(a @ b.T, nan=-np.inf)
+                sims = np.nan_to_num(np.round(a @ b.T, 12), nan=-np.inf)  # so that equal vectors tie
                 for x, row in zip(qs, sims, strict=True):
                     best = np.lexsort((ids, -row))[:k]
                     best = best[np.isfinite(row[best])]
@@ -72,70 +73,54 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def bm25(queries: DataFrame, query_id: str, query: str, corpus: DataFrame, id_: str, text: str, k: int, k1: float = 1.5, b: float = 0.75, block: int = 8192) -> DataFrame:
-    """(query_id, id, score, rank): Okapi scores above zero, the k best of each query, ties by id.
+@dataclass(frozen=True)
+class LexicalIndex:
+    """``docs``: no, id. ``postings``: term, block, no, w (the Okapi weight of the term in the text). Written tables.
 
-    Query terms are a set. Postings are restricted to the terms that any query has before they are scored; counts and
-    lengths are over all texts. Scores are added up block by block, ``block`` texts against ``block`` queries, and only
-    the k best of a block leave it, so a term that everything has makes no hot join key. Texts are numbered in order
-    of id, so ties go by number.
+    ``blocks``: term, blocks. The postings of a term in very many texts are divided into blocks by text, so it is no
+    hot join key.
     """
-    numbered = cut(corpus.select(F.col(id_).alias("id"), index_tokens(F.col(text)).alias("t")).filter("id is not null").orderBy("id").withColumn("no", F.monotonically_increasing_id()))
-    asked = cut(queries.select(F.col(query_id).alias("q"), index_tokens(F.col(query)).alias("t")).withColumn("qn", F.monotonically_increasing_id()))
-    docs = numbered.select("no", "t", F.size("t").alias("len"))
-    stats = docs.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("len").alias("avg_len"))
-    wanted = asked.select(F.explode("t").alias("term")).distinct()
-    tf = docs.select("no", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "no", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df_, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avg_len"))
-    weighted = scored.select("term", "no", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    size = numbered.count()
-    postings = (
-        weighted.withColumn("block", F.pmod(F.xxhash64("no"), F.lit(max(1, math.ceil(size / block)))))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("term", "no", "w")).alias("p"))
-        .select(F.col("p.term").alias("terms"), F.col("p.no").alias("nos"), F.col("p.w").alias("ws"))
-    )
-    asking = (
-        asked.filter(F.size("t") > 0)
-        .withColumn("block", F.pmod(F.xxhash64("qn"), F.lit(max(1, math.ceil(asked.count() / block)))))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("qn", F.array_distinct("t").alias("t"))).alias("q"))
-        .select(F.col("q.qn").alias("qns"), F.col("q.t").alias("ts"))
-    )
-    found = postings.crossJoin(asking).mapInPandas(_block_scores(k), "qn long, no long, score double")  # block by block
-    best = top(found, ["qn"], [F.desc(F.round("score", 9)), F.asc("no")], k)
-    named = best.join(numbered.select("no", "id"), "no").join(asked.select("qn", "q"), "qn")
-    return named.select(F.col("q").alias(query_id), F.col("id").alias(id_), "score", "rank")
 
+    docs: DataFrame
+    postings: DataFrame
+    blocks: DataFrame
+
+
+def lexical_index(corpus: DataFrame, id_: str, text: str, terms: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, block: int = 50_000) -> LexicalIndex:
+    """The index of a corpus; only of the terms in ``terms`` (term), if given. Counts and lengths are over all texts."""
+    docs = cut(corpus.select(F.col(id_).alias("id"), index_tokens(F.col(text)).alias("t")).filter("id is not null").withColumn("no", F.monotonically_increasing_id()))
+    n_docs, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
+    words = docs.select("no", F.size("t").alias("len"), F.explode("t").alias("term"))
+    if terms is not None:
+        words = words.join(terms, "term", "left_semi")
+    tf = cut(words.groupBy("term", "no", "len").agg(F.count(F.lit(1)).alias("tf")))
+    df_ = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(float(mean or 1)))
+    blocks = df_.select("term", F.ceil(F.col("df") / block).cast("int").alias("blocks"), "df")
+    postings = tf.join(blocks, "term").select("term", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int").alias("block"), "no", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
+    return LexicalIndex(docs.select("no", "id"), postings, blocks.select("term", "blocks"))
+
+
+def lexical_search(index: LexicalIndex, queries: DataFrame, query_id: str, query: str, id_: str, k: int) -> DataFrame:
+    """(query_id, id, score, rank): scores above zero, the k best of each query, ties by id. Query terms are a set.
+
+    Questions meet the postings of their terms in one join, and weights are summed map-side. Ids are only looked at for
+    the texts that are among the first k by score.
+    """
+    asked = cut(queries.select(F.col(query_id).alias("q"), F.array_distinct(index_tokens(F.col(query))).alias("t")).withColumn("qn", F.monotonically_increasing_id()))
+    terms = asked.select("qn", F.explode("t").alias("term")).join(index.blocks, "term")
+    terms = terms.select("qn", "term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    found = terms.join(index.postings, ["term", "block"]).groupBy("qn", "no").agg(F.sum("w").alias("score")).filter("score > 0")
+    first = found.withColumn("place", F.rank().over(Window.partitionBy("qn").orderBy(F.desc(F.round("score", 9))))).filter(F.col("place") <= k)
+    best = top(first.join(index.docs, "no"), ["qn"], [F.desc(F.round("score", 9)), F.asc("id")], k)
+    return best.join(asked.select("qn", "q"), "qn").select(F.col("q").alias(query_id), F.col("id").alias(id_), "score", "rank")
 
-def _block_scores(k: int):  # noqa: ANN202
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for terms, nos, ws, qns, ts in zip(pdf["terms"], pdf["nos"], pdf["ws"], pdf["qns"], pdf["ts"], strict=True):
-                code, names = pd.factorize(np.asarray(terms, dtype=object))
-                docs, at = np.unique(np.asarray(nos, np.int64), return_inverse=True)
-                order = np.argsort(code, kind="stable")
-                at, w = at[order], np.asarray(ws, float)[order]
-                cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
-                place = {n: i for i, n in enumerate(names)}
-                out = []
-                for qn, t in zip(qns, ts, strict=True):
-                    s = np.zeros(len(docs))
-                    for i in sorted(place[x] for x in t if x in place):
-                        s[at[cuts[i] : cuts[i + 1]]] += w[cuts[i] : cuts[i + 1]]
-                    hit = np.nonzero(s > 0)[0]
-                    if len(hit) > k:
-                        least = np.partition(s[hit], len(hit) - k)[len(hit) - k]
-                        hit = hit[s[hit] >= least - 1e-8]
-                    best = hit[np.lexsort((docs[hit], -np.round(s[hit], 9)))][:k]
-                    out.append(pd.DataFrame({"qn": np.full(len(best), qn, np.int64), "no": docs[best], "score": s[best]}))
-                if out:
-                    yield pd.concat(out)
-
-    return score
+
+def bm25(queries: DataFrame, query_id: str, query: str, corpus: DataFrame, id_: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, rank): an index of the terms that the queries have, and a search in it."""
+    terms = queries.select(F.explode(index_tokens(F.col(query))).alias("term")).distinct()
+    return lexical_search(lexical_index(corpus, id_, text, terms, k1, b), queries, query_id, query, id_, k)
 
 
 def pool(dense: DataFrame, sparse: DataFrame, by: list[str], id_: str) -> DataFrame:
@@ -206,7 +191,40 @@ def hashed_vector(text: Column, dims: int = 64) -> Column:
     return F.pandas_udf(spread, T.ArrayType(T.FloatType()))(cells)
 
 
+def letter_counts(text: Column) -> Column:
+    """Another stand-in, all built-in: how often each of a to z stands in a text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    n = lambda t: F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    return bound(low, n)
+
+
+def embedder(embed: Callable[[list[str]], Sequence[Sequence[float]]], batch: int = 64) -> Callable[[Column], Column]:
+    """A column from any function of a list of texts to their vectors, called ``batch`` texts at a time. Null has no vector."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            there = texts.dropna()
+            out: list = []
+            for i in range(0, len(there), batch):
+                out.extend(list(map(float, v)) for v in embed(there.iloc[i : i + batch].tolist()))
+            yield pd.Series(out, index=there.index, dtype=object).reindex(texts.index).map(lambda v: v if isinstance(v, list) else None)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))
+
+
 def missing_vectors(texts: DataFrame, text: str, cache: DataFrame, model: str) -> DataFrame:
     """(text_hash, text): the distinct texts that the cache (model, text_hash, vec) does not hold for a model."""
-    hashed = texts.select(F.sha2(F.col(text), 256).alias("text_hash"), F.col(text).alias("text")).filter("text is not null").dropDuplicates(["text_hash"])
+    hashed = texts.select(F.sha2(F.col(text), 256).alias("text_hash"), F.col(text).alias("text")).filter("text is not null").groupBy("text_hash").agg(F.first("text").alias("text"))
     return hashed.join(cache.filter(F.col("model") == model).select("text_hash"), "text_hash", "left_anti")
+
+
+def embed_cached(texts: DataFrame, text: str, cache: DataFrame, model: str, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(``texts`` with vec, the new rows of the cache): only texts that the cache lacks are embedded, each once.
+
+    The new rows (model, text_hash, vec) are a written table; append them to the cache (``collections.append_missing``).
+    """
+    new = cut(missing_vectors(texts, text, cache, model).select(F.lit(model).alias("model"), "text_hash", embed(F.col("text")).alias("vec")))
+    known = cache.filter(F.col("model") == model).groupBy("text_hash").agg(F.first("vec").alias("vec")).unionByName(new.select("text_hash", "vec"))
+    joined = texts.withColumn("_h", F.sha2(F.col(text), 256))
+    return joined.join(known.withColumnRenamed("text_hash", "_h"), "_h", "left").drop("_h"), new

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltmill.runtime import quoted
+from siltmill.runtime import cut, quoted
 
 _SEP = "/"
 _NODES = "array<struct<node:string,parent:string,label:string,ordinal:int,kind:string,scalar:string>>"
@@ -170,15 +170,12 @@ def _typed(text: Column, kind: T.DataType) -> Column:
 
 
 def shred(df: DataFrame, key: Sequence[str], labels: Sequence[str]) -> dict[str, DataFrame]:
-    """The flat tables of several labels, by label. Each reads only the labels it needs."""
-    out = {}
+    """The flat tables of several labels, by label. The records are walked once, for the labels that any of them needs."""
+    fields = []
     for label in labels:
         kind = _type_at(df.schema, label)
-        fields = None
-        if isinstance(kind, T.StructType):
-            prefix = f"{label}." if label else ""
-            fields = [prefix + f.name for f in kind.fields if _is_scalar(f.dataType)] or [label]
-        else:
-            fields = [label]
-        out[label] = entity(adjacency(df, key, fields), df.schema, key, label)
-    return out
+        prefix = f"{label}." if label else ""
+        scalars = [prefix + f.name for f in kind.fields if _is_scalar(f.dataType)] if isinstance(kind, T.StructType) else []
+        fields += scalars or [label]
+    nodes = cut(adjacency(df, key, fields))
+    return {label: entity(nodes, df.schema, key, label) for label in labels}

@@ -32,7 +32,7 @@ def stopword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(tx.index_tokens(F.col("text")), " ").alias("terms"))
 
 
-STOPWORD_TOKENS = rf"""SELECT id, array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({_STOP})), ' ') AS terms
+STOPWORD_TOKENS = rf"""SELECT id, array_to_string(list_filter(regexp_extract_all(lower(nfc_normalize(replace(coalesce(text, ''), chr(64257), 'fi'))), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({_STOP})), ' ') AS terms
 FROM (SELECT DISTINCT id, text FROM chunks)"""
 
 
@@ -75,7 +75,7 @@ FROM (SELECT DISTINCT url, regexp_replace(regexp_replace(trim(url), '[?#].*$', '
 
 def normal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawl's normal form of each url."""
-    return table(spark, sf_dir, "pages_manifest").select("url").distinct().select("url", urls.normal_url("url").alias("normal"))
+    return table(spark, sf_dir, "pages_manifest").select("url").distinct().select("url", urls.normal_url(F.col("url")).alias("normal"))
 
 
 NORMAL_URLS = r"""

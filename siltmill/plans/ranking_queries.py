@@ -16,11 +16,13 @@ K = 10
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").filter("id is not null and text is not null").select("id", "text", "url").dropDuplicates(["id"])
+    """One row for each id: the first by text and url, should there be several."""
+    rows = table(spark, sf_dir, "chunks").filter("id is not null and text is not null")
+    return rows.groupBy("id").agg(F.min(F.struct("text", "url")).alias("c")).select("id", "c.text", "c.url")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "eval_items").filter("id is not null and question is not null").select("id", "question").dropDuplicates(["id"]).withColumnRenamed("id", "item")
+    return table(spark, sf_dir, "eval_items").filter("id is not null and question is not null").groupBy(F.col("id").alias("item")).agg(F.min("question").alias("question"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +65,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25_sql(queries: str, k: int = K) -> str:
     """CTEs ending in ``hits`` (item, list_no, id, score, rank); ``queries`` is a CTE body of (item, list_no, query)."""
-    tokens = rf"list_filter(regexp_extract_all(lower({{x}}), '[\p{{{{L}}}}\p{{{{N}}}}_]+'), lambda w: w NOT IN ({_STOP}))"
+    tokens = rf"list_filter(regexp_extract_all(lower(nfc_normalize(replace({{x}}, chr(64257), 'fi'))), '[\p{{{{L}}}}\p{{{{N}}}}_]+'), lambda w: w NOT IN ({_STOP}))"
     return f"""
-docs AS (SELECT id, any_value(text) AS text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id),
+docs AS (SELECT id, min(text) AS text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id),
 tok AS (SELECT id, {tokens.format(x='text')} AS t FROM docs),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS nd, avg(len(t)) AS al FROM tok),
 tf AS (SELECT id, term, len, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM tok) GROUP BY ALL),
@@ -77,7 +79,7 @@ sc AS (SELECT item, list_no, id, sum(w) AS score FROM qt JOIN w USING (term) GRO
 hits AS (SELECT *, row_number() OVER (PARTITION BY item, list_no ORDER BY round(score, 9) DESC, id) AS rank FROM sc QUALIFY rank <= {k})"""
 
 
-_Q_ALL = "SELECT id AS item, 0 AS list_no, any_value(question) AS query FROM eval_items WHERE id IS NOT NULL AND question IS NOT NULL GROUP BY id"
+_Q_ALL = "SELECT id AS item, 0 AS list_no, min(question) AS query FROM eval_items WHERE id IS NOT NULL AND question IS NOT NULL GROUP BY id"
 BM25_TOPK = f"WITH {_bm25_sql(_Q_ALL)} SELECT item, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits"
 
 
@@ -88,7 +90,7 @@ def split_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QMARK = r"regexp_replace(regexp_replace(regexp_replace(q, '([?.!])\s+', chr(1) || '\1' || chr(2), 'g'), '\s+[—–-]\s+', chr(2), 'g'), ',\s+(?:and\s+|but\s+|so\s+)?((?:can|could|does|do|did|is|am|are|will|would|should|what|how)\b)', chr(2) || '\1', 'gi')"
 _SPLIT = rf"""
-q0 AS (SELECT id AS item, any_value(question) AS q FROM eval_items WHERE id IS NOT NULL AND question IS NOT NULL GROUP BY id),
+q0 AS (SELECT id AS item, min(question) AS q FROM eval_items WHERE id IS NOT NULL AND question IS NOT NULL GROUP BY id),
 q1 AS (SELECT item, q, list_transform(string_split(replace({_QMARK}, chr(1), ''), chr(2)), lambda p: regexp_replace(p, '^[ ,;?]+|[ ,;?]+$', '', 'g')) AS p FROM q0),
 q2 AS (SELECT item, q, list_filter(p, lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) >= 4) AS p FROM q1),
 q3 AS (SELECT item, q, CASE WHEN len(p) >= 2 THEN list_filter(p, lambda x: len(list_filter(regexp_extract_all(lower(x), '[a-z'']+'), lambda w: w NOT IN ({_STOP}))) >= 3) ELSE [] END AS p FROM q2),
@@ -127,17 +129,22 @@ SELECT item, id, CAST(row_number() OVER (PARTITION BY item ORDER BY o, id) AS IN
 
 
 def hybrid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool of a first lexical ranking, over titles, and the lexical hits that it lacks; ``dense_candidates`` has the dense one."""
+    """The pool of the dense hits, by letter counts of whole texts, and the lexical hits that are not among them."""
     items, chunks = _items(spark, sf_dir), _chunks(spark, sf_dir)
-    first = ranking.bm25(items, "item", "question", chunks.withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1))), "id", "text", K)
-    second = ranking.bm25(items, "item", "question", chunks, "id", "text", K)
-    return ranking.pool(first, second, ["item"], "id").select("item", "id", "rank", "bm25_rank")
+    dense = ranking.exact_search(
+        items.select("item", ranking.letter_counts(F.col("question")).alias("v")), "item", "v", chunks.select("id", ranking.letter_counts(F.col("text")).alias("v")), "id", "v", K
+    ).withColumnRenamed("sim", "score")
+    sparse = ranking.bm25(items, "item", "question", chunks, "id", "text", K)
+    return ranking.pool(dense, sparse, ["item"], "id").select("item", "id", "rank", "bm25_rank")
 
 
-HYBRID_CANDIDATES = f"""WITH a AS (WITH {_bm25_sql(_Q_ALL).replace("any_value(text) AS text FROM chunks", "any_value(split_part(text, chr(10), 1)) AS text FROM chunks")} SELECT * FROM hits),
-b AS (WITH {_bm25_sql(_Q_ALL)} SELECT * FROM hits),
-p AS (SELECT a.item, a.id, 0 AS src, a.rank AS r, b.rank AS bm25_rank FROM a LEFT JOIN b ON a.item = b.item AND a.id = b.id
-      UNION ALL SELECT item, id, 1, rank, rank FROM b ANTI JOIN a USING (item, id))
+_LETTERS = "list_transform(string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z', ','), lambda c: CAST(length({x}) - length(replace({x}, c, '')) AS DOUBLE))"
+HYBRID_CANDIDATES = f"""WITH {_bm25_sql(_Q_ALL)},
+qv AS (SELECT item, {_LETTERS.format(x="lower(query)")} AS v FROM qs), dv AS (SELECT id, {_LETTERS.format(x="lower(text)")} AS v FROM docs),
+sim AS (SELECT item, id, round(list_cosine_similarity(qv.v, dv.v), 12) AS sim FROM qv, dv WHERE list_sum(qv.v) > 0 AND list_sum(dv.v) > 0),
+a AS (SELECT item, id, row_number() OVER (PARTITION BY item ORDER BY sim DESC, id) AS rank FROM sim QUALIFY rank <= {K}),
+p AS (SELECT a.item, a.id, 0 AS src, a.rank AS r, b.rank AS bm25_rank FROM a LEFT JOIN hits b ON a.item = b.item AND a.id = b.id
+      UNION ALL SELECT item, id, 1, rank, rank FROM hits ANTI JOIN a USING (item, id))
 SELECT item, id, CAST(row_number() OVER (PARTITION BY item ORDER BY src, r) AS INTEGER) AS rank, CAST(bm25_rank AS INTEGER) AS bm25_rank FROM p"""
 
 
@@ -159,7 +166,7 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item", "id", F.round("rerank_score", 6).alias("rerank_score"), "retrieval_rank", "rank")
 
 
-_TERMS = rf"list_filter(regexp_extract_all(lower({{x}}), '[\p{{{{L}}}}\p{{{{N}}}}_]+'), lambda w: w NOT IN ({_STOP}))"
+_TERMS = rf"list_filter(regexp_extract_all(lower(nfc_normalize(replace({{x}}, chr(64257), 'fi'))), '[\p{{{{L}}}}\p{{{{N}}}}_]+'), lambda w: w NOT IN ({_STOP}))"
 RERANK_OVERLAP = f"""WITH {_bm25_sql(_Q_ALL)},
 x AS (SELECT h.item, h.id, h.rank, list_distinct({_TERMS.format(x='qs.query')}) AS q, {_TERMS.format(x='docs.text')} AS t FROM hits h JOIN qs ON qs.item = h.item JOIN docs ON docs.id = h.id),
 s AS (SELECT item, id, rank AS retrieval_rank, len(list_intersect(q, t)) / greatest(len(q), 1) AS rerank_score FROM x)

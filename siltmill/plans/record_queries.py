@@ -22,7 +22,7 @@ def _entity(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each child record of a result."""
     rows = table(spark, sf_dir, "e2e_rows")
-    nodes = shredding.adjacency(rows, E2E_KEY, ["chunks[].rank", "quote_ranks", "unsupported_claims"])
+    nodes = cut(shredding.adjacency(rows, E2E_KEY, ["chunks[].rank", "quote_ranks", "unsupported_claims"]))
     of = lambda label, columns=None: shredding.entity(nodes, rows.schema, E2E_KEY, label, columns)
     at = lambda df, child: df.select("run_id", "id", F.lit(child).alias("child"), "pos")
     claims = of("unsupported_claims[]").filter(~is_blank(F.col("value")))

@@ -10,8 +10,8 @@ from siltmill.functions.urls import match_url
 from siltmill.operators import scoring
 from siltmill.runtime import table
 
-#: norm_text in SQL, of {x}.
-_NORM = r"' ' || array_to_string(regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+'), ' ') || ' '"
+#: norm_text in SQL, of {x}. DuckDB has no compatibility composition: canonical composition, and the one compatibility letter that these tables hold.
+_NORM = r"' ' || array_to_string(regexp_extract_all(lower(nfc_normalize(replace(coalesce({x}, ''), chr(64257), 'fi'))), '[\p{{L}}\p{{N}}_]+'), ' ') || ' '"
 
 
 def _norm(x: str) -> str:
