@@ -75,48 +75,77 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``docs``: no, id. ``postings``: term, block, no, w (the Okapi weight of the term in the text). Written tables.
+    """``docs``: no, id. ``terms``: term, tid. ``postings``: block, tid, no, w (the Okapi weight of the term in the text).
 
-    ``blocks``: term, blocks. The postings of a term in very many texts are divided into blocks by text, so it is no
-    hot join key.
+    Texts are hashed into ``blocks`` blocks, so no term, however frequent, is a hot key.
     """
 
     docs: DataFrame
+    terms: DataFrame
     postings: DataFrame
-    blocks: DataFrame
+    blocks: int
 
 
-def lexical_index(corpus: DataFrame, id_: str, text: str, terms: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, block: int = 50_000) -> LexicalIndex:
+def lexical_index(corpus: DataFrame, id_: str, text: str, terms: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, block: int = 8192) -> LexicalIndex:
     """The index of a corpus; only of the terms in ``terms`` (term), if given. Counts and lengths are over all texts."""
     docs = cut(corpus.select(F.col(id_).alias("id"), index_tokens(F.col(text)).alias("t")).filter("id is not null").withColumn("no", F.monotonically_increasing_id()))
     n_docs, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
-    words = docs.select("no", F.size("t").alias("len"), F.explode("t").alias("term"))
-    if terms is not None:
-        words = words.join(terms, "term", "left_semi")
-    tf = cut(words.groupBy("term", "no", "len").agg(F.count(F.lit(1)).alias("tf")))
-    df_ = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    known = docs.select(F.explode("t").alias("term")).distinct() if terms is None else terms.select("term").distinct()
+    named = cut(known.withColumn("tid", F.monotonically_increasing_id()))
+    words = docs.select("no", F.size("t").alias("len"), F.explode("t").alias("term")).join(named, "term")
+    tf = cut(words.groupBy("tid", "no", "len").agg(F.count(F.lit(1)).alias("tf")))
+    df_ = tf.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(float(mean or 1)))
-    blocks = df_.select("term", F.ceil(F.col("df") / block).cast("int").alias("blocks"), "df")
-    postings = tf.join(blocks, "term").select("term", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int").alias("block"), "no", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    return LexicalIndex(docs.select("no", "id"), postings, blocks.select("term", "blocks"))
+    blocks = max(1, math.ceil(n_docs / block))
+    postings = tf.join(df_, "tid").select(F.pmod(F.xxhash64("no"), F.lit(blocks)).cast("int").alias("block"), "tid", "no", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
+    return LexicalIndex(docs.select("no", "id"), named, postings, blocks)
 
 
-def lexical_search(index: LexicalIndex, queries: DataFrame, query_id: str, query: str, id_: str, k: int) -> DataFrame:
+def lexical_search(index: LexicalIndex, queries: DataFrame, query_id: str, query: str, id_: str, k: int, block: int = 4096) -> DataFrame:
     """(query_id, id, score, rank): scores above zero, the k best of each query, ties by id. Query terms are a set.
 
-    Questions meet the postings of their terms in one join, and weights are summed map-side. Ids are only looked at for
-    the texts that are among the first k by score.
+    Blocks of texts meet blocks of ``block`` queries, a stated set, in one grouped step for each pair; only the k best
+    of a query in a block of texts, and what ties with the last of them, leave it. Ids are looked at for those alone.
     """
     asked = cut(queries.select(F.col(query_id).alias("q"), F.array_distinct(index_tokens(F.col(query))).alias("t")).withColumn("qn", F.monotonically_increasing_id()))
-    terms = asked.select("qn", F.explode("t").alias("term")).join(index.blocks, "term")
-    terms = terms.select("qn", "term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    found = terms.join(index.postings, ["term", "block"]).groupBy("qn", "no").agg(F.sum("w").alias("score")).filter("score > 0")
+    parts = max(1, math.ceil(asked.count() / block))
+    place = F.pmod(F.xxhash64("qn"), F.lit(parts)).cast("int").alias("part")
+    terms = asked.select("qn", place, F.explode("t").alias("term")).join(index.terms, "term").select("qn", "part", "tid")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.postings.select("block", all_(parts).alias("part"), "tid", "no", "w").groupBy("block", "part")
+    right = terms.select(all_(index.blocks).alias("block"), "part", "qn", "tid").groupBy("block", "part")
+    found = left.cogroup(right).applyInPandas(_block_scores(k), "qn long, no long, score double")
     first = found.withColumn("place", F.rank().over(Window.partitionBy("qn").orderBy(F.desc(F.round("score", 9))))).filter(F.col("place") <= k)
     best = top(first.join(index.docs, "no"), ["qn"], [F.desc(F.round("score", 9)), F.asc("id")], k)
     return best.join(asked.select("qn", "q"), "qn").select(F.col("q").alias(query_id), F.col("id").alias(id_), "score", "rank")
 
 
+def _block_scores(k: int):  # noqa: ANN202
+    def score(postings: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        docs, at = np.unique(postings["no"].to_numpy(), return_inverse=True)
+        known, code = np.unique(postings["tid"].to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        at, w = at[order], postings["w"].to_numpy()[order]
+        cuts = np.searchsorted(code[order], np.arange(len(known) + 1))
+        asked = asked[asked["tid"].isin(known)].sort_values(["qn", "tid"])
+        term = np.searchsorted(known, asked["tid"].to_numpy())
+        qns, starts = np.unique(asked["qn"].to_numpy(), return_index=True)
+        out: list[tuple[np.ndarray, ...]] = []
+        s = np.zeros(len(docs))
+        for qn, own in zip(qns, np.split(term, starts[1:]), strict=True):
+            s[:] = 0
+            for i in own:
+                s[at[cuts[i] : cuts[i + 1]]] += w[cuts[i] : cuts[i + 1]]
+            least = np.partition(s, len(s) - k)[len(s) - k] - 1e-8 if len(s) > k else 0.0
+            hit = np.nonzero((s >= least) & (s > 0))[0]
+            out.append((np.full(len(hit), qn), docs[hit], s[hit]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pd.DataFrame(dict(zip(("qn", "no", "score"), cols, strict=True)))
+
+    return score
+
+
 def bm25(queries: DataFrame, query_id: str, query: str, corpus: DataFrame, id_: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank): an index of the terms that the queries have, and a search in it."""
     terms = queries.select(F.explode(index_tokens(F.col(query))).alias("term")).distinct()
