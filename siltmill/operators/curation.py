@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmill.functions.text import norm_text
+from siltmill.functions.text import norm_text, quote_fragments
 from siltmill.functions.urls import match_url
+from siltmill.operators.categories import CATEGORIES
+from siltmill.runtime import cut
 from siltmill.sources.corpus import find_page
 
-#: The categories of an evaluation set.
-CATEGORIES = ("ambiguous", "conditional", "multi-hop", "single-fact", "temporal", "unanswerable")
-
 
 def _holds(text: Column, quote: Column) -> Column:
     """Whether a text has all fragments of a quote, as whole words."""
-    from siltmill.functions.text import quote_fragments
-
     parts = quote_fragments(quote)
     return (F.size(parts) > 0) & F.forall(parts, lambda f: F.coalesce(F.contains(norm_text(text), f), F.lit(False)))
 
@@ -100,17 +97,78 @@ def check_gold(items: DataFrame, old: DataFrame, old_texts: DataFrame, new: Data
     return joined.select("id", "passage", "url", F.col("page_hash").alias("old_hash"), F.col("_n.content_hash").alias("new_hash"), status.alias("status"), stale.alias("stale"))
 
 
+def check_drafts(drafts: DataFrame, existing: DataFrame, manifest: DataFrame, texts: DataFrame, indexed: DataFrame, category: str = "wanted") -> DataFrame:
+    """``drafts`` with reasons (which fail a draft) and flags (for a reviewer). The column ``category`` says which was wanted.
+
+    Consistency of category, answer and answerability; an unanswerable draft must have no gold, and nothing else of it
+    is looked at. The others must pass ``validate_drafts``, and no quote may be one that an existing item has. A
+    passage whose hash is not among the manifest's is flagged as stale, a multi-hop draft with one passage too.
+    """
+    rows = cut(drafts.withColumn("_row", F.monotonically_increasing_id()))
+    fields = ["id", "question", "gold_passages"]
+    schema = validate_drafts(rows.select(F.col("_row").cast("string").alias("id"), "question", "gold_passages"), existing.select(*fields).filter("false"), manifest, texts, indexed)
+    schema = schema.select(F.col("id").cast("long").alias("_row"), F.col("reasons").alias("_reasons"), F.col("flags").alias("_flags"))
+    one = rows.select("_row", F.posexplode("gold_passages").alias("p", "g")).select("_row", "p", F.col("g.content_hash").alias("content_hash"), norm_text(F.col("g.quote")).alias("q"))
+    hashes = manifest.select("content_hash").filter("content_hash is not null").distinct().withColumn("_known", F.lit(True))
+    quotes = existing.select(F.explode("gold_passages").alias("g")).select(norm_text(F.col("g.quote")).alias("q")).distinct().withColumn("_used", F.lit(True))
+    n = (F.col("p") + 1).cast("string")
+    said = one.join(hashes, "content_hash", "left").join(quotes, "q", "left").groupBy("_row").agg(
+        F.array_sort(F.collect_set(F.when(F.col("_known").isNull(), F.concat(F.lit("passage "), n, F.lit(": not in the current snapshot"))))).alias("_stale"),
+        F.array_sort(F.collect_set(F.when(F.col("_used").isNotNull(), F.concat(F.lit("passage "), n, F.lit(": quote of an existing item"))))).alias("_twice"),
+    )
+    none, empty = F.array().cast("array<string>"), lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    joined = rows.join(schema, "_row", "left").join(said, "_row", "left")
+    hopeless = F.col(category) == "unanswerable"
+    common = F.array_compact(F.array(F.when(~F.col("category").eqNullSafe(F.col(category)), "other category"), F.when(empty("answer") & empty("gold_answer"), "no answer")))
+    closed = F.array_compact(F.array(F.when(~F.col("answerable").eqNullSafe(F.lit(False)), "not marked unanswerable"), F.when(F.coalesce(F.size("gold_passages"), F.lit(0)) > 0, "unanswerable with gold")))
+    open_ = F.concat(F.array_compact(F.array(F.when(~F.col("answerable").eqNullSafe(F.lit(True)), "not marked answerable"))), F.coalesce("_reasons", none), F.coalesce("_twice", none))
+    shown = F.concat(F.when(F.col(category) == "multi-hop", F.coalesce("_flags", none)).otherwise(none), F.coalesce("_stale", none))
+    reasons = F.concat(common, F.when(hopeless, closed).otherwise(open_))
+    return joined.withColumns({"reasons": reasons, "flags": F.when(hopeless, none).otherwise(shown)}).drop("_row", "_reasons", "_flags", "_stale", "_twice")
+
+
 def candidates(drafts: DataFrame, passing: Column, order: list[str], per_category: int = 5) -> DataFrame:
     """The first passing drafts of each category in file order."""
     w = Window.partitionBy("category").orderBy(*order)
     return drafts.filter(passing).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_category)
 
 
+def approved_items(candidates_: DataFrame, approved: list[str]) -> DataFrame:
+    """The candidates with these ids, as verified by a person. Raises where an id is none of them."""
+    known = {r["id"] for r in candidates_.filter(F.col("id").isin(approved)).select("id").distinct().collect()} if approved else set()
+    if unknown := sorted(set(approved) - known):
+        raise ValueError(f"no candidates: {unknown}")
+    return candidates_.filter(F.col("id").isin(approved)).withColumn("verified_by", F.lit("human"))
+
+
+def category_counts(items: DataFrame, least: int = 10) -> DataFrame:
+    """(category, n, enough) of each of the six categories: the gate of a set."""
+    all_ = items.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
+    n = items.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return all_.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= least).alias("enough"))
+
+
+def combined(dev: DataFrame, approved: DataFrame) -> DataFrame:
+    """Dev items, and approved ones as test."""
+    return dev.withColumn("split", F.lit("dev")).unionByName(approved.withColumn("split", F.lit("test")), allowMissingColumns=True)
+
+
 def freeze(dev: DataFrame, approved: DataFrame, least: int = 10) -> DataFrame:
-    """The evaluation set: dev items and approved ones as test. Raises unless all categories have enough items."""
-    both = dev.withColumn("split", F.lit("dev")).unionByName(approved.withColumn("split", F.lit("test")), allowMissingColumns=True)
-    counts = {r["category"]: r["n"] for r in both.filter(F.col("category").isin(*CATEGORIES)).groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
-    short = {c: counts.get(c, 0) for c in CATEGORIES if counts.get(c, 0) < least}
+    """The evaluation set. Raises unless all categories have enough items."""
+    both = combined(dev, approved)
+    short = {r["category"]: r["n"] for r in category_counts(both, least).filter("not enough").collect()}
     if short:
         raise ValueError(f"too few items: {short}")
     return both
+
+
+def gold_status(report: DataFrame) -> tuple[DataFrame, bool]:
+    """(status, n) of a gold check, and whether anything in it is wrong: a caller's exit code."""
+    counts = report.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return counts, bool(counts.filter(F.col("status").isin("BROKEN", "MISSING", "BAD-GOLD")).take(1))
+
+
+def chosen(items: DataFrame, category: str | None = None, limit: int | None = None, order: str = "id") -> DataFrame:
+    """Items of one category, and the first few of them, for a trial run."""
+    rows = items if category is None else items.filter(F.col("category") == category)
+    return rows if limit is None else rows.orderBy(order).limit(limit)

@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 NEVER = 2147483647
 
 
-def eval_set_fingerprint(items: DataFrame) -> DataFrame:
-    """One row with ``fingerprint``: 12 hex digits over the ids, questions and gold passages, in order of id.
+def item_text(id_: Column, question: Column, gold: Column) -> Column:
+    """One text for what identifies an item: id, question and gold passages in order. Null differs from ''."""
+    shown = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    passages = F.transform(gold, lambda p: F.concat_ws("\x1f", shown(p["url"]), shown(p["content_hash"]), shown(p["quote"])))
+    return F.concat_ws("\x1e", shown(id_), shown(question), shown(F.array_join(passages, "\x1d")))
 
-    Each item is hashed by itself; what is gathered is a short hash for each item of one evaluation set.
+
+def eval_set_fingerprint(items: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, fingerprint, n_items): 12 hex digits over the distinct ids, questions and gold passages of a set.
+
+    Items are hashed one by one, and the hashes added up, so nothing is gathered and the order of rows is of no account.
     """
-    one = F.sha2(F.to_json(F.struct("id", "question", "gold_passages"), {"ignoreNullFields": "false"}), 256)
-    hashed = items.select(F.struct(F.col("id"), one.alias("h")).alias("x")).distinct()
-    all_ = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), "")
-    return hashed.agg(F.substring(F.sha2(all_, 256), 1, 12).alias("fingerprint"), F.count(F.lit(1)).alias("n_items"))
+    by = by or []
+    hashed = items.select(*by, F.sha2(item_text(F.col("id"), F.col("question"), F.col("gold_passages")), 256).alias("h")).distinct()
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 12), 16, 10).cast("decimal(30,0)")).cast("string")
+    folded = F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(13))
+    return hashed.groupBy(*by).agg(F.substring(F.sha2(folded, 256), 1, 12).alias("fingerprint"), F.count(F.lit(1)).alias("n_items"))
 
 
 def version_labels(runs: DataFrame, hash_: str, seq: str) -> DataFrame:
@@ -27,6 +35,12 @@ def version_labels(runs: DataFrame, hash_: str, seq: str) -> DataFrame:
     return runs.join(numbered, hash_, "left")
 
 
+def version_starts(runs: DataFrame, order: list[str], version: str = "version") -> DataFrame:
+    """Runs with ``starts``: whether a run's version is another than that of the run before it. The first starts one."""
+    w = Window.orderBy(*order)  # a row for each run
+    return runs.withColumn("starts", F.coalesce(~F.col(version).eqNullSafe(F.lag(version).over(w)) | (F.row_number().over(w) == 1), F.lit(True)))
+
+
 def config_diff(old: Column, new: Column) -> Column:
     """Map of the settings that differ to [old, new]; a missing side is null."""
     both = F.map_zip_with(old, new, lambda k, a, b: F.array(a, b))
@@ -66,6 +80,16 @@ def pivot_runs(rows: DataFrame, run: str, item: str, value: Column, runs: list[s
     return wide.fillna("n/a", subset=runs)
 
 
+def run_ranks(rows: DataFrame, run: str, item: str, value: Column) -> DataFrame:
+    """(item, runs, n_runs): the values of an item in all runs that have it, in order of runs, as ``run=value`` texts.
+
+    The wide table of any number of runs, without the empty cells.
+    """
+    cell = F.struct(F.col(run).alias("run"), F.concat(F.col(run), F.lit("="), F.coalesce(value.cast("string"), F.lit("-"))).alias("v"))
+    cells = F.array_sort(F.collect_set(cell))  # one for each run
+    return rows.groupBy(item).agg(F.array_join(F.transform(cells, lambda c: c["v"]), " ").alias("runs"), F.count_distinct(run).alias("n_runs"))
+
+
 def visible(rows: DataFrame, split: str, show_test: bool = False) -> DataFrame:
     """Rows without the held-out split, unless asked for."""
     return rows if show_test else rows.filter(~F.col(split).eqNullSafe(F.lit("test")))

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmill.functions.text import norm_text
+from siltmill.operators.categories import CATEGORIES
 from siltmill.operators.ranking import round_robin
 
-ROUTES = ("single-fact", "multi-hop", "conditional", "temporal", "ambiguous", "unanswerable")
+ROUTES = CATEGORIES
 VERDICTS = ("correct", "partial", "incorrect")
 
 
@@ -39,6 +39,18 @@ def answered(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.withColumn("response", F.when(F.col("response").isNull(), lost).otherwise(F.col("response")))
 
 
+def captured(requests: DataFrame, cache: DataFrame, stage: str) -> DataFrame:
+    """Requests with their response, or with ``error`` (stage, message) where there is none: such rows are kept as failed."""
+    joined = requests.join(latest_responses(cache), "key", "left")
+    error = F.struct(F.lit(stage).alias("stage"), F.concat(F.lit("no response for request "), F.col("key")).alias("message"))
+    return joined.withColumn("error", F.when(F.col("response").isNull(), error))
+
+
+def follow_up(response: Column, limit: int = 2) -> Column:
+    """(missing, queries): what a response says the passages lack, and at most ``limit`` searches for it."""
+    return F.struct(F.coalesce(F.get_json_object(response, "$.missing"), F.lit("")).alias("missing"), clean_queries(response, limit=limit).alias("queries"))
+
+
 def clean_queries(response: Column, field: str = "queries", limit: int = 4) -> Column:
     """The first searches that a response names: strings that aren't blank, trimmed. Anything else gives none."""
     values = F.from_json(F.get_json_object(response, f"$.{field}"), "array<string>")
@@ -91,35 +103,74 @@ def grounding(response: Column) -> Column:
     )
 
 
+#: What a judge is told about a category, besides the general instruction.
+JUDGE_RULES = {
+    "conditional": "The conditions under which the answer holds belong to it; without them it is partial at best.",
+    "unanswerable": "The sources have no answer. Declining, or pointing to who knows, is correct; invented details are incorrect.",
+    "ambiguous": "The ambiguity has to be named or every case covered; choosing one case in silence is partial at best.",
+    "temporal": "The rule in force now is what counts, not an earlier one.",
+    "multi-hop": "All required facts have to be there; if one is missing, the answer is partial.",
+}
+
+
+def judge_request(category: Column, question: Column, gold: Column, quotes: Column, answer: Column, rules: dict[str, str] | None = None) -> Column:
+    """What the judge of correctness is asked, with the rule of the item's category if it has one."""
+    rule = F.lit(None).cast("string")
+    for name, text in (JUDGE_RULES if rules is None else rules).items():
+        rule = F.when(category == name, F.lit(f"\nCATEGORY RULE: {text}")).otherwise(rule)
+    listed = F.array_join(F.transform(F.coalesce(quotes, F.array().cast("array<string>")), lambda q: F.concat(F.lit("- "), F.coalesce(q, F.lit("")))), "\n")
+    shown = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(
+        F.lit("CATEGORY: "), shown(category), shown(rule), F.lit("\n\nQUESTION: "), shown(question), F.lit("\n\nGOLD ANSWER: "), shown(gold),
+        F.lit("\n\nGOLD QUOTES:\n"), F.when(listed == "", "(none)").otherwise(listed), F.lit("\n\nMODEL ANSWER:\n"), shown(answer),
+    )
+
+
+def sources(hits: DataFrame, question: str, rank: str, url: str, text: str, modified: str | None = None, most: int = 5) -> DataFrame:
+    """(question, context): the first ``most`` hits as numbered sources for an answer, with url and date of change."""
+    rows = hits.filter(F.col(rank) <= most)
+    date = F.coalesce(F.col(modified).cast("string"), F.lit("unknown")) if modified else F.lit("unknown")
+    block = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] "), F.coalesce(url, F.lit("")), F.lit(" (modified "), date, F.lit(")\n"), F.coalesce(text, F.lit("")))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), block.alias("b"))))  # at most ``most``
+    return rows.groupBy(question).agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n").alias("context"))
+
+
 def majority(answers: DataFrame, by: list[str], answer: str, order: str) -> DataFrame:
-    """The answer given most often, compared by its words, the earliest of them; 'none' is no answer."""
-    said = answers.withColumn("_n", norm_text(F.col(answer)))
-    said = said.filter(~F.trim("_n").isin("none", "")).groupBy(*by, "_n").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct(F.col(order), F.col(answer).alias("a"))).alias("_f"))
+    """(by, answer): the answer given most often, the earliest of equals, compared in lower case without outer dots and blanks.
+
+    No answer, null or blank, counts as 'none'; where that is most often given, the result is null.
+    """
+    said = F.coalesce(F.nullif(F.trim(answer), F.lit("")), F.lit("None"))
+    form = F.regexp_replace(F.lower(said), r"^[ .]+|[ .]+$", "")
+    counted = answers.select(*by, form.alias("_n"), F.struct(F.col(order), said.alias("a")).alias("_f")).groupBy(*by, "_n").agg(F.count(F.lit(1)).alias("_c"), F.min("_f").alias("_f"))
     best = Window.partitionBy(*by).orderBy(F.desc("_c"), F.col("_f"))
-    won = said.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*by, F.col("_f.a").alias("answer"))
-    return answers.select(*by).distinct().join(won, by, "left")
+    won = counted.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
+    return won.select(*by, F.when(F.col("_n") != "none", F.col("_f.a")).alias("answer"))
 
 
 def tree_nodes(trees: DataFrame, tree: str, response: str, most_children: int = 4) -> DataFrame:
-    """(tree, node_id, parent_id, sibling_no, depth, question): a reasoning tree's nodes, two levels below the root.
+    """(tree, node_id, parent_id, sibling_no, depth, question, pattern): a reasoning tree's nodes, two levels below the root.
 
-    Trees are JSON objects with ``question`` and ``children``. A node with too many children or a blank question makes
-    the tree invalid; those are left out.
+    Trees are JSON objects with ``question``, ``pattern`` and ``children``. Of a node's children the first
+    ``most_children`` count, and of those the ones with a question; deeper levels are cut. A root without a question is
+    no tree. ``pattern`` is direct for a node without children, and for one that names neither parallel nor sequential.
     """
-    leaf = "struct<question:string,children:array<string>>"
-    kind = f"struct<question:string,children:array<struct<question:string,children:array<{leaf}>>>>"
-    root = trees.select(F.col(tree).alias("tree"), F.from_json(F.col(response), kind).alias("t")).filter("t is not null")
-    c = F.coalesce(F.col("t.children"), F.array())
-    ok = (F.size(c) <= most_children) & F.forall(c, lambda x: F.coalesce(F.trim(x["question"]) != "", F.lit(False)) & (F.size(F.coalesce(x["children"], F.array())) <= most_children))
-    root = root.filter(ok & F.coalesce(F.trim("t.question") != "", F.lit(False)))
-    own = root.select("tree", F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("sibling_no"), F.lit(0).alias("depth"), F.col("t.question").alias("question"))
-    first = root.select("tree", F.posexplode("t.children").alias("i", "x"))
-    one = first.select("tree", F.concat(F.lit("0."), F.col("i").cast("string")).alias("node_id"), F.lit("0").alias("parent_id"), F.col("i").alias("sibling_no"), F.lit(1).alias("depth"), F.col("x.question").alias("question"))
+    leaf = "struct<question:string>"
+    kind = f"struct<question:string,pattern:string,children:array<struct<question:string,pattern:string,children:array<{leaf}>>>>"
+    asked = lambda x: F.coalesce(F.trim(x["question"]) != "", F.lit(False))
+    kept = lambda c, empty: F.filter(F.slice(F.coalesce(c, F.array().cast(empty)), 1, most_children), asked)
+    root = trees.select(F.col(tree).alias("tree"), F.from_json(F.col(response), kind).alias("t")).filter(F.coalesce(F.trim("t.question") != "", F.lit(False)))
+    inner = "array<struct<question:string,pattern:string,children:array<struct<question:string>>>>"
+    clean = F.transform(kept(F.col("t.children"), inner), lambda x: F.struct(F.trim(x["question"]).alias("question"), x["pattern"].alias("pattern"), kept(x["children"], f"array<{leaf}>").alias("children")))
+    root = root.select("tree", F.trim("t.question").alias("question"), F.col("t.pattern").alias("p"), clean.alias("c"))
+    named = lambda p, n: F.when(p.isin("parallel", "sequential") & (n > 0), p).otherwise("direct").alias("pattern")
+    node = lambda at, parent, no, depth, question, pattern: (at.alias("node_id"), parent.cast("string").alias("parent_id"), no.alias("sibling_no"), F.lit(depth).alias("depth"), question.alias("question"), pattern)
+    own = root.select("tree", *node(F.lit("0"), F.lit(None), F.lit(0), 0, F.col("question"), named(F.col("p"), F.size("c"))))
+    first = root.select("tree", F.posexplode("c").alias("i", "x"))
+    at = F.concat(F.lit("0."), F.col("i").cast("string"))
+    one = first.select("tree", *node(at, F.lit("0"), F.col("i"), 1, F.col("x.question"), named(F.col("x.pattern"), F.size("x.children"))))
     second = first.select("tree", "i", F.posexplode("x.children").alias("j", "y"))
-    two = second.select(
-        "tree", F.concat_ws(".", F.lit("0"), F.col("i").cast("string"), F.col("j").cast("string")).alias("node_id"), F.concat(F.lit("0."), F.col("i").cast("string")).alias("parent_id"),
-        F.col("j").alias("sibling_no"), F.lit(2).alias("depth"), F.col("y.question").alias("question"),
-    )
+    two = second.select("tree", *node(F.concat_ws(".", F.lit("0"), F.col("i").cast("string"), F.col("j").cast("string")), at, F.col("j"), 2, F.trim("y.question"), F.lit("direct").alias("pattern")))
     return own.unionByName(one).unionByName(two)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmill.functions.text import bound, quote_fragments
+from siltmill.functions.text import bound, norm_text, quote_fragments
 from siltmill.functions.urls import match_url
+from siltmill.runtime import cut
 
 
 def first_place(found: Column) -> Column:
@@ -34,6 +35,53 @@ def url_rank(urls: Column, wanted: Column) -> Column:
     return first_place(F.transform(urls, lambda u: F.array_contains(forms, match_url(u))))
 
 
+def whole_quote_ranks(quotes: Column, normal_texts: Column) -> Column:
+    """The older check: the first text that has a quote from end to end, ellipses and all; null where none has."""
+    return bound(normal_texts, lambda t: F.transform(quotes, lambda q: bound(norm_text(q), lambda n: first_place(F.transform(t, lambda x: F.coalesce(F.contains(x, n), F.lit(False)))))))
+
+
+def check_retrieval(results: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``results`` (gold_passages, chunks of rank, url, text) with url_rank, quote_ranks, quote_ranks_fixed and whether all are found.
+
+    A gold page counts under its own url and under those of its manifest row. Ranks are those that the chunks bear. An
+    item without gold has null for what is found, and no ranks. ``quote_ranks`` compares whole quotes,
+    ``quote_ranks_fixed`` their fragments.
+    """
+    known = manifest.filter("content_hash is not null").groupBy("content_hash").agg(F.max_by(F.array("url", "final_url"), "seq").alias("_urls"))
+    rows = results.withColumn("_row", F.monotonically_increasing_id())
+    rows = cut(rows)
+    golds = rows.select("_row", F.explode("gold_passages").alias("g")).select("_row", F.col("g.url").alias("u"), F.col("g.content_hash").alias("content_hash"))
+    named = golds.join(known, "content_hash", "left").select("_row", F.explode(F.array_compact(F.concat(F.array("u"), F.coalesce("_urls", F.array())))).alias("u"))
+    ok = named.groupBy("_row").agg(F.collect_set("u").alias("_ok"))  # three for each gold passage of a row at most
+    joined = rows.join(ok, "_row", "left")
+    chunks = F.coalesce("chunks", F.array())
+    at = lambda place: F.get(chunks, place - 1)["rank"]
+    quotes = F.transform("gold_passages", lambda p: p["quote"])
+    texts = F.transform(chunks, lambda c: norm_text(c["text"]))
+    url = F.filter(chunks, lambda c: F.array_contains("_ok", c["url"]))
+    gold = F.coalesce(F.size("gold_passages"), F.lit(0)) > 0
+    none = F.array().cast("array<int>")
+    whole, parts = F.transform(whole_quote_ranks(quotes, texts), at), F.transform(quote_ranks(quotes, texts), at)
+    out = joined.withColumns({"url_rank": F.when(gold, F.get(url, F.lit(0))["rank"]), "quote_ranks": F.when(gold, whole).otherwise(none), "quote_ranks_fixed": F.when(gold, parts).otherwise(none)})
+    all_ = lambda c: F.when(gold, F.forall(c, lambda r: r.isNotNull()))
+    return out.withColumns({"url_retrieved": F.when(gold, F.col("url_rank").isNotNull()), "quote_retrieved": all_("quote_ranks"), "quote_retrieved_fixed": all_("quote_ranks_fixed")}).drop("_row", "_ok")
+
+
+def passage_misses(passages: DataFrame, rank: str, url: str, quote: str, indexed: DataFrame, corpus: DataFrame, text: str) -> DataFrame:
+    """``passages`` with miss: null up to rank 5, else 0, A, B or C, by the rules of ``miss_group`` for one passage.
+
+    ``indexed`` has the urls of the index, ``corpus`` the normal texts of its units.
+    """
+    rows = cut(passages.withColumn("_u", match_url(F.col(url))).withColumn("_p", F.monotonically_increasing_id()))
+    urls = indexed.select(match_url(F.col("url")).alias("_u")).distinct().withColumn("_in", F.lit(True))
+    parts = rows.select("_p", F.explode(quote_fragments(F.col(quote))).alias("f"))
+    inside = contained_anywhere(parts, "f", corpus, text).withColumn("_found", F.lit(True))
+    whole = parts.join(inside, "f", "left").groupBy("_p").agg(F.bool_and(F.coalesce("_found", F.lit(False))).alias("_held"))
+    joined = rows.join(urls, "_u", "left").join(whole, "_p", "left")
+    group = miss_group(F.col(rank), F.col("_in").isNotNull(), F.coalesce("_held", F.lit(False)))
+    return joined.withColumn("miss", F.nullif(group, F.lit("hit"))).drop("_u", "_p", "_in", "_held")
+
+
 def worst(ranks: Column) -> Column:
     """The worst rank; null where any is missing or there is none."""
     return F.when((F.size(ranks) > 0) & F.forall(ranks, lambda r: r.isNotNull()), F.array_max(ranks))

@@ -81,53 +81,113 @@ SELECT id, CASE WHEN twice THEN 'duplicate' WHEN len(r) > 0 THEN 'fail' ELSE 'pa
 
 
 def gold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold passages against the later rows of the manifest as a new crawl, with changed hashes for a third of pages."""
+    """Gold passages against the manifest as a new crawl, in which pages are gone, changed in their hash, or in their text.
+
+    Which ones is read off the digits of a page's key.
+    """
     manifest = table(spark, sf_dir, "pages_manifest").distinct()
-    changed = F.conv(F.substring("key", 1, 2), 16, 10).cast("int") % 3 == 0
-    gone = F.conv(F.substring("key", 3, 2), 16, 10).cast("int") % 7 == 0
-    new = manifest.filter(~F.coalesce(gone, F.lit(False))).withColumn("content_hash", F.when(changed, F.substring(F.sha2("content_hash", 256), 1, 16)).otherwise(F.col("content_hash")))
+    digits = lambda at: F.conv(F.substring("key", at, 2), 16, 10).cast("int")
+    new = manifest.filter(~F.coalesce(digits(3) % 7 == 0, F.lit(False))).withColumn("content_hash", F.when(digits(1) % 3 == 0, F.substring(F.sha2("content_hash", 256), 1, 16)).otherwise(F.col("content_hash")))
     texts = _texts(spark, sf_dir)
-    found = curation.check_gold(corpus.items_with_gold(_items(spark, sf_dir)), manifest, texts, new, texts, "2026-06-01")
+    changed = texts.withColumn("text", F.when(digits(5) % 2 == 0, F.replace("text", F.lit("e"), F.lit("x"))).otherwise(F.col("text")))
+    found = curation.check_gold(corpus.items_with_gold(_items(spark, sf_dir)), manifest, texts, new, changed, "2026-06-01")
     return found.select("id", "passage", "url", "old_hash", "new_hash", "status", F.array_join("stale", "; ").alias("stale"))
 
 
-GOLD_CHECK = f"""
+_GOLD = f"""
 WITH {_FOUND},
 i AS (SELECT DISTINCT id, question, category, gold_passages, stale_risk, valid_until, source_file FROM eval_items WHERE len(gold_passages) > 0),
 {_passages('i')},
 ou AS (SELECT key, arg_max(url, seq) AS ou FROM m GROUP BY key),
-nw AS (SELECT url, arg_max(CASE WHEN CAST('0x' || key[1:2] AS INTEGER) % 3 = 0 THEN substr(sha256(content_hash), 1, 16) ELSE content_hash END, seq) AS nh
-       FROM m WHERE status = 200 AND CAST('0x' || key[3:4] AS INTEGER) % 7 <> 0 GROUP BY url)
-SELECT id, CAST(passage AS INTEGER) AS passage, p.url, page_hash AS old_hash, nh AS new_hash,
-  CASE WHEN p.page_key IS NULL OR NOT coalesce(in_page, FALSE) THEN 'BAD-GOLD' WHEN nw.url IS NULL THEN 'MISSING' WHEN nh IS NOT DISTINCT FROM page_hash THEN 'unchanged' ELSE 'changed-ok' END AS status,
+nw AS (SELECT url, arg_max(struct_pack(k := key, h := CASE WHEN CAST('0x' || key[1:2] AS INTEGER) % 3 = 0 THEN substr(sha256(content_hash), 1, 16) ELSE content_hash END), seq) AS n
+       FROM m WHERE status = 200 AND CAST('0x' || key[3:4] AS INTEGER) % 7 <> 0 GROUP BY url),
+nt AS (SELECT page_key AS nk, {_norm("CASE WHEN CAST('0x' || page_key[5:6] AS INTEGER) % 2 = 0 THEN replace(text, 'e', 'x') ELSE text END")} AS new_text FROM tx),
+gc AS (SELECT id, CAST(passage AS INTEGER) AS passage, p.url, page_hash AS old_hash, nw.n.h AS new_hash,
+  CASE WHEN p.page_key IS NULL OR NOT coalesce(in_page, FALSE) THEN 'BAD-GOLD' WHEN nw.url IS NULL THEN 'MISSING' WHEN nw.n.h IS NOT DISTINCT FROM page_hash THEN 'unchanged'
+       WHEN len(fr) > 0 AND len(list_filter(fr, lambda q: NOT coalesce(contains(new_text, q), FALSE))) = 0 THEN 'changed-ok' ELSE 'BROKEN' END AS status,
   array_to_string(list_filter([CASE WHEN category = 'temporal' THEN 'temporal' END, CASE WHEN stale_risk = 'high' THEN 'high stale risk' END, CASE WHEN valid_until < '2026-06-01' THEN 'past valid_until' END], lambda x: x IS NOT NULL), '; ') AS stale
-FROM p LEFT JOIN ou ON ou.key = p.page_key LEFT JOIN nw ON nw.url = ou.ou"""
+FROM p LEFT JOIN ou ON ou.key = p.page_key LEFT JOIN nw ON nw.url = ou.ou LEFT JOIN nt ON nt.nk = nw.n.k)"""
+GOLD_CHECK = f"{_GOLD} SELECT * FROM gc"
+
+
+def gold_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of that check, counted."""
+    return curation.gold_status(gold_check(spark, sf_dir))[0]
+
+
+def draft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out items as drafts of their category, checked for consistency, gold and quotes that the other items have."""
+    items = table(spark, sf_dir, "eval_items").select(*_COLS, "answerable", "answer", "gold_answer").distinct()
+    late = F.col("source_file") >= "set_01"
+    drafts, existing = items.filter(late).withColumn("wanted", F.col("category")), items.filter(~late)
+    indexed = table(spark, sf_dir, "chunks").select(F.explode(F.concat(F.array("url"), F.coalesce("also_urls", F.array().cast("array<string>")))).alias("url"))
+    found = curation.check_drafts(drafts, existing, table(spark, sf_dir, "pages_manifest").distinct(), _texts(spark, sf_dir), indexed)
+    return found.select("id", "category", "source_file", F.array_join("reasons", "; ").alias("reasons"), F.array_join("flags", "; ").alias("flags"))
+
+
+_DRAFTS = f"""
+WITH {_FOUND},
+i AS (SELECT DISTINCT id, question, category, gold_passages, stale_risk, valid_until, source_file, answerable, answer, gold_answer FROM eval_items),
+d AS (SELECT *, row_number() OVER () AS rw FROM i WHERE source_file >= 'set_01'),
+iu AS (SELECT DISTINCT split_part(trim(coalesce(x, '')), '?', 1) AS iu FROM (SELECT url AS x FROM chunks UNION ALL SELECT unnest(also_urls) FROM chunks)),
+eq AS (SELECT DISTINCT {_norm('g.quote')} AS q FROM (SELECT unnest(gold_passages) AS g FROM i WHERE source_file < 'set_01')),
+hs AS (SELECT DISTINCT content_hash AS known FROM pages_manifest WHERE content_hash IS NOT NULL),
+{_passages('d')},
+b AS (SELECT rw, list_sort(list_distinct(list(CASE WHEN trim(coalesce(url, '')) = '' THEN 'passage without url' WHEN trim(coalesce(quote, '')) = '' THEN 'passage without quote'
+      WHEN page_key IS NULL THEN 'no page' WHEN NOT in_page THEN 'quote not in page' WHEN iu IS NULL THEN 'url not indexed' END))) AS bad,
+      list_sort(list(CASE WHEN known IS NULL THEN 'passage ' || (passage + 1) || ': not in the current snapshot' END)) AS stale,
+      list_sort(list(CASE WHEN q IS NOT NULL THEN 'passage ' || (passage + 1) || ': quote of an existing item' END)) AS twice
+      FROM p LEFT JOIN iu ON iu.iu = split_part(trim(coalesce(url, '')), '?', 1) LEFT JOIN hs ON hs.known = p.g.content_hash LEFT JOIN eq ON eq.q = {_norm('p.quote')} GROUP BY rw),
+z AS (SELECT d.*, coalesce(len(d.gold_passages), 0) AS n, bad, stale, twice FROM d LEFT JOIN b USING (rw)),
+dc AS (SELECT id, category, source_file, array_to_string(list_filter(list_concat(
+  [CASE WHEN category IS NULL THEN NULL END, CASE WHEN trim(coalesce(answer, '')) = '' AND trim(coalesce(gold_answer, '')) = '' THEN 'no answer' END],
+  CASE WHEN category = 'unanswerable' THEN [CASE WHEN answerable IS DISTINCT FROM FALSE THEN 'not marked unanswerable' END, CASE WHEN n > 0 THEN 'unanswerable with gold' END]
+  ELSE list_concat([CASE WHEN answerable IS DISTINCT FROM TRUE THEN 'not marked answerable' END, CASE WHEN trim(coalesce(question, '')) = '' THEN 'no question' END, CASE WHEN n = 0 THEN 'no gold' END], coalesce(bad, []), coalesce(twice, [])) END),
+  lambda x: x IS NOT NULL), '; ') AS reasons,
+  CASE WHEN category = 'unanswerable' THEN '' ELSE array_to_string(list_filter(list_concat([CASE WHEN category = 'multi-hop' AND n < 2 THEN 'fewer than two passages' END], coalesce(stale, [])), lambda x: x IS NOT NULL), '; ') END AS flags FROM z)"""
 
 
 def draft_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five verified drafts of each category."""
-    drafts = table(spark, sf_dir, "eval_items").select("id", "category", "verified_by", "source_file").filter("id is not null and category is not null").distinct()
-    return curation.candidates(drafts, F.coalesce(F.col("verified_by") == "human", F.lit(False)), ["source_file", "id"])
+    """The first five drafts of each category that pass the check."""
+    return curation.candidates(draft_check(spark, sf_dir).filter("id is not null and category is not null"), F.col("reasons") == "", ["source_file", "id"])
 
 
-DRAFT_CANDIDATES = """SELECT id, category, verified_by, source_file, CAST(row_number() OVER (PARTITION BY category ORDER BY source_file NULLS FIRST, id) AS INTEGER) AS place
-FROM (SELECT DISTINCT id, category, verified_by, source_file FROM eval_items WHERE id IS NOT NULL AND category IS NOT NULL) WHERE verified_by = 'human' QUALIFY place <= 5"""
+DRAFT_CANDIDATES = f"""{_DRAFTS} SELECT id, category, source_file, reasons, flags, CAST(row_number() OVER (PARTITION BY category ORDER BY source_file NULLS FIRST, id) AS INTEGER) AS place
+FROM dc WHERE id IS NOT NULL AND category IS NOT NULL AND reasons = '' QUALIFY place <= 5"""
 
 
-def eval_set_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dev items and approved ones as one set. The gate on categories is off: the smallest tables lack one."""
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "eval_items").select("id", "category", "split", "verified_by").filter("id is not null").distinct()
     dev = items.filter(F.col("split").eqNullSafe(F.lit("dev"))).drop("split")
-    approved = items.filter(~F.col("split").eqNullSafe(F.lit("dev")) & (F.col("verified_by") == "human")).drop("split")
-    return curation.freeze(dev, approved, least=0).select("id", "category", "split")
+    return dev, items.filter(~F.col("split").eqNullSafe(F.lit("dev")) & (F.col("verified_by") == "human")).drop("split")
+
+
+def eval_set_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dev items and approved ones as one set, and whether the set may be frozen: ten items of each category at least."""
+    both = curation.combined(*_halves(spark, sf_dir))
+    gate = curation.category_counts(both).agg(F.bool_and("enough").alias("frozen"))
+    return both.join(F.broadcast(gate)).select("id", "category", "split", "frozen")  # one row
+
+
+EVAL_SET_FREEZE = """WITH i AS (SELECT DISTINCT id, category, split, verified_by FROM eval_items WHERE id IS NOT NULL),
+b AS (SELECT id, category, 'dev' AS split FROM i WHERE split = 'dev' UNION ALL SELECT id, category, 'test' FROM i WHERE split IS DISTINCT FROM 'dev' AND verified_by = 'human'),
+c AS (SELECT category, count(*) AS n FROM b WHERE category IN ('ambiguous', 'conditional', 'multi-hop', 'single-fact', 'temporal', 'unanswerable') GROUP BY category)
+SELECT id, category, split, (SELECT count(*) FILTER (n >= 10) = 6 FROM c) AS frozen FROM b"""
+
+
+def eval_set_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of each category in that set."""
+    return curation.category_counts(curation.combined(*_halves(spark, sf_dir)))
 
 
-EVAL_SET_FREEZE = """WITH i AS (SELECT DISTINCT id, category, split, verified_by FROM eval_items WHERE id IS NOT NULL)
-SELECT id, category, 'dev' AS split FROM i WHERE split = 'dev' UNION ALL SELECT id, category, 'test' FROM i WHERE split IS DISTINCT FROM 'dev' AND verified_by = 'human'"""
+EVAL_SET_GATE = """WITH i AS (SELECT DISTINCT id, category, split, verified_by FROM eval_items WHERE id IS NOT NULL),
+b AS (SELECT category FROM i WHERE split = 'dev' OR verified_by = 'human')
+SELECT c.category, count(b.category) AS n, count(b.category) >= 10 AS enough FROM (SELECT unnest(['ambiguous', 'conditional', 'multi-hop', 'single-fact', 'temporal', 'unanswerable']) AS category) c LEFT JOIN b USING (category) GROUP BY c.category"""
 
 _ALL = {
     "eval_items_loaded": (eval_items_loaded, EVAL_ITEMS_LOADED), "draft_validation": (draft_validation, DRAFT_VALIDATION), "gold_check": (gold_check, GOLD_CHECK),
-    "draft_candidates": (draft_candidates, DRAFT_CANDIDATES), "eval_set_freeze": (eval_set_freeze, EVAL_SET_FREEZE),
+    "gold_status": (gold_status, f"{_GOLD} SELECT status, count(*) AS n FROM gc GROUP BY status"), "draft_check": (draft_check, f"{_DRAFTS} SELECT * FROM dc"),
+    "draft_candidates": (draft_candidates, DRAFT_CANDIDATES), "eval_set_freeze": (eval_set_freeze, EVAL_SET_FREEZE), "eval_set_gate": (eval_set_gate, EVAL_SET_GATE),
 }
 
 

@@ -10,20 +10,34 @@ from siltmill.plans.scoring_queries import _SCORED, _scored
 from siltmill.runtime import table
 
 
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, set_hash): the fingerprint of the items that a run was made with."""
+    rows = table(spark, sf_dir, "e2e_rows").select("run_id", "id").distinct()
+    items = table(spark, sf_dir, "eval_items").select("id", "question", "gold_passages").distinct()
+    return ledger.eval_set_fingerprint(rows.join(items, "id"), ["run_id"]).select("run_id", F.col("fingerprint").alias("set_hash"))
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _scored(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), *scoring.rank_metrics(F.col("rank")))
-    return m.withColumns({"set_hash": F.substring(F.sha2(F.col("n").cast("string"), 256), 1, 12), "seq": F.col("run_id")})
+    return m.join(_fingerprints(spark, sf_dir), "run_id").withColumn("seq", F.col("run_id"))
 
 
 _RUNS = f"""{_SCORED},
 m AS (SELECT run_id, count(*) AS n, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS hit5, avg(coalesce(1.0 / rank, 0)) AS mrr FROM scored GROUP BY run_id),
-runs AS (SELECT *, substr(sha256(CAST(n AS VARCHAR)), 1, 12) AS set_hash FROM m),
+it AS (SELECT DISTINCT e.run_id, concat_ws(chr(30), coalesce('=' || i.id, '-'), coalesce('=' || i.question, '-'), coalesce('=' || array_to_string(list_transform(i.gold_passages,
+       lambda p: concat_ws(chr(31), coalesce('=' || p.url, '-'), coalesce('=' || p.content_hash, '-'), coalesce('=' || p.quote, '-'))), chr(29)), '-')) AS x
+       FROM (SELECT DISTINCT run_id, id FROM e2e_rows) e JOIN (SELECT DISTINCT id, question, gold_passages FROM eval_items) i USING (id)),
+ih AS (SELECT DISTINCT run_id, sha256(x) AS h FROM it),
+fp AS (SELECT run_id, substr(sha256(concat_ws(':', CAST(count(*) AS VARCHAR), CAST(sum(CAST(CAST('0x' || substr(h, 1, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR),
+       CAST(sum(CAST(CAST('0x' || substr(h, 13, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR))), 1, 12) AS set_hash FROM ih GROUP BY run_id),
+runs AS (SELECT m.*, set_hash FROM m JOIN fp USING (run_id)),
 firsts AS (SELECT set_hash, 'v' || row_number() OVER (ORDER BY min(run_id)) AS version FROM runs GROUP BY set_hash)"""
 
 
 def run_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs with the version of their set of items."""
-    return ledger.version_labels(_runs(spark, sf_dir), "set_hash", "seq").select("run_id", "n", "set_hash", "version")
+    """Runs with the version of their set of items, and whether it is another than that of the run before."""
+    labelled = ledger.version_labels(_runs(spark, sf_dir), "set_hash", "seq")
+    return ledger.version_starts(labelled, ["seq"]).select("run_id", "n", "set_hash", "version", "starts")
 
 
 def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +98,7 @@ FROM a FULL OUTER JOIN b ON a.id = b.id"""
 
 
 def pivot_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranks of all items in the last two runs."""
+    """The ranks of all items in the last two runs, side by side."""
     a, b = _two(spark, sf_dir)
     return ledger.pivot_runs(_scored(spark, sf_dir), "run_id", "id", F.col("rank"), [a, b]).withColumnsRenamed({a: "before", b: "after"})
 
@@ -94,22 +108,27 @@ a AS (SELECT id, coalesce(CAST(rank AS VARCHAR), '-') AS r FROM scored WHERE run
 SELECT coalesce(a.id, b.id) AS id, coalesce(a.r, 'n/a') AS before, coalesce(b.r, 'n/a') AS after FROM a FULL OUTER JOIN b ON a.id = b.id"""
 
 
-def route_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories of items against those their ids are named for."""
-    named = {"sf": "single-fact", "mh": "multi-hop", "cond": "conditional", "temp": "temporal", "amb": "ambiguous", "unans": "unanswerable"}
-    prefix = F.split_part("id", F.lit("-"), F.lit(1))
-    said = F.lit("unknown")
-    for k, v in named.items():
-        said = F.when(prefix == k, v).otherwise(said)
-    items = table(spark, sf_dir, "eval_items").select("id", "category").distinct().filter("id is not null")
-    return ledger.confusion(items.withColumn("predicted", said).withColumnRenamed("category", "gold"), "gold", "predicted").withColumn("accuracy", F.round("accuracy", 6))
+def run_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks of all items in all runs."""
+    return ledger.run_ranks(_scored(spark, sf_dir), "run_id", "id", F.col("rank"))
+
+
+RUN_RANKS = f"""WITH {_SCORED}, c AS (SELECT DISTINCT id, run_id, run_id || '=' || coalesce(CAST(rank AS VARCHAR), '-') AS v FROM scored)
+SELECT id, string_agg(v, ' ' ORDER BY run_id, v) AS runs, count(DISTINCT run_id) AS n_runs FROM c GROUP BY id"""
+
+
+def best_multihop_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run of each version with the best joint hits of items with several passages, then the best joint rank, then the earliest."""
+    rows = _scored(spark, sf_dir).filter("size(passage_ranks) > 1")
+    joint = rows.groupBy("run_id").agg(F.round(F.avg(F.coalesce((F.col("rank") <= 5).cast("int"), F.lit(0))), 6).alias("joint_hit5"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr_joint"))
+    labelled = ledger.version_labels(joint.join(_fingerprints(spark, sf_dir), "run_id"), "set_hash", "run_id")
+    return ledger.best_runs(labelled, ["version"], ["joint_hit5", "mrr_joint"], ["run_id"]).select("version", "run_id", "joint_hit5", "mrr_joint")
 
 
-ROUTE_CONFUSION = """
-WITH i AS (SELECT DISTINCT id, category FROM eval_items WHERE id IS NOT NULL),
-p AS (SELECT category AS gold, CASE split_part(id, '-', 1) WHEN 'sf' THEN 'single-fact' WHEN 'mh' THEN 'multi-hop' WHEN 'cond' THEN 'conditional' WHEN 'temp' THEN 'temporal'
-      WHEN 'amb' THEN 'ambiguous' WHEN 'unans' THEN 'unanswerable' ELSE 'unknown' END AS predicted FROM i)
-SELECT gold, predicted, count(*) AS n, round((SELECT avg(CASE WHEN gold = predicted THEN 1.0 ELSE 0 END) FROM p), 6) AS accuracy FROM p GROUP BY gold, predicted"""
+BEST_MULTIHOP_RUN = f"""WITH {_RUNS},
+j AS (SELECT run_id, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS joint_hit5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr_joint FROM scored WHERE len(passage_ranks) > 1 GROUP BY run_id),
+jf AS (SELECT set_hash, 'v' || row_number() OVER (ORDER BY min(run_id)) AS version FROM j JOIN fp USING (run_id) GROUP BY set_hash)
+SELECT version, run_id, joint_hit5, mrr_joint FROM j JOIN fp USING (run_id) JOIN jf USING (set_hash) QUALIFY row_number() OVER (PARTITION BY version ORDER BY joint_hit5 DESC, mrr_joint DESC, run_id) = 1"""
 
 
 def visible_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +149,8 @@ SELECT id, 'first' AS side FROM (SELECT id FROM a EXCEPT SELECT id FROM b) UNION
 UNION ALL SELECT id, 'both' FROM (SELECT id FROM a INTERSECT SELECT id FROM b)"""
 
 _ALL = {
-    "run_versions": (run_versions, f"WITH {_RUNS} SELECT run_id, n, set_hash, version FROM runs JOIN firsts USING (set_hash)"), "best_run": (best_run, BEST_RUN),
-    "run_diff": (run_diff, RUN_DIFF), "compare_runs": (compare_runs, COMPARE_RUNS), "pivot_runs": (pivot_runs, PIVOT_RUNS), "route_confusion": (route_confusion, ROUTE_CONFUSION),
+    "run_versions": (run_versions, f"WITH {_RUNS} SELECT run_id, n, set_hash, version, coalesce(version IS DISTINCT FROM lag(version) OVER (ORDER BY run_id), TRUE) AS starts FROM runs JOIN firsts USING (set_hash)"), "best_run": (best_run, BEST_RUN),
+    "run_diff": (run_diff, RUN_DIFF), "compare_runs": (compare_runs, COMPARE_RUNS), "pivot_runs": (pivot_runs, PIVOT_RUNS), "run_ranks": (run_ranks, RUN_RANKS), "best_multihop_run": (best_multihop_run, BEST_MULTIHOP_RUN),
     "visible_items": (visible_items, "SELECT DISTINCT id, split FROM eval_items WHERE split IS DISTINCT FROM 'test'"), "item_sets": (item_sets, ITEM_SETS),
 }
 

@@ -124,19 +124,75 @@ SELECT run_id, count(*) AS n, count(*) FILTER (m = '0') AS miss_0, count(*) FILT
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold pages that the index doesn't hold."""
-    items = table(spark, sf_dir, "eval_items").select(F.explode("gold_passages.url").alias("u"))
+    """Pages that the index doesn't hold, among those of gold passages and those that were fetched."""
+    gold = table(spark, sf_dir, "eval_items").select(F.explode("gold_passages.url").alias("u"))
+    fetched = table(spark, sf_dir, "pages_manifest").filter("key is not null").select(F.explode(F.array("url", "final_url")).alias("u"))
     chunks = table(spark, sf_dir, "chunks")
     urls = chunks.select(F.explode(F.concat(F.array("url"), F.coalesce("also_urls", F.array().cast("array<string>")))).alias("u"))
-    return scoring.uncovered(items, "u", urls, "u")
+    return scoring.uncovered(gold.unionByName(fetched), "u", urls, "u")
 
 
 COVERAGE = """
 WITH u AS (SELECT DISTINCT split_part(trim(coalesce(x, '')), '?', 1) AS url FROM (SELECT url AS x FROM chunks UNION ALL SELECT unnest(also_urls) FROM chunks)),
-g AS (SELECT DISTINCT split_part(trim(coalesce(p.url, '')), '?', 1) AS url FROM (SELECT unnest(gold_passages) AS p FROM eval_items))
+w AS (SELECT p.url AS x FROM (SELECT unnest(gold_passages) AS p FROM eval_items) UNION ALL SELECT unnest([url, final_url]) FROM pages_manifest WHERE key IS NOT NULL),
+g AS (SELECT DISTINCT split_part(trim(coalesce(x, '')), '?', 1) AS url FROM w)
 SELECT url FROM g WHERE url <> '' AND url NOT IN (SELECT url FROM u)"""
 
 
+def passage_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of miss of each gold passage of the results, counted by run, for items with several passages."""
+    scored = _scored(spark, sf_dir).filter("size(passage_ranks) > 1").select("run_id", "id", F.posexplode("passage_ranks").alias("p", "rank"))
+    golds = table(spark, sf_dir, "eval_items").select("id", "gold_passages").distinct().select("id", F.posexplode("gold_passages").alias("p", "g"))
+    rows = scored.join(golds.select("id", "p", F.col("g.url").alias("url"), F.col("g.quote").alias("quote")), ["id", "p"])
+    chunks = table(spark, sf_dir, "chunks")
+    urls = chunks.select(F.explode(F.concat(F.array("url"), F.coalesce("also_urls", F.array().cast("array<string>")))).alias("url"))
+    normal = chunks.filter("text is not null").select(norm_text(F.col("text")).alias("t")).distinct()
+    found = scoring.passage_misses(rows, "rank", "url", "quote", urls, normal, "t")
+    return found.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), *scoring.miss_counts(F.col("miss")))
+
+
+PASSAGE_MISSES = f"""WITH {_SCORED},
+g0 AS (SELECT id, gold_passages FROM i WHERE len(gold_passages) > 1),
+s AS (SELECT run_id, id, unnest(range(1, len(passage_ranks) + 1)) AS p, unnest(passage_ranks) AS rank FROM scored WHERE len(passage_ranks) > 1),
+g AS (SELECT id, unnest(range(1, len(gold_passages) + 1)) AS p, unnest(gold_passages) AS g FROM g0),
+u AS (SELECT DISTINCT split_part(trim(coalesce(x, '')), '?', 1) AS url FROM (SELECT url AS x FROM chunks UNION ALL SELECT unnest(also_urls) FROM chunks)),
+corpus AS (SELECT DISTINCT {_norm('text')} AS t FROM chunks WHERE text IS NOT NULL),
+q AS (SELECT DISTINCT unnest({_fragments('g.quote')}) AS f FROM g),
+inside AS (SELECT f FROM q WHERE EXISTS (SELECT 1 FROM corpus WHERE contains(t, f))),
+h AS (SELECT id, p, g.url AS url, {_fragments('g.quote')} AS fr FROM g),
+fl AS (SELECT id, p, unnest(fr) AS f FROM h), bad AS (SELECT DISTINCT id, p FROM fl ANTI JOIN inside USING (f)),
+held AS (SELECT h.id, h.p, h.url, len(fr) > 0 AND bad.id IS NULL AS ok FROM h LEFT JOIN bad ON bad.id = h.id AND bad.p = h.p),
+k AS (SELECT run_id, CASE WHEN rank <= 5 THEN NULL WHEN split_part(trim(coalesce(held.url, '')), '?', 1) NOT IN (SELECT url FROM u) THEN '0' WHEN NOT ok THEN 'A' WHEN rank IS NULL OR rank > 50 THEN 'C' ELSE 'B' END AS m FROM s JOIN held USING (id, p))
+SELECT run_id, count(*) AS n, count(*) FILTER (m = '0') AS miss_0, count(*) FILTER (m = 'A') AS miss_a, count(*) FILTER (m = 'B') AS miss_b, count(*) FILTER (m = 'C') AS miss_c FROM k GROUP BY run_id"""
+
+
+def retrieval_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each result retrieved of its item's gold: by url, by whole quotes and by their fragments."""
+    rows = table(spark, sf_dir, "e2e_rows").select("run_id", "id", "chunks").distinct()
+    items = table(spark, sf_dir, "eval_items").select("id", "gold_passages").distinct()
+    found = scoring.check_retrieval(rows.join(items, "id"), table(spark, sf_dir, "pages_manifest"))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").alias(c)
+    return found.select("run_id", "id", "url_retrieved", "url_rank", "quote_retrieved", shown("quote_ranks"), "quote_retrieved_fixed", shown("quote_ranks_fixed"))
+
+
+RETRIEVAL_CHECK = f"""
+WITH r AS (SELECT DISTINCT run_id, id, chunks FROM e2e_rows), i AS (SELECT DISTINCT id, gold_passages FROM eval_items),
+m AS (SELECT content_hash, arg_max([url, final_url], seq) AS us FROM pages_manifest WHERE content_hash IS NOT NULL GROUP BY content_hash),
+t AS (SELECT run_id, r.id, row_number() OVER () AS rw, coalesce(gold_passages, []) AS g, coalesce(chunks, []) AS c FROM r JOIN i USING (id)),
+x AS (SELECT *, list_transform(c, lambda x: {_norm('x.text')}) AS texts FROM t),
+gu AS (SELECT rw, unnest(g) AS p FROM t),
+ok AS (SELECT rw, list(u) AS ok FROM (SELECT rw, unnest(list_concat([p.url], coalesce(us, []))) AS u FROM gu LEFT JOIN m ON m.content_hash = p.content_hash) WHERE u IS NOT NULL GROUP BY rw),
+w AS (SELECT x.*, coalesce(ok.ok, []) AS ok,
+      list_transform(g, lambda p: nullif(list_position(list_transform(texts, lambda t: contains(t, {_norm('p.quote')})), TRUE), 0)) AS whole,
+      list_transform(g, lambda p: list_transform({_fragments('p.quote')}, lambda f: nullif(list_position(list_transform(texts, lambda t: contains(t, f)), TRUE), 0))) AS parts FROM x LEFT JOIN ok USING (rw)),
+v AS (SELECT *, list_transform(parts, lambda a: CASE WHEN len(a) > 0 AND len(list_filter(a, lambda y: y IS NULL)) = 0 THEN list_max(a) END) AS fixed FROM w),
+n AS (SELECT run_id, id, len(g) > 0 AS gold, list_filter(c, lambda y: list_contains(ok, y.url))[1].rank AS url_rank,
+      list_transform(whole, lambda k: c[k].rank) AS q, list_transform(fixed, lambda k: c[k].rank) AS f FROM v)
+SELECT run_id, id, CASE WHEN gold THEN url_rank IS NOT NULL END AS url_retrieved, CASE WHEN gold THEN url_rank END AS url_rank,
+       CASE WHEN gold THEN len(list_filter(q, lambda y: y IS NULL)) = 0 END AS quote_retrieved, array_to_string(list_transform(q, lambda y: coalesce(CAST(y AS VARCHAR), '-')), ',') AS quote_ranks,
+       CASE WHEN gold THEN len(list_filter(f, lambda y: y IS NULL)) = 0 END AS quote_retrieved_fixed, array_to_string(list_transform(f, lambda y: coalesce(CAST(y AS VARCHAR), '-')), ',') AS quote_ranks_fixed FROM n"""
+
+
 def e2e_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts, grounding, retrieval and failures by run and category, with totals."""
     rows = table(spark, sf_dir, "e2e_rows").withColumn("error", F.col("error.stage")).select(
@@ -169,8 +225,8 @@ FROM k GROUP BY ROLLUP (run_id, category)"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (score_quotes, metrics_by_level, multihop, miss_groups, coverage, e2e_summary)}
+    return {f.__name__: f for f in (score_quotes, metrics_by_level, multihop, miss_groups, passage_misses, retrieval_check, coverage, e2e_summary)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"score_quotes": SCORE_QUOTES, "metrics_by_level": METRICS_BY_LEVEL, "multihop": MULTIHOP, "miss_groups": MISS_GROUPS, "coverage": COVERAGE, "e2e_summary": E2E_SUMMARY}
+    return {"score_quotes": SCORE_QUOTES, "metrics_by_level": METRICS_BY_LEVEL, "multihop": MULTIHOP, "miss_groups": MISS_GROUPS, "passage_misses": PASSAGE_MISSES, "retrieval_check": RETRIEVAL_CHECK, "coverage": COVERAGE, "e2e_summary": E2E_SUMMARY}

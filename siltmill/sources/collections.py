@@ -36,7 +36,11 @@ def open_collection(spark: SparkSession, path: str, settings: dict) -> DataFrame
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Replaces rows of the same key and adds the others. The new table is written beside the old one, then takes its place."""
+    """Replaces rows of the same key and adds the others; of rows with one key, and with all equal, one stays.
+
+    The new table is written beside the old one, then takes its place.
+    """
+    rows = rows.distinct()
     if not _exists(spark, path):
         rows.write.parquet(path)
         return
@@ -47,12 +51,17 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
 
 
 def _replace(spark: SparkSession, fresh: str, path: str) -> None:
+    """Puts a written table in the place of another. The old one is moved aside first and goes last, so one is always there."""
     jvm = spark.sparkContext._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(source, target):
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    aside = f"{path.rstrip('/')}_old_{uuid.uuid4().hex}"
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(at(path), at(aside)):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(at(fresh), at(path)):
+        fs.rename(at(aside), at(path))
         raise OSError(f"cannot rename {fresh} to {path}")
+    fs.delete(at(aside), True)
 
 
 def append_missing(rows: DataFrame, path: str, key: list[str]) -> None:
@@ -101,10 +110,22 @@ def review_sheet(candidates: DataFrame, most: int = 500) -> str:
     return "\n".join(out).strip() + "\n"
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Raw HTML and text of fetched pages, a row for each key."""
+    pages.select("key", "html", "text").write.mode("overwrite").parquet(path)
+
+
 def box_table(rows: DataFrame, most: int = 200, width: int = 40) -> str:
-    """A table for a terminal: the first rows, long values cut off."""
-    cells = [rows.columns, *[["" if v is None else str(v)[:width] for v in r] for r in rows.limit(most).collect()]]
-    widths = [max(len(row[i]) for row in cells) for i in range(len(cells[0]))]
+    """A table for a terminal: long values go on in the next line, and a last line tells if there are more rows."""
+    found = rows.limit(most + 1).collect()
+    cells = [rows.columns, *[["" if v is None else str(v) for v in r] for r in found[:most]]]
+    wrapped = [[[line[i : i + width] for line in c.split("\n") for i in range(0, max(1, len(line)), width)] for c in row] for row in cells]
+    widths = [max(len(x) for row in wrapped for x in row[i]) for i in range(len(cells[0]))]
     line = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
-    body = ["| " + " | ".join(v.ljust(w) for v, w in zip(row, widths, strict=True)) + " |" for row in cells]
-    return "\n".join([line, body[0], line, *body[1:], line])
+    out = [line]
+    for n, row in enumerate(wrapped):
+        for k in range(max(map(len, row))):
+            out.append("| " + " | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=True)) + " |")
+        if n == 0:
+            out.append(line)
+    return "\n".join([*out, line, *(["… and more rows"] if len(found) > most else [])])
