@@ -9,7 +9,7 @@ import sys
 from siltmill.runtime import session
 from siltmill.sources.collections import box_table
 
-PLANS = ("record_queries", "corpus_queries", "ranking_queries", "scoring_queries", "ledger_queries", "curation_queries")
+PLANS = ("record_queries", "corpus_queries", "ranking_queries", "scoring_queries", "ledger_queries", "curation_queries", "response_queries")
 
 
 def main(args: list[str]) -> int:

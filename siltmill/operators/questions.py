@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmill.functions.text import is_vague, question_parts
-from siltmill.functions.urls import page_url
+from siltmill.functions.urls import match_url, page_url
 from siltmill.operators import ann, chunking, ranking, responses
 from siltmill.runtime import cut
 
@@ -80,10 +80,16 @@ def _ranked(q: DataFrame, item: str, chunks: DataFrame, s: Settings) -> DataFram
     return found.select(item, "list_no", "id", "rank")
 
 
-def _expanded(hits: DataFrame, item: str, chunks: DataFrame, sections: DataFrame, s: Settings) -> DataFrame:
+def dated(hits: DataFrame, dates: DataFrame, url: str = "url") -> DataFrame:
+    """Hits with ``date_modified_int`` of their page, null where it has none; ``dates`` is ``corpus.modified_dates``."""
+    known = dates.select(F.col("url").alias("_m"), F.col("modified_int").alias("date_modified_int"))
+    return hits.withColumn("_m", match_url(F.col(url))).join(known, "_m", "left").drop("_m")
+
+
+def expanded(hits: DataFrame, item: str, chunks: DataFrame, sections: DataFrame, expand_words: int) -> DataFrame:
     """Hits with the text of their section, at most ``expand_words`` of it, one for each unit. A chunk without section stays."""
     rows = hits.join(chunks.select("id", F.col("text").alias("_t")), "id").join(sections.select("id", "section", "head", "words", "start", "n_words"), "id", "left")
-    first, n = chunking.expanded_span(F.size("words"), F.col("start"), F.col("n_words"), s.expand_words)
+    first, n = chunking.expanded_span(F.size("words"), F.col("start"), F.col("n_words"), expand_words)
     rows = rows.withColumns({"_f": first, "expanded_words": F.when(F.col("section").isNotNull(), n)})
     body = F.array_join(F.slice("words", F.col("_f") + 1, F.col("expanded_words")), " ")
     text = F.coalesce(F.trim(F.concat("head", F.lit("\n"), body)), F.col("_t"))
@@ -94,7 +100,7 @@ def _expanded(hits: DataFrame, item: str, chunks: DataFrame, sections: DataFrame
 def chain_requests(items: DataFrame, item: str, question: str, hits: DataFrame, chunks: DataFrame, s: Settings, sections: DataFrame | None, model: str) -> DataFrame:
     """(item, user, key): what the model is asked for the second hop, from the first passages as it would see them."""
     if s.expand:
-        seen = _expanded(hits.filter(F.col("rank") <= 3 * s.chain_context_k), item, chunks, sections, s)
+        seen = expanded(hits.filter(F.col("rank") <= 3 * s.chain_context_k), item, chunks, sections, s.expand_words)
     else:
         seen = hits.join(chunks.select("id", "text"), "id")
     context = responses.passages(seen, item, "rank", "text", s.chain_context_k)
@@ -142,7 +148,7 @@ def retrieve(
         hits = chained.unionByName(hits.join(led, item, "left_anti"))
     extra = ["unit", "expanded_words", "text"] if s.expand else []
     if s.expand:
-        hits = _expanded(hits, item, chunks, sections, s).drop("chunk_rank")
+        hits = expanded(hits, item, chunks, sections, s.expand_words).drop("chunk_rank")
     hits = hits.join(chunks.select("id", "url"), "id")
     if s.collapse_pages:
         paged = hits.withColumn("_page", F.when(F.col("url").isNull(), F.col("id")).otherwise(page_url(F.col("url"))))

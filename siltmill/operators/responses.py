@@ -53,8 +53,9 @@ def follow_up(response: Column, limit: int = 2) -> Column:
 
 def clean_queries(response: Column, field: str = "queries", limit: int = 4) -> Column:
     """The first searches that a response names: strings that aren't blank, trimmed. Anything else gives none."""
-    values = F.from_json(F.get_json_object(response, f"$.{field}"), "array<string>")
-    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
+    values = F.from_json(F.get_json_object(response, f"$.{field}"), "array<variant>")
+    texts = F.transform(F.filter(values, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.trim(F.variant_get(x, "$", "string")))
+    kept = F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False)))
     return F.slice(kept, 1, limit)
 
 

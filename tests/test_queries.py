@@ -3,9 +3,9 @@
 import pytest
 from oracle import DATA, same
 
-from siltmill.plans import corpus_queries, curation_queries, ledger_queries, ranking_queries, record_queries, record_sql, scoring_queries
+from siltmill.plans import corpus_queries, curation_queries, ledger_queries, ranking_queries, record_queries, record_sql, response_queries, scoring_queries
 
-PLANS = (corpus_queries, ranking_queries, scoring_queries, ledger_queries, curation_queries)
+PLANS = (corpus_queries, ranking_queries, scoring_queries, ledger_queries, curation_queries, response_queries)
 QUERIES = dict(record_queries.queries())
 SQL = dict(record_sql.oracle_sql())
 for m in PLANS:

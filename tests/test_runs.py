@@ -1,5 +1,6 @@
 """Ranking, ledger, response tables, collections and the stream on small fixtures."""
 
+import json
 import math
 import random
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltmill.operators import ann, chunking, ledger, questions, ranking, responses, scoring
+from siltmill.operators import ann, chunking, curation, ledger, questions, ranking, responses, scoring
 from siltmill.plans import ranking_queries
 from siltmill.sources import collections, corpus
 from siltmill.streaming import ingest
@@ -94,9 +95,17 @@ def test_ledger(spark):
     assert got == {"i": "improved", "j": "unchanged", "k": "only_first", "l": "only_second"}
     old, new = spark.createDataFrame([("a", 0.1)], "run string, m double"), spark.createDataFrame([("a", 0.9, 0.7)], "run string, m double, m2 double")
     assert tuple(ledger.rescore(old, new, "run", ["m", "m2"]).first()) == ("a", 0.1, 0.7)
-    items = spark.createDataFrame([("b", "q", None), ("a", "q", None)], "id string, question string, gold_passages array<struct<url:string>>")
+    items = spark.createDataFrame([("b", "q", None), ("a", "q", None)], "id string, question string, gold_passages array<struct<url:string,content_hash:string,quote:string>>")
     one, two = ledger.eval_set_fingerprint(items).first(), ledger.eval_set_fingerprint(items.orderBy("id").union(items)).first()
-    assert one == two and len(one["fingerprint"]) == 12
+    assert one == two and len(one["fingerprint"]) == 12 and one["n_items"] == 2
+    other = ledger.eval_set_fingerprint(items.withColumn("question", F.when(F.col("id") == "a", "").otherwise(F.col("question")))).first()
+    assert other["fingerprint"] != one["fingerprint"] and other["n_items"] == 2
+    both = ledger.eval_set_fingerprint(items.withColumn("r", F.lit(1)).unionByName(items.limit(1).withColumn("r", F.lit(2))), ["r"]).collect()
+    assert len({r["fingerprint"] for r in both}) == 2 and ledger.eval_set_fingerprint(items.limit(0)).first()["n_items"] == 0
+    wide = {r["item"]: (r["runs"], r["n_runs"]) for r in ledger.run_ranks(rows, "run", "item", F.col("rank")).collect()}
+    assert wide == {"i": ("a=3 b=2", 2), "j": ("a=- b=-", 2), "k": ("a=1", 1), "l": ("b=1", 1)}
+    labelled = spark.createDataFrame([(1, "v1"), (2, "v1"), (3, "v2"), (4, None), (5, None)], "seq int, version string")
+    assert [r["starts"] for r in ledger.version_starts(labelled, ["seq"]).orderBy("seq").collect()] == [True, False, True, True, False]
 
 
 def test_responses(spark):
@@ -105,25 +114,33 @@ def test_responses(spark):
     cache = cache.unionByName(req.filter("user = 'q1'").select("key", F.lit("old").alias("response"), F.lit(0).alias("seq")))
     assert [r["user"] for r in responses.missing(req, cache).collect()] == ["q2"]
     got = responses.answered(req.filter("user = 'q1'"), cache).select(responses.decomposed(F.col("user"), F.col("response"))).first()[0]
-    assert got == ["a", "b", "3"]
+    assert got == ["a", "b"]
+    kept = responses.captured(req, cache, "rag").select("user", "error.stage").collect()
+    assert sorted((r["user"], r["stage"]) for r in kept) == [("q1", None), ("q2", "rag")]
     with pytest.raises(Exception, match="no response"):
         responses.answered(req, cache).collect()
     said = spark.createDataFrame([('{"category": "Multi-Hop"}',), ("{",), (None,)], "r string")
     assert [r[0] for r in said.select(responses.route(F.col("r"))).collect()] == ["multi-hop", "unknown", "unknown"]
-    votes = spark.createDataFrame([("t", 0, "None"), ("t", 1, "Yes!"), ("t", 2, "no"), ("t", 3, "yes"), ("u", 0, "none")], "t string, i int, a string")
-    assert {r["t"]: r["answer"] for r in responses.majority(votes, ["t"], "a", "i").collect()} == {"t": "Yes!", "u": None}
+    votes = spark.createDataFrame([("t", 0, "None"), ("t", 1, "Yes."), ("t", 2, "no"), ("t", 3, " yes"), ("u", 0, "none"), ("u", 1, None), ("u", 2, "x"), ("w", 0, "b"), ("w", 1, "a")], "t string, i int, a string")
+    assert {r["t"]: r["answer"] for r in responses.majority(votes, ["t"], "a", "i").collect()} == {"t": "Yes.", "u": None, "w": "b"}
+    ask = spark.createDataFrame([("temporal", "q", "g", ["x", None], "a"), ("single-fact", None, None, [], None)], "c string, q string, g string, l array<string>, a string")
+    told = [r[0] for r in ask.select(responses.judge_request(F.col("c"), F.col("q"), F.col("g"), F.col("l"), F.col("a"))).collect()]
+    assert responses.JUDGE_RULES["temporal"] in told[0] and "- x\n- \n" in told[0] and "RULE" not in told[1] and "(none)" in told[1]
 
 
 def test_reasoning_trees(spark):
     flat, deep = '{"question": "a"}', '{"question": "a", "children": [{"question": "b", "children": [{"question": "d"}]}, {"question": "c"}]}'
     bad = '{"question": "a", "children": [{"question": " "}]}'
-    trees = spark.createDataFrame([("q/0", flat), ("q/1", deep), ("q/2", deep), ("q/3", bad), ("q/4", "nonsense")], "tree string, response string")
+    trees = spark.createDataFrame([("q/0", flat), ("q/1", deep), ("q/2", deep), ("q/3", bad), ("q/4", "nonsense"), ("q/5", '{"question": "", "children": [{"question": "b"}]}'), ("q/6", json.dumps({"question": "a", "pattern": "parallel", "children": [{"question": str(i)} for i in range(6)]}))], "tree string, response string")
     nodes = responses.tree_nodes(trees, "tree", "response")
     shapes = responses.tree_shapes(nodes)
     got = {r["tree"]: (r["depth"], r["n_nodes"], r["n_leaves"]) for r in shapes.collect()}
-    assert got["q/0"] == (0, 1, 1) and got["q/1"] == (2, 4, 2) and "q/3" not in got and "q/4" not in got
+    assert got == {"q/0": (0, 1, 1), "q/1": (2, 4, 2), "q/2": (2, 4, 2), "q/3": (0, 1, 1), "q/6": (1, 5, 4)}
+    patterns = {(r["tree"], r["node_id"]): r["pattern"] for r in nodes.collect()}
+    assert patterns["q/6", "0"] == "parallel" and patterns["q/1", "0"] == patterns["q/3", "0"] == "direct"
     named = shapes.withColumns({"q": F.split_part("tree", F.lit("/"), F.lit(1)), "s": F.split_part("tree", F.lit("/"), F.lit(2)).cast("int")})
-    assert [tuple(r) for r in responses.modal_tree(named, "q", "s").collect()] == [("q", 1)]
+    assert [tuple(r) for r in responses.modal_tree(named, "q", "s").collect()] == [("q", 0)]
+    assert [tuple(r) for r in responses.modal_tree(named.filter("s <> 3"), "q", "s").collect()] == [("q", 1)]
 
 
 def test_chain_and_passages(spark):
@@ -225,3 +242,35 @@ def test_retrieve_does_what_the_settings_say(spark):
             run(**wrong)
     pages = spark.createDataFrame([("k", "h", "t", "## A\none two three", "u")], "key string, hash string, title string, text string, url string")
     assert [tuple(r) for r in chunking.section_index(pages, "key", "hash", "title", "text", "url").collect()] == [("k_h_0", "u#0", "t | A", ["one", "two", "three"], 0, 3)]
+
+
+def test_upsert_keeps_a_table_at_all_times(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    collections.upsert(spark, path, rows, "id")
+    collections.upsert(spark, path, spark.createDataFrame([("b", 3), ("b", 3), ("c", 4)], "id string, n int"), "id")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["c"]
+
+
+def test_box_table_wraps_and_tells_of_more(spark):
+    shown = collections.box_table(spark.createDataFrame([("x" * 90, 1), ("y", None), ("z", 3)], "a string, b int"), most=2, width=40)
+    assert shown.count("x") == 90 and "| y " in shown and "z" not in shown and shown.endswith("… and more rows")
+
+
+def test_approved_ids_must_be_candidates(spark):
+    rows = spark.createDataFrame([("a", "temporal"), ("b", "temporal")], "id string, category string")
+    assert [tuple(r) for r in curation.approved_items(rows, ["b"]).collect()] == [("b", "temporal", "human")]
+    with pytest.raises(ValueError, match="no candidates"):
+        curation.approved_items(rows, ["b", "zz"])
+    assert [r["id"] for r in curation.chosen(rows, "temporal", 1).collect()] == ["a"] and curation.chosen(rows, "other").count() == 0
+    report = spark.createDataFrame([("unchanged",), ("BROKEN",)], "status string")
+    assert curation.gold_status(report)[1] and not curation.gold_status(report.filter("status = 'unchanged'"))[1]
+
+
+def test_embed_cached_embeds_what_is_missing_once(spark):
+    texts = spark.createDataFrame([("a", 1), ("bb", 2), ("bb", 3), (None, 4), ("", 5)], "t string, n int")
+    cache = spark.createDataFrame([("m", "a", [9.0]), ("other", "bb", [7.0])], "model string, t string, vec array<double>").select("model", F.sha2("t", 256).alias("text_hash"), "vec")
+    found, new = ranking.embed_cached(texts, "t", cache, "m", ranking.embedder(lambda xs: [[len(x)] for x in xs]))
+    assert {r["n"]: r["vec"] for r in found.collect()} == {1: [9.0], 2: [2.0], 3: [2.0], 4: None, 5: [0.0]}
+    assert new.count() == 2 and {r["model"] for r in new.collect()} == {"m"}
