@@ -96,12 +96,9 @@ def adjacency(df: DataFrame, key: Sequence[str], fields: Sequence[str] | None =
     for f in schema.fields:
         if f.name not in key and _wanted(f.name, fields):
             parts.append(_walk(f.dataType, quoted(f.name), F.lit(f.name), root, f.name, F.lit(None), False, fields))
-    nodes = df.select(
-        F.struct(*[quoted(k).alias(k) for k in key]).alias("key"),
-        F.xxhash64(row).alias("record"),
-        F.explode(F.concat(*parts)).alias("n"),
-    )
-    return nodes.select("key", "record", "n.*")
+    # Hashed below the explode: one select would put the hash above it, to be computed for every node.
+    records = df.select(F.struct(*[quoted(k).alias(k) for k in key]).alias("key"), F.xxhash64(row).alias("record"), F.concat(*parts).alias("nodes"))
+    return records.select("key", "record", F.explode("nodes").alias("n")).select("key", "record", "n.*")
 
 
 def _type_at(schema: T.StructType, label: str) -> T.DataType:
