@@ -67,13 +67,15 @@ def page_gate(status: Column, content_type: Column) -> Column:
     )
 
 
-def frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
     """(url, depth, parent): pages reached from the seeds, breadth first, to ``max_depth`` or until a level is empty.
 
     The parent is the page whose link puts the url into the queue first: of the last level's pages that link to it, the
     one that comes first in that queue itself, which holds a level's pages in the order of their parents' turns and,
     below a parent, of ``place`` (by url where links have none). Seeds have no parent and take turns by url.
 
+    ``max_pages``: only so many pages are fetched, those that are first in the queue, failed ones among them.
+
     Each level is one join of the last level with the links and one anti-join with what is known; a level's pages are
     written before the next begins. The number of rounds is the depth, whatever the number of pages.
     """
@@ -90,7 +92,7 @@ def frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -
         if level.isEmpty():
             break
         known = known.unionByName(level)
-    return known.drop("turn")
+    return (known if max_pages is None else known.orderBy("depth", "turn").limit(max_pages)).drop("turn")
 
 
 def _turns(level: DataFrame, order: list[str]) -> DataFrame:
@@ -110,3 +112,10 @@ def inspection(manifest: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(F.col("n_chars") < 200, F.lit(False))).alias("short"),
         F.count_distinct("key").alias("n_keys"),
     )
+
+
+def skipped(classified: DataFrame, url: str, most: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(reason, n) of the links that a crawl doesn't follow, and the first ``most`` distinct ones off its paths."""
+    out = classified.filter(~F.col("reason").isin("enqueue", "ignored"))
+    first = out.filter("reason = 'off_path'").select(url).distinct().orderBy(url).limit(most)
+    return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n")), first

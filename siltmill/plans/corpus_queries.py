@@ -203,14 +203,15 @@ SELECT doc_id, CAST(first AS INTEGER) AS first, CAST(words AS INTEGER) AS words,
 
 
 def vector_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that a cache of vectors, filled from one snapshot, doesn't hold."""
+    """Texts that a cache of vectors, filled before the last fetch, doesn't hold."""
     chunks = table(spark, sf_dir, "chunks")
-    cache = chunks.filter("fetched_int = 20260406").select(F.lit("hashed-64").alias("model"), F.sha2("text", 256).alias("text_hash")).distinct()
+    last = chunks.agg(F.max("fetched_int")).first()[0]
+    cache = chunks.filter(F.col("fetched_int") < F.lit(last)).select(F.lit("hashed-64").alias("model"), F.sha2("text", 256).alias("text_hash")).distinct()
     return ranking.missing_vectors(chunks, "text", cache, "hashed-64").select("text_hash")
 
 
 VECTOR_CACHE_MISSES = """SELECT DISTINCT sha256(text) AS text_hash FROM chunks WHERE text IS NOT NULL
-AND sha256(text) NOT IN (SELECT sha256(text) FROM chunks WHERE fetched_int = 20260406 AND text IS NOT NULL)"""
+AND sha256(text) NOT IN (SELECT sha256(text) FROM chunks WHERE fetched_int < (SELECT max(fetched_int) FROM chunks) AND text IS NOT NULL)"""
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,27 +255,41 @@ SELECT url, parent, CASE WHEN NOT regexp_matches(url, '(?i)^https?://') THEN 'ig
   WHEN NOT (starts_with(path, '/en/') OR starts_with(path, '/fr/')) THEN 'off_path' ELSE 'enqueue' END AS reason FROM l"""
 
 
-def _frontier(spark: SparkSession, sf_dir: str, max_depth: int | None) -> DataFrame:
+def crawl_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why known links are not followed, counted."""
+    return crawl.skipped(link_classes(spark, sf_dir), "url")[0]
+
+
+CRAWL_SKIPS = f"SELECT reason, count(*) AS n FROM ({LINK_CLASSES}) WHERE reason NOT IN ('enqueue', 'ignored') GROUP BY reason"
+
+
+def crawl_off_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty links off the crawl's paths."""
+    return crawl.skipped(link_classes(spark, sf_dir), "url")[1]
+
+
+def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages_manifest")
     links = rows.filter("parent is not null").select(F.col("parent").alias("src"), F.col("url").alias("dst"), F.col("seq").alias("place"))
     seeds = rows.filter("seed is not null").select(F.col("seed").alias("url")).distinct()
-    return crawl.frontier(links, seeds, max_depth)
+    return crawl.frontier(links, seeds)
 
 
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breadth-first depth of the pages up to four links from the seeds, as its SQL has it; ``crawl_reach`` has all pages."""
-    return _frontier(spark, sf_dir, max_depth=4).drop("parent")
+    """Breadth-first depth of each page reached from the seeds over the recorded links."""
+    return _frontier(spark, sf_dir).drop("parent")
 
 
 def crawl_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadth-first depth and first parent of each page reached from the seeds over the recorded links."""
-    return _frontier(spark, sf_dir, max_depth=None)
+    return _frontier(spark, sf_dir)
 
 
+#: No page here is as many as thirty links from a seed; the bound ends the recursion where links go round.
 CRAWL_FRONTIER = """
 WITH RECURSIVE l AS (SELECT DISTINCT parent AS src, url AS dst FROM pages_manifest WHERE parent IS NOT NULL AND url IS NOT NULL),
 f AS (SELECT DISTINCT seed AS url, 0 AS depth FROM pages_manifest WHERE seed IS NOT NULL
-      UNION SELECT dst, depth + 1 FROM f JOIN l ON l.src = f.url WHERE depth < 4)
+      UNION SELECT dst, depth + 1 FROM f JOIN l ON l.src = f.url WHERE depth < 30)
 SELECT url, min(depth) AS depth FROM f GROUP BY url"""
 
 
@@ -284,7 +299,8 @@ _ALL = {
     "manifest_filter": (manifest_pages, MANIFEST_PAGES), "page_dates": (page_dates, PAGE_DATES), "snapshot_lookup": (snapshot_lookup, SNAPSHOT_LOOKUP),
     "section_split": (page_sections, PAGE_SECTIONS), "page_chunks": (page_chunks, PAGE_CHUNKS), "chunk_windows": (chunk_windows, CHUNK_WINDOWS),
     "chunk_dedupe": (chunk_dedupe, CHUNK_DEDUPE), "expand_window": (section_expand, SECTION_EXPAND), "embed_cache_antijoin": (vector_cache_misses, VECTOR_CACHE_MISSES),
-    "chunk_stats": (chunk_stats, CHUNK_STATS), "crawl_inspection": (crawl_inspection, CRAWL_INSPECTION), "link_classify": (link_classes, LINK_CLASSES),
+    "chunk_stats": (chunk_stats, CHUNK_STATS), "crawl_inspection": (crawl_inspection, CRAWL_INSPECTION), "link_classify": (link_classes, LINK_CLASSES), "crawl_skips": (crawl_skips, CRAWL_SKIPS),
+    "crawl_off_path": (crawl_off_path, f"SELECT DISTINCT url FROM ({LINK_CLASSES}) WHERE reason = 'off_path' ORDER BY url LIMIT 40"),
     "crawl_frontier": (crawl_frontier, CRAWL_FRONTIER), "crawl_reach": (crawl_reach, None),
 }
 

@@ -191,3 +191,11 @@ def test_crawl_reaches_every_page_with_its_first_parent(spark, tmp_path):
     spark.createDataFrame(rows, "seq int, url string, parent string, seed string").write.parquet(str(tmp_path / "pages_manifest.parquet"))
     got = corpus_queries.crawl_reach(spark, str(tmp_path)).collect()
     assert {r["url"]: (r["depth"], r["parent"]) for r in got} == want and len(got) == len(want)
+
+
+def test_frontier_fetches_the_first_pages_of_the_queue(spark):
+    links = spark.createDataFrame([("s", "b", 2), ("s", "a", 1), ("a", "c", 3), ("b", "d", 1), ("c", "s", 1)], "src string, dst string, place int")
+    seeds = spark.createDataFrame([("s",)], "url string")
+    assert [tuple(r) for r in crawl.frontier(links, seeds).orderBy("url").collect()] == [("a", 1, "s"), ("b", 1, "s"), ("c", 2, "a"), ("d", 2, "b"), ("s", 0, None)]
+    assert {r["url"] for r in crawl.frontier(links, seeds, max_pages=4).collect()} == {"s", "a", "b", "c"}
+    assert {r["url"] for r in crawl.frontier(links, seeds, max_depth=1).collect()} == {"s", "a", "b"}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltmill.operators import ann, chunking, curation, ledger, questions, ranking, responses, scoring
+from siltmill.operators import ann, chunking, curation, ledger, questions, ranking, reasoning, responses, scoring
 from siltmill.plans import ranking_queries
 from siltmill.sources import collections, corpus
 from siltmill.streaming import ingest
@@ -274,3 +274,83 @@ def test_embed_cached_embeds_what_is_missing_once(spark):
     found, new = ranking.embed_cached(texts, "t", cache, "m", ranking.embedder(lambda xs: [[len(x)] for x in xs]))
     assert {r["n"]: r["vec"] for r in found.collect()} == {1: [9.0], 2: [2.0], 3: [2.0], 4: None, 5: [0.0]}
     assert new.count() == 2 and {r["model"] for r in new.collect()} == {"m"}
+
+
+def test_reasoning_traversal(spark):
+    tree = {"question": "root", "pattern": "sequential", "children": [{"question": "who"}, {"question": "where is [answer 1]"}]}
+    plain = {"question": "lost"}
+    trees = spark.createDataFrame([("t", json.dumps(tree)), ("u", json.dumps(plain))], "tree string, response string")
+    nodes = responses.tree_nodes(trees, "tree", "response")
+
+    def search(asked):
+        return asked.select("tree", "node_id", F.explode(F.array(*[F.struct(F.concat("query", F.lit(f"#{i}")).alias("id"), F.lit(i).alias("rank"), F.concat(F.lit(f"text {i} of "), "query").alias("text")) for i in (1, 2)])).alias("h")).select("tree", "node_id", "h.*")
+
+    def leaf(q):
+        return f"QUESTION:\n{q}\n\nPASSAGES:\n[1] text 1 of {q}\n\n[2] text 2 of {q}"
+
+    said = [("rt_answer", leaf("who"), {"answer": "Ann"}), ("rt_answer", leaf("where is Ann"), {"answer": "None"}), ("rt_rewrite", "where is Ann\n(rewrite #1)", {"query": " Ann's place "}), ("rt_answer", leaf("Ann's place"), {"answer": "home"}),
+            ("rt_combine", "QUESTION:\nroot\n\nSUB-ANSWERS:\n- who: Ann\n- where is Ann: home", {"answer": "Ann, at home"}), ("rt_answer", leaf("lost"), {"answer": ""}), ("rt_rewrite", "lost\n(rewrite #1)", {})]
+    cache = spark.createDataFrame([(p, u, json.dumps(r)) for p, u, r in said], "p string, u string, response string")
+    keyed = None
+    for p in {p for p, _, _ in said}:
+        part = cache.filter(F.col("p") == p).select(responses.request_key("m", p, "v1", F.col("u")).alias("key"), "response", F.lit(1).alias("seq"))
+        keyed = part if keyed is None else keyed.unionByName(part)
+    out = reasoning.traverse(nodes, search, keyed, "m", 10, rewrites=1)
+    assert {(r["tree"], r["node_id"]): r["answer"] for r in out.answers.collect()} == {("t", "0"): "Ann, at home", ("t", "0.0"): "Ann", ("t", "0.1"): "home", ("u", "0"): None}
+    assert [(r["tree"], r["list_no"], r["query"]) for r in out.steps.orderBy("tree", "list_no").collect()] == [("t", 0, "who"), ("t", 1, "where is Ann"), ("t", 2, "Ann's place"), ("u", 0, "lost"), ("u", 1, "lost")]
+    hits = [(r["tree"], r["id"]) for r in out.hits.orderBy("tree", "rank").collect()]
+    assert hits == [("t", "who#1"), ("t", "where is Ann#1"), ("t", "Ann's place#1"), ("t", "who#2"), ("t", "where is Ann#2"), ("t", "Ann's place#2"), ("u", "lost#1"), ("u", "lost#2")]
+
+
+def test_retrieve_with_given_tools_routes_and_model_splits(spark):
+    chunks = spark.createDataFrame([(x, x * 3, f"https://e.org/{x}") for x in "abcd"], "id string, text string, url string")
+    items = spark.createDataFrame([("q1", "aa"), ("q2", "bb")], "item string, question string")
+    embed = ranking.embedder(lambda texts: [[t.count(c) + 0.01 for c in "abcd"] for t in texts])
+    tools = questions.Tools(embed, {"last": lambda q, t: F.ascii(t).cast("double")})
+    hits = lambda s, cache=None: {(r["item"], r["rank"]): r["id"] for r in questions.retrieve(items, "item", "question", chunks, 10, s, None, cache, tools).collect()}
+    plain = questions.Settings(search="exact", k=4)
+    assert hits(plain)["q1", 1] == "a" and hits(plain)["q2", 1] == "b"
+    assert [hits(questions.Settings(search="exact", k=4, reranker="last"))["q1", i] for i in (1, 2, 3, 4)] == list("dcba")
+    with pytest.raises(ValueError, match="unknown reranker"):
+        hits(questions.Settings(reranker="none of these"))
+    assert hits(questions.Settings(search="exact", k=4, query_prefix="ccccc"))["q1", 1] == "c"
+    key = lambda prompt, user: responses.request_key("gpt-5-mini", prompt, "v1", user)
+    said = lambda prompt, response: items.select(key(prompt, F.col("question")).alias("key"), response.alias("response"), F.lit(1).alias("seq"))
+    split = questions.Settings(search="exact", k=4, split_queries=True, split_method="llm", fusion="round_robin")
+    parts = hits(split, said("decompose", F.when(F.col("item") == "q1", '{"queries": ["c", "d"]}').otherwise("{}")))
+    assert [parts["q1", i] for i in (1, 2)] == ["c", "d"] and parts["q2", 1] == "b"
+    with pytest.raises(ValueError, match="response table"):
+        hits(split)
+    chain = questions.Settings(search="exact", k=2, chain_hops=2, chain_context_k=1, route="llm")
+    first = questions.first_hop(items, "item", "question", chunks, chain, tools)
+    follow = questions.chain_requests(items, "item", "question", first, chunks, chain, None, "gpt-5-mini").filter("item = 'q1'").select("key", F.lit('{"missing": "d", "queries": ["d"]}').alias("response"), F.lit(1).alias("seq"))
+    routes = said("route", F.when(F.col("item") == "q1", '{"category": "multi-hop"}').otherwise('{"category": "temporal"}'))
+    both = hits(chain, routes.unionByName(follow))
+    assert [both["q1", i] for i in (1, 2)] == ["a", "d"] and both["q2", 1] == "b" and "d" not in [both["q2", i] for i in (1, 2)]
+
+
+def test_settings_from_a_file(tmp_path):
+    path = tmp_path / "plain_c180.yaml"
+    path.write_text("# a comment\nembedding_model: some/model\nchunk_size: 180  # words\nchunk_overlap: 30\ntop_k_retrieve: 100\nreranker: null\nsplit_queries: true\nfusion: round_robin\nchain_categories:\n  - multi-hop\n  - temporal\n")
+    name, own, run = questions.load_settings(str(path))
+    assert name == "plain_c180" and own == {"embedding_model": "some/model", "chunk_size": 180, "chunk_overlap": 30, "dedupe_chunks": False}
+    assert run == questions.Settings(k=100, split_queries=True, fusion="round_robin", chain_categories=("multi-hop", "temporal"))
+    path.write_text("embedding_model: m\nchunk_size: 1\nchunk_overlap: 0\ncollection: other\nchain_categories: [temporal]\n")
+    assert questions.load_settings(str(path))[0] == "other" and questions.load_settings(str(path))[2].chain_categories == ("temporal",)
+    for bad, why in (("chunk_size: 1\nchunk_overlap: 0\n", "missing"), ("embedding_model: m\nchunk_size: 1\nchunk_overlap: 0\nfuse: x\n", "unknown"), ("embedding_model: m\nchunk_size: 1\nchunk_overlap: 0\nfusion: x\n", "unknown fusion")):
+        path.write_text(bad)
+        with pytest.raises(ValueError, match=why):
+            questions.load_settings(str(path))
+
+
+def test_clustered_vectors_need_few_cells(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 3000)] + 0.2 * rng.normal(size=(3000, 16))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(9000, None), (9001, [0.0] * 16)], "id long, v array<double>")
+    index = ann.build(v, "id", "v")
+    assert index.probe <= 0.1 and index.rows.count() == 3000
+    q = v.filter("id % 50 = 0").withColumnRenamed("id", "q")
+    true = {(r["q"], r["id"]) for r in ranking.exact_search(q, "q", "v", v, "id", "v", 10).collect()}
+    near = {(r["q"], r["id"]) for r in ann.search(index, q, "q", "v", 10).collect()}
+    assert len(true & near) >= 0.9 * len(true)
