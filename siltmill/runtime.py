@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK_DIR: list[str] = []
+#: Tables written by ``cut`` in this process.
+_WRITTEN: list[str] = []
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -57,14 +59,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The written table survives the loss of an executor, ends the lineage, and is stored by column and
-    compressed, so it takes less room than an RDD checkpoint.
+    compressed, so it takes less room than an RDD checkpoint. ``drop_cuts`` deletes what a process has written, when
+    results that rest on it have been stored; tables of one application lie in a folder named after it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltmill-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/siltmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` has written in this process; gives their number. Results not stored yet are lost."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Rows of a table whose size is bounded by its meaning; raises where the bound does not hold."""
     rows = df.limit(most + 1).collect()

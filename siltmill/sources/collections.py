@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltmill.functions.text import norm_text
+from siltmill.functions.urls import match_url
 from siltmill.sources.corpus import _exists
 
 #: Settings that a collection was built with and that a reader must agree on.
@@ -35,6 +38,30 @@ def open_collection(spark: SparkSession, path: str, settings: dict) -> DataFrame
     return spark.read.parquet(path)
 
 
+@dataclass(frozen=True)
+class EvalCollection:
+    """A collection as an evaluation needs it: its chunks, the pages in it, those and their copies' pages, and its distinct normal texts."""
+
+    chunks: DataFrame
+    pages: DataFrame
+    indexed: DataFrame
+    texts: DataFrame
+
+
+def open_for_eval(spark: SparkSession, path: str, settings: dict, search: str = "exact", bm25_k: int = 0) -> EvalCollection:
+    """Opens a collection with checks of its settings and of the search before any job; its tables are not computed yet."""
+    if search not in ("hnsw", "exact"):
+        raise ValueError(f"unknown search {search}")
+    if bm25_k and search != "exact":
+        raise ValueError("lexical candidates need the exact search")
+    chunks = open_collection(spark, path, settings)
+    none = F.array().cast("array<string>")
+    others = F.coalesce(F.col("also_urls"), none) if "also_urls" in chunks.columns else none
+    of = lambda urls: chunks.select(F.explode(urls).alias("u")).select(match_url(F.col("u")).alias("url")).filter("url <> ''").distinct()
+    texts = chunks.filter("text is not null").select(norm_text(F.col("text")).alias("text")).distinct()
+    return EvalCollection(chunks, of(F.array("url")), of(F.concat(F.array("url"), others)), texts)
+
+
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
     """Replaces rows of the same key and adds the others; of rows with one key, and with all equal, one stays.
 
