@@ -98,6 +98,14 @@ def _parsed(text: str | None) -> dict | None:
     return x if isinstance(x, dict) else None
 
 
+def _texts(values: list[str | None]) -> pa.Array:
+    """Texts as Arrow has them; a lone surrogate, which JSON can name but UTF-8 can't hold, becomes a question mark."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
 def read_fields(df: DataFrame, group: str, file_no: str, line_no: str, record: str, run_path: str) -> DataFrame:
     """(grp, file_no, line_no, run, fields): one row for each line; no fields where the line is not valid.
 
@@ -113,13 +121,13 @@ def read_fields(df: DataFrame, group: str, file_no: str, line_no: str, record: s
                 for p, t, v in _leaves(x) if x else ():
                     paths.append(p)
                     types.append(t)
-                    values.append(v.encode("utf-8", "replace").decode())
+                    values.append(v)
                     run = v if p == run_path else run
                 runs.append(run)
                 offsets.append(len(paths))
-            fields = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(types, pa.int32()), pa.array(values, pa.string())], fields=list(_FIELD))
+            fields = pa.StructArray.from_arrays([_texts(paths), pa.array(types, pa.int32()), _texts(values)], fields=list(_FIELD))
             packed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("file_no"), batch.column("line_no"), pa.array(runs, pa.string()), packed], schema=_PACKED)
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("file_no"), batch.column("line_no"), _texts(runs), packed], schema=_PACKED)
 
     lines = df.select(
         F.col(group).cast("string").alias("grp"),
@@ -172,9 +180,11 @@ def _fingerprints(fields: DataFrame, changed: DataFrame) -> DataFrame:
     wanted = changed.filter("types is null or types0 is null")
     sides = wanted.select("grp", F.when(F.col("types").isNull(), F.col("file_no") - 1).otherwise(F.col("file_no")).alias("file_no"), "path", F.col("types").isNull().alias("gone"))
     by_file = cut(sides.groupBy("grp", "file_no").agg(names(F.col("gone")).alias("gone"), names(~F.col("gone")).alias("new")))
-    lines = fields.filter("run is not null").join(by_file, ["grp", "file_no"], "left").withColumn("_f", F.transform("fields", lambda x: F.struct(x["path"].alias("path"), F.xxhash64(x["type"].bitwiseAND(F.lit(~FRACTION)) + F.when(x["type"] == FRACTION, INTEGER).otherwise(0), x["value"]).alias("v"))))
+    lines = fields.filter("run is not null").join(by_file, ["grp", "file_no"], "left")
+    kind = lambda x: F.when(x["type"] == FRACTION, INTEGER).otherwise(x["type"])
+    hashed = lambda x: F.struct(x["path"].alias("path"), F.xxhash64(kind(x), x["value"]).alias("v"))
     marker = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(0).cast("bigint").alias("v")))
-    held = lambda c: F.concat(marker, F.coalesce(F.filter("_f", lambda x: F.array_contains(F.col(c), x["path"])), F.array()))
+    held = lambda c: F.concat(marker, F.coalesce(F.transform(F.filter("fields", lambda x: F.array_contains(F.col(c), x["path"])), hashed), F.array()))
     old = lines.select("grp", (F.col("file_no") + 1).alias("file_no"), "run", F.lit(1).alias("side"), F.explode(held("gone")).alias("f"))
     new = lines.select("grp", "file_no", "run", F.lit(2).alias("side"), F.explode(held("new")).alias("f"))
     rows = old.unionByName(new).select("grp", "file_no", "run", "side", "f.*").distinct()

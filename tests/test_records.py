@@ -129,6 +129,12 @@ def test_every_pair_that_agrees_is_a_rename(spark):
     assert _changes(spark, files) == [(2, "renamed", "x", "b"), (2, "renamed", "x", "q.x")]
 
 
+def test_lone_surrogates_and_very_long_values(spark):
+    rows = [("l", 1, 0, '{"run_id": "a", "x": "\\ud800", "y": "' + "z" * 200_000 + '"}'), ("l", 2, 0, '{"run_id": "a", "w": "\\ud800", "y": 1}')]
+    found = sorted((r["change_kind"], r["field_path"], r["new_path"]) for r in schema_drift.field_changes(_fields(spark, rows)).collect())
+    assert found == [("renamed", "x", "w"), ("retyped", "y", "")]
+
+
 def test_copies_of_a_line_count_once(spark):
     files = {1: [{"run_id": "a", "x": 1}] * 50 + [{"run_id": "a", "x": 2}], 2: [{"run_id": "a", "y": 2}] * 3 + [{"run_id": "a", "y": 1}]}
     assert _changes(spark, files) == [(2, "renamed", "x", "y")]
