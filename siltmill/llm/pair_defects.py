@@ -8,6 +8,9 @@ with the next. A histogram of the lengths of all answers shows length limits as
 truncated unless it closes with a sentence: a short answer with which a longer one begins is whole. An answer that
 breaks off within a sentence is truncated even if nothing longer exists: its end is looked at last, by itself.
 
+Another language is told by trigram profiles fitted on labelled texts; a language without labelled texts can't be told,
+nor can that of a very short text.
+
 Defined results: a null answer is empty; a null question cannot be copied and has no language; a null category is
 answerable. Rows repeated in all used columns count once. Rows with the same key but other texts are judged each by
 itself and may give a key several rows. An empty table gives no rows. Other columns are ignored.
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmill.functions.text import bound
+from siltmill.llm import languages
 from siltmill.runtime import cut
 
 #: The closing notice of the pipeline, by its first words in each language, to the end of the line.
@@ -43,15 +46,8 @@ REFUSAL = (
 #: A gap admitted before something is said after all.
 TURN = r"(?i)[,;]\s*(?:but|however|mais|cependant|pero|sin embargo|aber|doch|jedoch|allerdings)\b"
 YES_NO = r"(?i)^(?:yes|no|oui|non|sí|si|ja|nein)\b"
-#: Letters of one language among these.
-LETTERS = {"fr": "[àâçèêëîïôûùœ]", "es": "[ñáíóú¿¡]", "de": "[äöüß]"}
-#: Frequent function words that the other languages here do not share.
-FUNCTION_WORDS = {
-    "en": "the is are and for with you your must will before after not when where if by who does can to has been how which this from until only or what do my an it on at whose than it's they then both each since while",
-    "fr": "le les du une est et vous votre pour dans avec après avant qui sur aux par ou quand elles faut depuis doit sont ce cette il ne pas je je ma mon combien où elle dès nous comme compte pendant jusqu temps sous",
-    "es": "el los las una del con su antes después cuando tiene y se al desde debe hasta puede está tengo cuántos dónde hay para por usted lo va más pues donde ante sobre",
-    "de": "der die das und ist ein eine einen für mit nicht sie ihr ihre vor nach wenn zu im dem den auf bei kann man wird oder noch ich wie von bis seit beim um zur muss meine",
-}
+#: What says nothing of a text's language: quotations, links, names of schools.
+ASIDE = r"[“\"«„][^”\"»“]*[”\"»“]|https?://\S+|\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)* of \p{Lu}\p{L}+"
 
 
 def answer_body(answer: Column) -> Column:
@@ -108,22 +104,6 @@ def ending(body: Column) -> Column:
     )
 
 
-def language(text: Column, least: int = 2) -> Column:
-    """The language by distinct function words and by letters, quotations, links and names aside; null unless one is clearly ahead."""
-    bare = F.regexp_replace(text, r"[“\"«„][^”\"»“]*[”\"»“]|https?://\S+|\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)* of \p{Lu}\p{L}+", " ")
-    low = F.lower(bare)
-
-    def hits(words: Column, code: str) -> Column:
-        own = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in FUNCTION_WORDS[code].split()])))
-        return own + F.regexp_count(low, F.lit(LETTERS[code])) if code in LETTERS else own
-
-    def judge(words: Column) -> Column:
-        scores = [F.struct(hits(words, code).alias("n"), F.lit(code).alias("code")) for code in FUNCTION_WORDS]
-        return bound(F.sort_array(F.array(*scores), asc=False), lambda r: F.when((r[0]["n"] >= least) & (r[0]["n"] >= 2 * r[1]["n"]), r[0]["code"]))
-
-    return bound(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)), judge)
-
-
 def shortened(texts: DataFrame, least: int = 1) -> DataFrame:
     """(text): the texts of ``least`` characters or more with which another text begins.
 
@@ -167,8 +147,8 @@ def length_spikes(lengths: DataFrame, least: int = 20, times: float = 6.0, reach
     return n.withColumn("around", around).filter((F.col("n") >= least) & (F.col("n") >= times * F.col("around"))).select("length")
 
 
-def defects(df: DataFrame, key: list[str], question: str, answer: str, category: str, declined_right: str = "unanswerable") -> DataFrame:
-    """(key, defect) of the defective pairs."""
+def defects(df: DataFrame, key: list[str], question: str, answer: str, category: str, labelled: DataFrame, declined_right: str = "unanswerable") -> DataFrame:
+    """(key, defect) of the defective pairs. ``labelled`` has texts (text) with their language (lang), to tell languages by."""
     rows = df.select(*key, F.col(question).alias("_q"), F.col(answer).alias("_a"), F.col(category).alias("_c")).distinct()
     body = answer_body(F.col("_a"))
     rows = rows.select(*key, "_q", "_c", body.alias("_b"))
@@ -183,13 +163,16 @@ def defects(df: DataFrame, key: list[str], question: str, answer: str, category:
     judged = rows.withColumn("_d", first).withColumn("_e", F.when(F.col("_d").isNull(), ending(b)))
     stem = F.regexp_replace(b, rf"(?:{CITATION}|[\s.!?…])+$", "")
     judged = cut(judged.withColumn("_s", stem).withColumn("_l", F.length("_b")))
-    short = shortened(judged.filter("_d is null").select(F.col("_s").alias("text")).distinct()).withColumn("_short", F.lit(True))
-    spikes = length_spikes(judged.filter("_d is null").select(F.col("_l").alias("length"))).withColumn("_spike", F.lit(True))
-    open_ = judged.filter("_e <> 'proper'").join(short, F.col("_s") == F.col("text"), "left").join(spikes, F.col("_l") == F.col("length"), "left")
+    open_ = judged.filter("_d is null")
+    short = shortened(open_.select(F.col("_s").alias("text")).distinct()).withColumn("_short", F.lit(True))
+    spikes = length_spikes(open_.select(F.col("_l").alias("length"))).withColumn("_spike", F.lit(True))
+    unclear = open_.filter("_e <> 'proper'").join(short, F.col("_s") == F.col("text"), "left").join(spikes, F.col("_l") == F.col("length"), "left")
     cut_off = (F.col("_e") == "broken") | F.coalesce("_short", F.lit(False)) | F.coalesce("_spike", F.lit(False))
-    foreign = F.coalesce(language(q, 1) != language(b), F.lit(False))
-    found = lambda x, cut_: x.select(
-        *key, F.coalesce("_d", F.when(cut_, "truncated"), F.when(foreign, "other_language")).alias("defect")
-    )
-    closed = judged.filter("_e is null or _e = 'proper'")
-    return found(open_, cut_off).unionByName(found(closed, F.lit(False))).filter("defect <> 'none'").distinct()
+    told = unclear.select(*key, "_q", "_b", cut_off.alias("_cut")).unionByName(open_.filter("_e = 'proper'").select(*key, "_q", "_b", F.lit(False).alias("_cut")))
+    tongue = languages.language(languages.fit(labelled, "text", "lang"))
+    spoken = lambda c: tongue(F.regexp_replace(F.coalesce(c, F.lit("")), ASIDE, " "))
+    foreign = F.coalesce(spoken(q) != spoken(b), F.lit(False))
+    whole = told.filter("not _cut").select(*key, F.when(foreign, "other_language").alias("defect"))
+    decided = judged.filter("_d is not null").select(*key, F.col("_d").alias("defect"))
+    found = decided.unionByName(told.filter("_cut").select(*key, F.lit("truncated").alias("defect"))).unionByName(whole)
+    return found.filter("defect <> 'none'").distinct()

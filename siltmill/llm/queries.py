@@ -19,7 +19,7 @@ def _chunk_copies(spark: SparkSession, sf_dir: str) -> neardup.NearDup:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of chunks whose texts are alike."""
+    """Pairs of chunks whose texts are alike. The suffix filter is the sketch bound of ``neardup``; it loses no pair."""
     return neardup.linked_pairs(_chunk_copies(spark, sf_dir))
 
 
@@ -30,7 +30,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question-answer pairs that are unusable, with the defect."""
-    return pair_defects.defects(table(spark, sf_dir, "e2e_rows"), ["run_id", "id"], "question", "answer", "category")
+    return pair_defects.defects(table(spark, sf_dir, "e2e_rows"), ["run_id", "id"], "question", "answer", "category", table(spark, sf_dir, "documents").select("text", "lang"))
 
 
 def _chunk_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

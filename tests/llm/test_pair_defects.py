@@ -1,7 +1,10 @@
 """Defects of question-answer pairs on small cases."""
 
+import pytest
+from oracle import DATA
 from pyspark.sql import functions as F
 
+from siltmill.llm import languages
 from siltmill.llm import pair_defects as pdx
 
 Q = "Where do I renew form T 7917 at the help line?"
@@ -40,17 +43,22 @@ CASES = [
 ]
 
 
-def test_cases(spark):
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return spark.read.parquet(str(DATA / "documents.parquet")).select("text", "lang")
+
+
+def test_cases(spark, labelled):
     rows = [(f"r{i}", "k", q, a, c) for i, (q, a, c, _) in enumerate(CASES)]
     df = spark.createDataFrame(rows + rows[:5], "run string, id string, question string, answer string, category string").withColumn("text", F.lit(1)).withColumn("_x", F.lit(1))
-    got = {r["run"]: r["defect"] for r in pdx.defects(df, ["run", "id"], "question", "answer", "category").collect()}
+    got = {r["run"]: r["defect"] for r in pdx.defects(df, ["run", "id"], "question", "answer", "category", labelled).collect()}
     want = {f"r{i}": d for i, (*_, d) in enumerate(CASES) if d}
     assert got == want
 
 
-def test_empty_table(spark):
+def test_empty_table(spark, labelled):
     df = spark.createDataFrame([], "run string, question string, answer string, category string")
-    assert pdx.defects(df, ["run"], "question", "answer", "category").count() == 0
+    assert pdx.defects(df, ["run"], "question", "answer", "category", labelled).count() == 0
 
 
 def test_shortened_across_partitions(spark):
@@ -70,16 +78,28 @@ def test_length_spikes(spark):
     assert [r[0] for r in pdx.length_spikes(spark.createDataFrame(rows, "length int")).collect()] == [100]
 
 
-def test_answers_at_the_length_limit_are_truncated(spark):
+def test_answers_at_the_length_limit_are_truncated(spark, labelled):
     item = "You need this before the interview takes place at the office:\n- "
     rows = [(f"l{i}", "q", item + "passport"[: i % 8 + 1] + "x" * (40 - i % 8), None) for i in range(60)] + [(f"o{i}", "q", item + f"{i:02d}" + "y" * i, None) for i in range(1, 30)]
-    got = {r["k"] for r in pdx.defects(spark.createDataFrame(rows, "k string, q string, a string, c string"), ["k"], "q", "a", "c").filter("defect = 'truncated'").collect()}
+    got = {r["k"] for r in pdx.defects(spark.createDataFrame(rows, "k string, q string, a string, c string"), ["k"], "q", "a", "c", labelled).filter("defect = 'truncated'").collect()}
     assert got >= {f"l{i}" for i in range(60)} and len(got) <= 61
 
 
-def test_answers_that_end_in_an_ellipsis_are_truncated(spark):
+def test_answers_that_end_in_an_ellipsis_are_truncated(spark, labelled):
     ends = ["in…", "in ...", "in...", "in… [1][3]", "in ... [2]", "in…”", "in ...**", "in…" + NOTE, "in (the office ...)"]
     rows = [(f"e{i}", Q, GOOD + " Interviews take place " + e, None) for i, e in enumerate(ends)]
     rows += [("whole", Q, GOOD + " Wait… then send it.", None), ("bare", Q, "...", None), ("no", Q, "I do not know...", None)]
-    got = {r["k"]: r["defect"] for r in pdx.defects(spark.createDataFrame(rows, "k string, q string, a string, c string"), ["k"], "q", "a", "c").collect()}
+    got = {r["k"]: r["defect"] for r in pdx.defects(spark.createDataFrame(rows, "k string, q string, a string, c string"), ["k"], "q", "a", "c", labelled).collect()}
     assert got == {f"e{i}": "truncated" for i in range(len(ends))} | {"bare": "empty", "no": "refusal"}
+
+
+def test_languages_are_told_by_their_trigrams(spark, labelled):
+    p = languages.fit(labelled, "text", "lang")
+    assert p.names == ("de", "en", "es", "fr") and languages.fit(labelled.limit(0), "text", "lang").names == ()
+    held = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200 and lang in ('de', 'en', 'es', 'fr')").withColumn("told", languages.language(p)(F.col("text")))
+    right, wrong, none = held.agg(F.count_if(F.col("told") == F.col("lang")), F.count_if(F.col("told") != F.col("lang")), F.count_if(F.col("told").isNull())).first()
+    assert right > 0.9 * (right + wrong + none) and none < 0.05 * right  # some labels are wrong
+    short = spark.createDataFrame([("Yes.",), ("",), (None,), ("\n\n",), ("The office\nopens before the working day ends",)], "t string")
+    assert [r[0] for r in short.select(languages.language(p)(F.col("t"))).collect()] == [None, None, None, None, "en"]
+    none_known = languages.language(languages.fit(labelled.limit(0), "text", "lang"))
+    assert {r[0] for r in short.select(none_known(F.col("t"))).collect()} == {None}
