@@ -39,6 +39,13 @@ e AS (SELECT site, line FROM k JOIN n USING (site) WHERE line <> '' GROUP BY sit
 SELECT DISTINCT id, CAST(line_no AS INTEGER) AS line_no FROM k SEMI JOIN e USING (site, line)
 """
 
+P6_CLEAN = rf"""
+WITH gone AS ({P6_FOUND}), t AS (SELECT DISTINCT id, text FROM chunks),
+n AS (SELECT id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM t WHERE text IS NOT NULL),
+k AS (SELECT n.id, n.text, string_agg(line, chr(10) ORDER BY n.line_no) FILTER (gone.id IS NULL) AS kept FROM n LEFT JOIN gone ON gone.id = n.id AND gone.line_no = n.line_no GROUP BY n.id, n.text)
+SELECT id, coalesce(kept, '') AS text FROM k UNION ALL SELECT id, text FROM t WHERE text IS NULL
+"""
+
 #: Rounds: sources above their cap are clamped, what is left goes to the others by weight, until none is above.
 P8_GOALS = r"""
 WITH RECURSIVE d AS (SELECT doc_id, lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS source, max(strlen(text)) AS size FROM documents WHERE strlen(text) > 0 GROUP BY ALL),
@@ -57,4 +64,4 @@ SELECT c.source, c.size, round(CASE WHEN e.source IS NULL THEN 0 WHEN e.clamped
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p6_found": P6_FOUND, "p8_goals": P8_GOALS}
+    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p6_found": P6_FOUND, "p6_clean": P6_CLEAN, "p8_goals": P8_GOALS}

@@ -103,3 +103,26 @@ def test_components_against_union_find(spark):
     got = {r["node"]: r["group"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_come_in_blocks_and_none_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_COPIES", 3)
+    rows = [(f"k{i:02d}", "one two three four five six seven") for i in range(11)] + [("x", "one two three four five six eight"), ("y", "quite another text of seven words here")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 0.6)
+    pairs = {tuple(r) for r in neardup.linked_pairs(found).collect()}
+    alike = sorted(k for k, _ in rows if k != "y")
+    assert pairs == {(a, b) for a in alike for b in alike if a < b}
+    got = {r["key"]: (r["group_id"], r["n_copies"], r["n_links"]) for r in neardup.groups(found).collect()}
+    assert got["k07"] == ("k00", 11, 1) and got["x"] == ("k00", 1, 1) and got["y"] == ("y", 1, 0)
+
+
+def test_parts_follow_the_postings(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_PART_POSTINGS", 50)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[i % 7 : i % 7 + 30])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    many = {tuple(r) for r in neardup.linked_pairs(neardup.near_duplicates(df, "id", "text", 3, 0.6)).collect()}
+    one = {tuple(r) for r in neardup.linked_pairs(neardup.near_duplicates(df, "id", "text", 3, 0.6, parts=1)).collect()}
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(28)} for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert many == one == want

@@ -276,3 +276,36 @@ def test_repeated_spans_over_line_ends_and_within_lines(spark):
     kept = {r["id"]: r["text"] for r in boilerplate.without_spans(df.select("id", "text").distinct(), "id", "text", found).collect()}
     assert len(kept["d1"]) == len(texts["d1"]) - sum(r["last"] - r["first"] + 1 for r in found.collect() if r["id"] == "d1") and kept["d0"] == texts["d0"]
     assert boilerplate.repeated_spans(df.limit(0), "id", "site", "text").count() == 0
+
+
+def brute_pieces(text, limit, overlap, min_fill):
+    """Ends found by looking at every boundary, for texts of one byte a character."""
+    off = token_offsets(text).tolist()
+    n = len(off) - 1
+    places = [(kind, {max(i for i, o in enumerate(off) if o <= m.end()) for m in pattern.finditer(text)}) for kind, pattern in splitting.BOUNDARIES]
+    s, low, out = 0, 0, []
+    while n - s > limit:
+        end, kind = s + limit, "hard"
+        inside = [(k, max(b for b in at if low < b <= s + limit)) for k, at in places if any(low < b <= s + limit for b in at)]
+        full = [x for x in inside if x[1] - s >= min_fill * limit]
+        if full:
+            kind, end = full[0]
+        elif inside:
+            kind, end = max(inside, key=lambda x: x[1])
+        out.append((off[s], off[end], kind))
+        s, low = max(end - overlap, 0) if end - overlap > s else end, end
+    return [*out, (off[s], off[n], "end")]
+
+
+def test_pieces_are_those_of_a_plain_search():
+    rng = random.Random(11)
+    for _ in range(25):
+        text = "The"
+        for _ in range(rng.randint(20, 300)):
+            text += rng.choice([" the", " page", " and", " work", " of", ".", ". The", "\n\nThe", "\n## The", "\nThe"] + [" time"] * rng.randint(1, 12))
+        for limit, overlap in ((20, 0), (32, 5), (50, 12)):
+            got = [(a, b, kind) for a, b, n, kind in splitting.split_text(text, limit, overlap) if n <= limit]
+            want = brute_pieces(text, limit, overlap, 0.5)
+            counts = TokenCounter().count
+            if all(counts(text[a:b]) <= limit for a, b, _ in want):
+                assert got == want, (limit, overlap, text)
