@@ -20,7 +20,9 @@ import json
 import logging
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -288,11 +290,40 @@ def column_names(paths: Sequence[str], taken: Sequence[str] = ("grp", "run", "fi
     return out
 
 
-def _cast(value: Column, from_type: Column, kind: str) -> Column:
-    if kind == "array":
-        one = F.to_json(F.array(value))
-        return F.from_json(F.when(from_type == ARRAY, value).otherwise(one), "array<string>")
-    return value if kind == "string" else value.try_cast(kind)
+def _cast(text: Column, kind: str) -> Column:
+    return F.from_json(text, "array<string>") if kind == "array" else text if kind == "string" else text.try_cast(kind)
+
+
+def _spread(known: Sequence[tuple[str, str]]):  # noqa: ANN202
+    """Takes a run's fields apart into a column of texts for each known path; a list's text is JSON.
+
+    Whole batches at once: a column picks its values by their places among all fields of a batch.
+    """
+    paths = pa.array([p for p, _ in known], pa.string())
+    kinds = [k for _, k in known]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("fields")
+            offsets = held.offsets.to_numpy()
+            flat = held.flatten()
+            row = np.repeat(np.arange(len(batch)), np.diff(offsets))
+            column = pc.fill_null(pc.index_in(flat.field("path"), paths), -1).to_numpy(zero_copy_only=False)
+            type_, value = flat.field("type").to_numpy(zero_copy_only=False), flat.field("value")
+            order = np.argsort(column, kind="stable")
+            cuts = np.searchsorted(column[order], np.arange(len(kinds) + 1))
+            out = [batch.column("grp"), batch.column("run"), batch.column("file_no")]
+            for i, kind in enumerate(kinds):
+                at = order[cuts[i] : cuts[i + 1]]
+                place = np.full(len(batch), -1, np.int64)
+                place[row[at]] = at
+                texts = value.take(pa.array(np.maximum(place, 0), mask=place < 0))
+                if kind == "array" and (type_[at] != ARRAY).any():
+                    texts = pa.array([t if t is None or type_[j] == ARRAY else json.dumps([t], ensure_ascii=False) for t, j in zip(texts.to_pylist(), place.tolist(), strict=True)], pa.string())
+                out.append(texts)
+            yield pa.RecordBatch.from_arrays(out, names=["grp", "run", "file_no", *[f"v{i}" for i in range(len(kinds))]])
+
+    return spread
 
 
 def union_table(rows: DataFrame, schema: DataFrame, leave_out: Sequence[str] = (), most_columns: int = 2_000) -> DataFrame:
@@ -307,11 +338,11 @@ def union_table(rows: DataFrame, schema: DataFrame, leave_out: Sequence[str] = (
     if more:
         known = sorted((r["path"], r["kind"]) for r in wide.orderBy(F.desc("n_files"), "path").limit(most_columns).collect())
     named = column_names([p for p, _ in known])
-    entries = F.collect_list(F.struct("path", F.struct("type", "value").alias("x")))  # a field of the schema once each
-    runs = rows.groupBy("grp", "run").agg(F.max("file_no").alias("file_no"), F.map_from_entries(entries).alias("m"))
-    extra = []
-    if more:
-        columns = F.array(*[F.lit(p) for p in [*named, *leave_out]])
-        extra = [F.transform_values(F.map_filter("m", lambda k, v: ~F.array_contains(columns, k)), lambda k, v: v["value"]).alias("more_fields")]
-    value = lambda p, part: F.element_at("m", F.lit(p)).getField(part)
-    return runs.select("grp", "run", "file_no", *[_cast(value(p, "value"), value(p, "type"), kind).alias(named[p]) for p, kind in known], *extra)
+    entries = F.collect_list(F.struct("path", "type", "value"))  # a field of the schema once each
+    runs = rows.groupBy("grp", "run").agg(F.max("file_no").alias("file_no"), entries.alias("fields"))
+    wide_rows = runs.mapInArrow(_spread(known), ", ".join(["grp string, run string, file_no int", *[f"v{i} string" for i in range(len(known))]]))
+    out = wide_rows.select("grp", "run", "file_no", *[_cast(F.col(f"v{i}"), kind).alias(named[p]) for i, (p, kind) in enumerate(known)])
+    if not more:
+        return out
+    rest = rows.filter(~F.col("path").isin([*named, *leave_out])).groupBy("grp", "run").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("more_fields"))
+    return out.join(rest, ["grp", "run"], "left")

@@ -160,6 +160,12 @@ def test_union_table_has_the_latest_layout(spark):
     assert few.columns == ["grp", "run", "file_no", "t", "more_fields"] and {r["run"]: r["more_fields"] for r in few.collect()} == {"a": {"y": "1"}, "b": {"y": "2"}, "c": {"y": "3.5"}}
 
 
+def test_a_list_that_a_run_lacks_is_null(spark):
+    rows, schema = _union(spark, _files({1: [{"run_id": "a", "t": ["x", None, 1]}, {"run_id": "b", "t": "é"}, {"run_id": "c", "n": 1}, {"run_id": "d", "t": []}]}))
+    table = {r["run"]: (r["n"], r["t"]) for r in schema_drift.union_table(rows, schema, ["run_id"]).collect()}
+    assert table == {"a": (None, ["x", None, "1"]), "b": (None, ["é"]), "c": (1, None), "d": (None, [])}
+
+
 def test_a_chain_of_renames_ends_in_the_last_name(spark):
     files = {n: [{"run_id": f"r{m}", f"n{n}": m} for m in (n - 1, n)] for n in range(1, 12)}
     rows, schema = _union(spark, _files(files))
