@@ -113,8 +113,8 @@ def section_index(pages: DataFrame, key: str, content_hash: str, title: str, tex
 def fold_copies(chunks: DataFrame, text: str, url: str, order: list[str]) -> DataFrame:
     """The first chunk, by ``order``, of each normal text, with n_copies and also_urls (the others' urls, sorted).
 
-    Copies meet on a hash of their text and are folded map-side; the set of urls of one text is the only thing that
-    grows with a group.
+    Copies meet on a hash of their text and are folded map-side. The urls of one text are gathered in its row, as the
+    column asks for; ``copy_members`` has the same as a table, where a text has very many copies.
     """
     cols = [c for c in chunks.columns if c not in ("n_copies", "also_urls")]
     keyed = chunks.select(*cols).withColumn("_k", F.sha2(norm_text(F.col(text)), 256))
@@ -126,6 +126,13 @@ def fold_copies(chunks: DataFrame, text: str, url: str, order: list[str]) -> Dat
     return best.select("_b.*", "n_copies", F.array_sort(F.array_except("_u", F.array(F.col(f"_b.{url}")))).alias("also_urls"))
 
 
+def copy_members(chunks: DataFrame, text: str, id_: str, order: list[str]) -> DataFrame:
+    """(id, first_id): each chunk with the first one, by ``order``, of its normal text. Nothing is gathered."""
+    keyed = chunks.select(F.sha2(norm_text(F.col(text)), 256).alias("_k"), F.col(id_).alias("id"), F.struct(*order, id_).alias("_o"))
+    first = keyed.groupBy("_k").agg(F.min_by("id", "_o").alias("first_id"))
+    return keyed.select("_k", "id").distinct().join(first, "_k").select("id", "first_id")
+
+
 def expanded_span(n_section: Column, start: Column, n_chunk: Column, cap: int) -> tuple[Column, Column]:
     """(first word, words) of a chunk's unit: the whole section up to ``cap`` words, else a window around the chunk."""
     first = start - F.floor((F.lit(cap) - n_chunk) / 2)

@@ -182,6 +182,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fetched_int NULLS FIR
 SELECT id, url, CAST(n_copies AS INTEGER) AS n_copies, array_to_string(list_sort(list_filter(list_distinct(us), lambda u: u <> url)), ' ') AS also_urls FROM r WHERE n = 1"""
 
 
+def chunk_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk with the first one of its text."""
+    rows = table(spark, sf_dir, "chunks").filter("text is not null and id is not null").select("id", "text", "url", "fetched_int").distinct()
+    return chunking.copy_members(rows, "text", "id", ["fetched_int"])
+
+
+CHUNK_COPIES = f"""
+WITH c AS (SELECT DISTINCT id, fetched_int, {_norm('text')} AS k FROM chunks WHERE text IS NOT NULL AND id IS NOT NULL),
+f AS (SELECT k, id AS first_id FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY fetched_int NULLS FIRST, id) = 1)
+SELECT DISTINCT c.id, f.first_id FROM c JOIN f ON f.k = c.k"""
+
+
 def section_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of documents as hits, expanded to at most 450 words, one hit kept for each unit."""
     rows = table(spark, sf_dir, "documents").select("doc_id", tx.split_words(F.col("text")).alias("w"))
@@ -298,7 +310,7 @@ _ALL = {
     "date_to_int": (date_ints, DATE_INTS), "url_norm": (url_forms, URL_FORMS), "url_normalize_full": (normal_urls, NORMAL_URLS),
     "manifest_filter": (manifest_pages, MANIFEST_PAGES), "page_dates": (page_dates, PAGE_DATES), "snapshot_lookup": (snapshot_lookup, SNAPSHOT_LOOKUP),
     "section_split": (page_sections, PAGE_SECTIONS), "page_chunks": (page_chunks, PAGE_CHUNKS), "chunk_windows": (chunk_windows, CHUNK_WINDOWS),
-    "chunk_dedupe": (chunk_dedupe, CHUNK_DEDUPE), "expand_window": (section_expand, SECTION_EXPAND), "embed_cache_antijoin": (vector_cache_misses, VECTOR_CACHE_MISSES),
+    "chunk_dedupe": (chunk_dedupe, CHUNK_DEDUPE), "chunk_copies": (chunk_copies, CHUNK_COPIES), "expand_window": (section_expand, SECTION_EXPAND), "embed_cache_antijoin": (vector_cache_misses, VECTOR_CACHE_MISSES),
     "chunk_stats": (chunk_stats, CHUNK_STATS), "crawl_inspection": (crawl_inspection, CRAWL_INSPECTION), "link_classify": (link_classes, LINK_CLASSES), "crawl_skips": (crawl_skips, CRAWL_SKIPS),
     "crawl_off_path": (crawl_off_path, f"SELECT DISTINCT url FROM ({LINK_CLASSES}) WHERE reason = 'off_path' ORDER BY url LIMIT 40"),
     "crawl_frontier": (crawl_frontier, CRAWL_FRONTIER), "crawl_reach": (crawl_reach, None),
