@@ -1,7 +1,7 @@
 """Text repeated across the documents of one site.
 
 ``repeated_spans`` takes no notice of lines: the words of a document are divided into content-defined chunks, which
-end where a rolling hash of the last words has its low bits zero. Distinct documents are counted for each chunk and
+end where a rolling hash of the last words is the least of its neighbourhood. Distinct documents are counted for each chunk and
 site, and chunks that stand in too many are reported as spans; so is boilerplate that runs over line ends or stands
 within a longer line.
 
@@ -150,26 +150,25 @@ def _line_units(pdf: pd.DataFrame):  # noqa: ANN202
     return row, number, none, none, [x.encode("utf-8", "surrogatepass") for x in lines], line, h
 
 
-def word_chunks(words: list[str], least: int = 6, window: int = 3, mask: int = 7) -> list[int]:
+def word_chunks(words: list[str], reach: int = 4, window: int = 3) -> list[int]:
     """The ends of the content-defined chunks of a sequence of words.
 
-    A chunk ends where the rolling hash of the last ``window`` words has its low bits zero, but not within ``least``
-    words of the end before, so common phrases are no chunks of their own.
+    A chunk ends where the rolling hash of the last ``window`` words is the least within ``reach`` words on either side.
+    So chunks have more than ``reach`` words, common phrases are none, and an end depends on the words around it alone:
+    after other text, the chunks of a passage are the same again from its first such place on.
     """
     n = len(words)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     rolling = np.zeros(n, np.uint64)
     for j in range(window):
         rolling[j:] += (h[: n - j] * _R) << np.uint64(j)
-    at = np.nonzero(((rolling >> np.uint64(40)) & np.uint64(mask)) == 0)[0] + 1
-    out, last = [], 0
-    for e in at.tolist():
-        if e - last >= least:
-            out.append(e)
-            last = e
-    if n > last:
-        out.append(n)
-    return out
+    rolling = (rolling ^ (rolling >> np.uint64(31))) * _R
+    least = np.ones(n, bool)
+    for j in range(1, reach + 1):
+        least[j:] &= rolling[j:] < rolling[:-j]
+        least[:-j] &= rolling[:-j] <= rolling[j:]
+    out = (np.nonzero(least)[0] + 1).tolist()
+    return out if not n or (out and out[-1] == n) else [*out, n]
 
 
 def _chunk_units(pdf: pd.DataFrame):  # noqa: ANN202

@@ -253,7 +253,7 @@ def test_chunks_of_a_line_depend_on_the_line_alone():
 def test_repeated_spans_over_line_ends_and_within_lines(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
-    notice = "this page is only general guidance and no legal advice so please ask the office in your own region before you apply for any of the permits named in this text"
+    notice = "this page is only general guidance and no legal advice so please ask the office in your own region before you apply for any of the permits named in this text and do not send originals by mail unless the office has asked you for them in writing since it can take many weeks until they are returned"
     rows = []
     for i in range(60):
         own = [word() for _ in range(80)]
@@ -272,7 +272,7 @@ def test_repeated_spans_over_line_ends_and_within_lines(spark):
             piece = " ".join(texts[r["id"]][r["first"] - 1 : r["last"]].split())
             assert piece in notice
             covered[r["id"]] += len(piece)
-        assert len(covered) == 20 and min(covered.values()) > 0.6 * len(notice)
+        assert len(covered) == 20 and min(covered.values()) > 0.5 * len(notice)
     kept = {r["id"]: r["text"] for r in boilerplate.without_spans(df.select("id", "text").distinct(), "id", "text", found).collect()}
     assert len(kept["d1"]) == len(texts["d1"]) - sum(r["last"] - r["first"] + 1 for r in found.collect() if r["id"] == "d1") and kept["d0"] == texts["d0"]
     assert boilerplate.repeated_spans(df.limit(0), "id", "site", "text").count() == 0
@@ -309,3 +309,14 @@ def test_pieces_are_those_of_a_plain_search():
             counts = TokenCounter().count
             if all(counts(text[a:b]) <= limit for a, b, _ in want):
                 assert got == want, (limit, overlap, text)
+
+
+def test_word_chunks_fall_into_step_again():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(200)]
+    ends = [{e - k for e in boilerplate.word_chunks([word() for _ in range(k)] + passage + [word() for _ in range(9)]) if 8 <= e - k <= 190} for k in (0, 7, 23)]
+    assert ends[0] == ends[1] == ends[2] and len(ends[0]) > 12
+    every = boilerplate.word_chunks(passage)
+    assert every[-1] == 200 and min(b - a for a, b in zip(every, every[1:-1], strict=False)) > 4
+    assert boilerplate.word_chunks([]) == [] and boilerplate.word_chunks(["a"]) == [1] and boilerplate.word_chunks(["a"] * 30)[-1] == 30
