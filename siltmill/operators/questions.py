@@ -16,7 +16,7 @@ from siltmill.operators import ann, chunking, ranking, responses
 from siltmill.runtime import cut
 
 RERANKERS: dict[str, Callable[[Column, Column], Column]] = {"overlap": ranking.overlap_score}
-#: Settings that a run cannot do without, and where those of a run go; the rest of a file are settings of the collection.
+#: The names that settings files use. Those that no run can do without; those of a run, and where they go; those of a collection.
 REQUIRED = ("embedding_model", "chunk_size", "chunk_overlap")
 RUN_SETTINGS = {
     "top_k_retrieve": "k", "bm25_k": "bm25_k", "reranker": "reranker", "dedupe_chunks": "dedupe", "split_queries": "split_queries", "subquery_filter": "subquery_filter", "fusion": "fusion",
