@@ -39,8 +39,9 @@ _BLANKS = re.compile(r"  +")
 _WINDOW, _MASK = 8, np.uint64(0x1F)
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD = re.compile(r"[^\W_]+")
-#: Units of a document, for one batch: row, place, first and last character, bytes to hash.
-Units = Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]]
+_KEPT_WORDS = 1 << 20
+#: The units of a batch: row, place, first and last character of each; the bytes of the i-th; the unit and hash of each chunk.
+Units = Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[int], bytes], np.ndarray, np.ndarray]]
 
 
 def normal_lines(text: str) -> list[str]:
@@ -147,47 +148,70 @@ def _line_units(pdf: pd.DataFrame):  # noqa: ANN202
     lines, row, number = _lines_of(pdf)
     line, h = chunk_lines(lines)
     none = np.zeros(len(row), np.int64)
-    return row, number, none, none, [x.encode("utf-8", "surrogatepass") for x in lines], line, h
+    return row, number, none, none, lambda i: lines[i].encode("utf-8", "surrogatepass"), line, h
 
 
-def word_chunks(words: list[str], reach: int = 4, window: int = 3) -> list[int]:
-    """The ends of the content-defined chunks of a sequence of words.
+class _Hashes(dict):
+    """Words to their hashes; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > _KEPT_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(_DIGITS.sub("0", word))
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def word_chunks(h: np.ndarray, doc: np.ndarray, reach: int = 4, window: int = 3) -> np.ndarray:
+    """The ends of the content-defined chunks of many sequences of words, by the words' hashes and their documents.
 
     A chunk ends where the rolling hash of the last ``window`` words is the least within ``reach`` words on either side.
     So chunks have more than ``reach`` words, common phrases are none, and an end depends on the words around it alone:
-    after other text, the chunks of a passage are the same again from its first such place on.
+    after other text, the chunks of a passage are the same again from its first such place on. A document ends one too.
     """
-    n = len(words)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    n = len(h)
     rolling = np.zeros(n, np.uint64)
-    for j in range(window):
-        rolling[j:] += (h[: n - j] * _R) << np.uint64(j)
+    for j in range(min(window, n)):
+        rolling[j:] += np.where(doc[j:] == doc[: n - j], h[: n - j] * _R, np.uint64(0)) << np.uint64(j)
     rolling = (rolling ^ (rolling >> np.uint64(31))) * _R
     least = np.ones(n, bool)
-    for j in range(1, reach + 1):
-        least[j:] &= rolling[j:] < rolling[:-j]
-        least[:-j] &= rolling[:-j] <= rolling[j:]
-    out = (np.nonzero(least)[0] + 1).tolist()
-    return out if not n or (out and out[-1] == n) else [*out, n]
+    for j in range(1, min(reach, n - 1) + 1):
+        other = doc[j:] != doc[:-j]
+        least[j:] &= (rolling[j:] < rolling[:-j]) | other
+        least[:-j] &= (rolling[:-j] <= rolling[j:]) | other
+    least[:-1] |= doc[1:] != doc[:-1]
+    least[-1:] = True
+    return np.nonzero(least)[0] + 1
 
 
 def _chunk_units(pdf: pd.DataFrame):  # noqa: ANN202
     """Chunks of words as units of their own, wherever lines end. Digits count as 0."""
-    row, no, first, last, raw = [], [], [], [], []
-    for r, text in enumerate(pdf["text"]):
-        spans = [m.span() for m in _WORD.finditer(text)]
-        words = [_DIGITS.sub("0", text[a:b].lower()) for a, b in spans]
-        start = 0
-        for i, end in enumerate(word_chunks(words)):
-            row.append(r)
-            no.append(i)
-            first.append(spans[start][0] + 1)
-            last.append(spans[end - 1][1])
-            raw.append(" ".join(words[start:end]).encode("utf-8", "surrogatepass"))
-            start = end
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
-    as_int = lambda x: np.array(x, np.int64)
-    return as_int(row), as_int(no), as_int(first), as_int(last), raw, np.arange(len(raw)), h
+    words: list[str] = []
+    spans: list[tuple[int, int]] = []
+    counts = []
+    for text in pdf["text"]:
+        own = [m.span() for m in _WORD.finditer(text)]
+        low = text.lower()
+        words.extend([low[a:b] for a, b in own] if len(low) == len(text) else [text[a:b].lower() for a, b in own])
+        spans.extend(own)
+        counts.append(len(own))
+    doc = np.repeat(np.arange(len(counts)), counts)
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    ends = word_chunks(h, doc)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    at = np.array(spans, np.int64).reshape(-1, 2)
+    row = doc[starts] if len(starts) else np.zeros(0, np.int64)
+    no = np.arange(len(row)) - np.searchsorted(row, row)
+    if len(starts):
+        place = np.arange(len(h)) - np.repeat(starts, ends - starts)
+        mixed = (h ^ ((place.astype(np.uint64) + np.uint64(1)) * _R)) * np.uint64(0x94D049BB133111EB)
+        chunk = np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * _R, starts)
+    else:
+        chunk = np.zeros(0, np.uint64)
+    raw = lambda i: _DIGITS.sub("0", " ".join(words[starts[i] : ends[i]])).encode("utf-8", "surrogatepass")
+    return row, no, at[starts, 0] + 1, at[ends - 1, 1], raw, np.arange(len(row)), chunk
 
 
 def _of_site(h: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -230,7 +254,7 @@ def _candidates(units: Units, sieve, cells: int):  # noqa: ANN001, ANN202
                 some &= np.bincount(unit, weights=~bitmap[cell], minlength=len(row)) == 0
             at = np.nonzero(some)[0]
             r = row[at]
-            h1, h2 = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i]) for i in at), ">i8").astype(np.int64).reshape(-1, 2).T
+            h1, h2 = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw(i)) for i in at.tolist()), ">i8").astype(np.int64).reshape(-1, 2).T
             yield pd.DataFrame(
                 {"key": pdf["key"].to_numpy(object)[r], "site": pdf["site"].to_numpy(object)[r], "d": pdf["d"].to_numpy(np.int64)[r], "no": number[at], "first": first[at], "last": last[at], "h1": h1, "h2": h2}
             )

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,10 +314,17 @@ def test_pieces_are_those_of_a_plain_search():
 
 def test_word_chunks_fall_into_step_again():
     rng = random.Random(2)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    word = lambda: rng.getrandbits(64)
     passage = [word() for _ in range(200)]
-    ends = [{e - k for e in boilerplate.word_chunks([word() for _ in range(k)] + passage + [word() for _ in range(9)]) if 8 <= e - k <= 190} for k in (0, 7, 23)]
-    assert ends[0] == ends[1] == ends[2] and len(ends[0]) > 12
-    every = boilerplate.word_chunks(passage)
+
+    def ends(*docs):
+        flat = [x for d in docs for x in d]
+        return boilerplate.word_chunks(np.array(flat, np.uint64), np.repeat(np.arange(len(docs)), [len(d) for d in docs])).tolist()
+
+    inner = [{e - k for e in ends([word() for _ in range(k)] + passage + [word() for _ in range(9)]) if 8 <= e - k <= 190} for k in (0, 7, 23)]
+    assert inner[0] == inner[1] == inner[2] and len(inner[0]) > 12
+    every = ends(passage)
     assert every[-1] == 200 and min(b - a for a, b in zip(every, every[1:-1], strict=False)) > 4
-    assert boilerplate.word_chunks([]) == [] and boilerplate.word_chunks(["a"]) == [1] and boilerplate.word_chunks(["a"] * 30)[-1] == 30
+    both = ends(passage[:90], passage)
+    assert both == ends(passage[:90]) + [90 + e for e in every], "documents do not touch each other"
+    assert ends([]) == [] and ends([5]) == [1] and ends([7] * 30)[-1] == 30 and ends([1], [2], [3]) == [1, 2, 3]
