@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,48 +27,86 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def exact_search(queries: DataFrame, query_id: str, query_vec: str, corpus: DataFrame, id_: str, vec: str, k: int, block: int = 2048) -> DataFrame:
+def exact_search(queries: DataFrame, query_id: str, query_vec: str, corpus: DataFrame, id_: str, vec: str, k: int, block: int = 8192) -> DataFrame:
     """(query_id, id, sim, rank): the k rows of the corpus with the highest cosine, ties by id.
 
     A stated set of queries against all rows, in blocks: the queries are packed into blocks of ``block`` vectors, each
-    block meets each batch of the corpus in one matrix product, and only its k best of that batch leave the task. So
-    what is shuffled is k rows for each query and batch, never a row for each pair. Zero vectors have no cosine and
-    are left out, as are null ones and rows without id.
+    block meets each batch of the corpus in matrix products, and only its k best of that batch leave the task. So
+    what is shuffled is k rows for each query and batch, never a row for each pair. A batch is sorted by id once, so
+    places stand for ids, which stay in Arrow. Zero vectors have no cosine and are left out, as are null ones and rows
+    without id.
     """
-    size = F.array_size(F.col(query_vec))
-    packed = (
-        queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v"))
-        .filter((size > 0) & F.col("q").isNotNull())
-        .withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, math.ceil(queries.count() / block)))))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("q", "v")).alias("qs"))
-    )
     kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[id_]
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qs, ids, vs in zip(pdf["qs"], pdf["ids"], pdf["vs"], strict=True):
-                a = _unit(np.stack([np.asarray(x["v"], float) for x in qs]))
-                b = _unit(np.stack([np.asarray(v, float) for v in vs]))
-                ids = np.asarray(ids)
-                sims = np.nan_to_num(np.round(a @ b.T, 12), nan=-np.inf)  # so that equal vectors tie
-                for x, row in zip(qs, sims, strict=True):
-                    best = np.lexsort((ids, -row))[:k]
-                    best = best[np.isfinite(row[best])]
-                    yield pd.DataFrame({"q": [x["q"]] * len(best), "id": ids[best], "sim": row[best]})
-
-    rows = corpus.select(F.col(id_).alias("id"), F.col(vec).alias("v")).filter((F.array_size("v") > 0) & F.col("id").isNotNull())
-    batches = (
-        rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(corpus.count() / 4096)))).alias("batch"))
-        .agg(F.collect_list(F.struct("id", "v")).alias("r"))
-        .select(F.col("r.id").alias("ids"), F.col("r.v").alias("vs"))
-    )
-    paired = batches.crossJoin(packed)  # each block of queries with each batch: the blocks are few and bounded
-    found = paired.mapInPandas(search, f"q {kinds[0]}, id {kinds[1]}, sim double")
+    def there(df: DataFrame, key: str, vector: str) -> DataFrame:
+        return df.select(F.col(key).alias("i"), F.col(vector).alias("v")).filter((F.array_size("v") > 0) & F.col("i").isNotNull())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for several in batches:
+            for at in range(several.num_rows):
+                one = several.slice(at, 1)
+                (qs, a), (ids, b) = (_ids_and_units(one.column(x)) for x in ("qs", "rows"))
+                rough = np.ascontiguousarray(b.T, dtype=np.float32)
+                for i in range(0, len(a), 128):
+                    which, place, sim = _nearest(a[i : i + 128], b, rough, k)
+                    yield pa.RecordBatch.from_arrays([qs.take(pa.array(which + i)), ids.take(pa.array(place)), pa.array(sim)], ["q", "id", "sim"])
+
+    batches = _packed(there(corpus, id_, vec), blocks_of(corpus.sparkSession, corpus.count()), "rows")
+    asked = _packed(there(queries, query_id, query_vec), max(1, math.ceil(queries.count() / block)), "qs")
+    paired = batches.crossJoin(asked)  # each block of queries with each batch: the blocks are few and bounded
+    found = paired.mapInArrow(search, f"q {kinds[0]}, id {kinds[1]}, sim double")
     best = top(found, ["q"], [F.desc("sim"), F.asc("id")], k)
     return best.select(F.col("q").alias(query_id), F.col("id").alias(id_), "sim", "rank")
 
 
+def blocks_of(spark: SparkSession, n: int, least: int = 4096, most: int = 16384) -> int:
+    """Into how many blocks n rows are dealt: two for each core, of ``least`` to ``most`` rows, as each block gives its k best."""
+    return max(1, math.ceil(n / most), min(2 * spark.sparkContext.defaultParallelism, math.ceil(n / least)))
+
+
+def _packed(rows: DataFrame, n: int, into: str) -> DataFrame:
+    """The rows, dealt by hash of ``i`` into n blocks, each block as one row, sorted by ``i``."""
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")).repartitionById(n, F.col("_b"))
+    return dealt.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(into)).select(into)
+
+
+def _ids_and_units(packed: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The ids and unit vectors of one packed row, without those that have no cosine."""
+    rows = packed.flatten()
+    ids, v = rows.field("i"), rows.field("v")
+    units = _unit(v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1))
+    ok = np.isfinite(units).all(axis=1)
+    return ids.filter(pa.array(ok)), units[ok]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, cosine) of the k nearest of each row, rounded so that equal vectors tie, ties by row of b.
+
+    ``rough``, b transposed in single precision, only leaves out what, by the most that it can be off, is not among the
+    k; the others are computed in double.
+    """
+    if not len(a) or not len(b):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    sims = a.astype(np.float32) @ rough
+    off = (a.shape[1] + 8) * 2.0**-24
+    row, col = np.divmod(np.flatnonzero(sims >= (_kth_bound(sims, k) - np.float32(2 * off + 1e-7))[:, None]), len(b))
+    value = np.concatenate([np.round(np.einsum("ij,ij->i", a[row[i : i + 65536]], b[col[i : i + 65536]]), 12) for i in range(0, len(row), 65536)])
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], col[kept], value[kept]
+
+
+def _kth_bound(values: np.ndarray, k: int) -> np.ndarray:
+    """For each row a bound that its k-th highest value reaches: the k-th highest of the maxima of groups of columns."""
+    n, m = values.shape
+    if m <= k:
+        return np.full(n, -np.inf)
+    size = max(1, min(64, m // (4 * k)))
+    highest = values[:, : m - m % size].reshape(n, size, -1).max(axis=1)
+    return np.partition(highest, highest.shape[1] - k, axis=1)[:, highest.shape[1] - k]
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -75,92 +114,127 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``docs``: no, id. ``terms``: term, tid. ``postings``: block, tid, no, w (the Okapi weight of the term in the text).
+    """``docs``, a written table: i (the id), len, terms (hashes, sorted), tf. ``terms``: term (its hash), idf.
 
-    Texts are hashed into ``blocks`` blocks, so no term, however frequent, is a hot key.
+    Texts are dealt by hash into ``blocks`` blocks, so no term, however frequent, is a hot key. A word is its hash of 64 bits.
     """
 
     docs: DataFrame
     terms: DataFrame
-    postings: DataFrame
     blocks: int
+    mean: float
+    k1: float
+    b: float
+
+
+def _hashed_tokens(text: Column) -> Column:
+    return F.transform(index_tokens(text), lambda w: F.xxhash64(w))
 
 
-def lexical_index(corpus: DataFrame, id_: str, text: str, terms: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, block: int = 8192) -> LexicalIndex:
-    """The index of a corpus; only of the terms in ``terms`` (term), if given. Counts and lengths are over all texts."""
-    docs = cut(corpus.select(F.col(id_).alias("id"), index_tokens(F.col(text)).alias("t")).filter("id is not null").withColumn("no", F.monotonically_increasing_id()))
-    n_docs, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
-    known = docs.select(F.explode("t").alias("term")).distinct() if terms is None else terms.select("term").distinct()
-    named = cut(known.withColumn("tid", F.monotonically_increasing_id()))
-    words = docs.select("no", F.size("t").alias("len"), F.explode("t").alias("term")).join(named, "term")
-    tf = cut(words.groupBy("tid", "no", "len").agg(F.count(F.lit(1)).alias("tf")))
-    df_ = tf.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+def lexical_index(corpus: DataFrame, id_: str, text: str, k1: float = 1.5, b: float = 0.75, most: int = 2_000_000) -> LexicalIndex:
+    """The index of a corpus. The terms of a text are counted where it is read; a block has about ``most`` postings at most."""
+    tokens = corpus.select(F.col(id_).alias("i"), _hashed_tokens(F.col(text)).alias("t")).filter("i is not null")
+    docs = cut(tokens.mapInArrow(_counted, f"i {dict(corpus.dtypes)[id_]}, len int, terms array<bigint>, tf array<int>"))
+    n_docs, mean, n_terms = docs.agg(F.count(F.lit(1)), F.avg("len"), F.sum(F.size("terms"))).first()
+    counts = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(float(mean or 1)))
-    blocks = max(1, math.ceil(n_docs / block))
-    postings = tf.join(df_, "tid").select(F.pmod(F.xxhash64("no"), F.lit(blocks)).cast("int").alias("block"), "tid", "no", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    return LexicalIndex(docs.select("no", "id"), named, postings, blocks)
+    blocks = max(blocks_of(corpus.sparkSession, n_docs), math.ceil((n_terms or 0) / most))
+    return LexicalIndex(docs, counts.select("term", idf.alias("idf")), blocks, float(mean or 1), k1, b)
 
 
-def lexical_search(index: LexicalIndex, queries: DataFrame, query_id: str, query: str, id_: str, k: int, block: int = 4096) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        t = batch.column("t")
+        lengths = t.value_lengths().to_numpy(zero_copy_only=False)
+        row, term = np.repeat(np.arange(len(t)), lengths), t.flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((term, row))
+        row, term = row[order], term[order]
+        first = np.nonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])])[0] if len(row) else np.zeros(0, int)
+        starts = pa.array(np.searchsorted(row[first], np.arange(len(t) + 1)).astype(np.int32))
+        tf = np.diff(np.r_[first, len(row)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(starts, pa.array(term[first])), pa.ListArray.from_arrays(starts, pa.array(tf))
+        yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(lengths.astype(np.int32)), *lists], ["i", "len", "terms", "tf"])
+
+
+def lexical_search(index: LexicalIndex, queries: DataFrame, query_id: str, query: str, id_: str, k: int, block: int = 65536) -> DataFrame:
     """(query_id, id, score, rank): scores above zero, the k best of each query, ties by id. Query terms are a set.
 
-    Blocks of texts meet blocks of ``block`` queries, a stated set, in one grouped step for each pair; only the k best
-    of a query in a block of texts, and what ties with the last of them, leave it. Ids are looked at for those alone.
+    Blocks of texts meet blocks of ``block`` queries, a stated set; only the k best of a query in a block of texts leave
+    it. A block of texts is sorted by id, so places stand for ids.
     """
-    asked = cut(queries.select(F.col(query_id).alias("q"), F.array_distinct(index_tokens(F.col(query))).alias("t")).withColumn("qn", F.monotonically_increasing_id()))
-    parts = max(1, math.ceil(asked.count() / block))
-    place = F.pmod(F.xxhash64("qn"), F.lit(parts)).cast("int").alias("part")
-    terms = asked.select("qn", place, F.explode("t").alias("term")).join(index.terms, "term").select("qn", "part", "tid")
-    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.postings.select("block", all_(parts).alias("part"), "tid", "no", "w").groupBy("block", "part")
-    right = terms.select(all_(index.blocks).alias("block"), "part", "qn", "tid").groupBy("block", "part")
-    found = left.cogroup(right).applyInPandas(_block_scores(k), "qn long, no long, score double")
-    first = found.withColumn("place", F.rank().over(Window.partitionBy("qn").orderBy(F.desc(F.round("score", 9))))).filter(F.col("place") <= k)
-    best = top(first.join(index.docs, "no"), ["qn"], [F.desc(F.round("score", 9)), F.asc("id")], k)
-    return best.join(asked.select("qn", "q"), "qn").select(F.col("q").alias(query_id), F.col("id").alias(id_), "score", "rank")
-
-
-def _block_scores(k: int):  # noqa: ANN202
-    def score(postings: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        docs, at = np.unique(postings["no"].to_numpy(), return_inverse=True)
-        known, code = np.unique(postings["tid"].to_numpy(), return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        at, w = at[order], postings["w"].to_numpy()[order]
-        cuts = np.searchsorted(code[order], np.arange(len(known) + 1))
-        asked = asked[asked["tid"].isin(known)].sort_values(["qn", "tid"])
-        term = np.searchsorted(known, asked["tid"].to_numpy())
-        qns, starts = np.unique(asked["qn"].to_numpy(), return_index=True)
-        out: list[tuple[np.ndarray, ...]] = []
-        s = np.zeros(len(docs))
-        for qn, own in zip(qns, np.split(term, starts[1:]), strict=True):
+    asked = cut(queries.select(F.col(query_id).alias("q"), F.array_distinct(_hashed_tokens(F.col(query))).alias("t")).withColumn("i", F.monotonically_increasing_id()))
+    weighed = asked.select("i", F.explode("t").alias("term")).join(index.terms, "term").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
+    paired = _packed(index.docs, index.blocks, "docs").crossJoin(_packed(weighed, max(1, math.ceil(asked.count() / block)), "qs"))
+    found = paired.mapInArrow(_block_scores(k, index.mean, index.k1, index.b), f"i long, id {dict(index.docs.dtypes)['i']}, score double")
+    best = top(found, ["i"], [F.desc(F.round("score", 9)), F.asc("id")], k)
+    return best.join(asked.select("i", "q"), "i").select(F.col("q").alias(query_id), F.col("id").alias(id_), "score", "rank")
+
+
+#: Of the most frequent terms of a block so many at most are kept as a weight for each text.
+_WHOLE = 256
+
+
+def _block_scores(k: int, mean: float, k1: float, b: float):  # noqa: ANN202
+    def score(docs: pa.StructArray, asked: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, terms = len(docs), docs.field("terms")
+        at = np.repeat(np.arange(n), terms.value_lengths().to_numpy(zero_copy_only=False))
+        known, code = np.unique(terms.flatten().to_numpy(), return_inverse=True)
+        per = asked.field("t").value_lengths().to_numpy(zero_copy_only=False)
+        wanted = asked.field("t").flatten()
+        term, idf = wanted.field("term").to_numpy(), wanted.field("idf").to_numpy()
+        place = np.minimum(np.searchsorted(known, term), len(known) - 1)
+        here = known[place] == term if len(known) else np.zeros(len(term), bool)
+        weight = np.zeros(len(known))
+        weight[place[here]] = idf[here]
+        tf, length = docs.field("tf").flatten().to_numpy(), docs.field("len").to_numpy()
+        w = weight[code] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / mean))
+        used = np.nonzero(weight[code])[0]
+        order = used[np.argsort(code[used], kind="stable")]
+        at, w, cuts = at[order], w[order], np.searchsorted(code[order], np.arange(len(known) + 1))
+        lists = [(at[x:y], w[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        often = [i for i in np.argsort(-np.diff(cuts), kind="stable")[:_WHOLE].tolist() if len(lists[i][0]) > n / 16]
+        whole = {i: np.bincount(*lists[i], minlength=n) for i in often}
+        own = np.split(place[here], np.cumsum(np.bincount(np.repeat(np.arange(len(per)), per)[here], minlength=len(per)))[:-1])
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        s = np.zeros(n)
+        for q, mine in enumerate(own):
+            if not len(mine):
+                continue
             s[:] = 0
-            for i in own:
-                s[at[cuts[i] : cuts[i + 1]]] += w[cuts[i] : cuts[i + 1]]
-            least = np.partition(s, len(s) - k)[len(s) - k] - 1e-8 if len(s) > k else 0.0
-            hit = np.nonzero((s >= least) & (s > 0))[0]
-            out.append((np.full(len(hit), qn), docs[hit], s[hit]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame(dict(zip(("qn", "no", "score"), cols, strict=True)))
-
-    return score
+            for i in mine.tolist():
+                if i in whole:
+                    s += whole[i]
+                else:
+                    p, v = lists[i]
+                    s[p] += v
+            hit = np.nonzero(s >= max(_kth_bound(s[None], k)[0] - 1e-8, 1e-300))[0]
+            best = hit[np.lexsort((hit, -np.round(s[hit], 9)))[:k]]
+            out.append((np.full(len(best), q), best, s[best]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for several in batches:
+            for j in range(several.num_rows):
+                docs, asked = (several.slice(j, 1).column(x).flatten() for x in ("docs", "qs"))
+                q, at, s = score(docs, asked)
+                for x in range(0, len(q), 100_000):
+                    q_, at_ = pa.array(q[x : x + 100_000]), pa.array(at[x : x + 100_000])
+                    yield pa.RecordBatch.from_arrays([asked.field("i").take(q_), docs.field("i").take(at_), pa.array(s[x : x + 100_000])], ["i", "id", "score"])
+
+    return run
 
 
 def bm25(queries: DataFrame, query_id: str, query: str, corpus: DataFrame, id_: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank): an index of the terms that the queries have, and a search in it."""
-    terms = queries.select(F.explode(index_tokens(F.col(query))).alias("term")).distinct()
-    return lexical_search(lexical_index(corpus, id_, text, terms, k1, b), queries, query_id, query, id_, k)
+    """(query_id, id, score, rank): an index of the corpus, and a search in it."""
+    return lexical_search(lexical_index(corpus, id_, text, k1, b), queries, query_id, query, id_, k)
 
 
 def pool(dense: DataFrame, sparse: DataFrame, by: list[str], id_: str) -> DataFrame:
     """Dense hits, then the lexical hits that are not among them; ranked through. Dense hits carry their lexical rank."""
     lex = sparse.select(*by, id_, F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"))
-    first = dense.select(*by, id_, F.col("rank").alias("_r"), F.col("score"), F.lit(0).alias("_src")).join(lex, [*by, id_], "left")
-    rest = lex.join(dense.select(*by, id_), [*by, id_], "left_anti").select(
-        *by, id_, F.col("bm25_rank").alias("_r"), F.lit(None).cast("double").alias("score"), F.lit(1).alias("_src"), "bm25_rank", "bm25_score"
-    )
-    both = first.unionByName(rest)
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("_src", "_r"))).drop("_src", "_r")
+    both = dense.select(*by, id_, F.col("rank").alias("_r"), F.col("score")).join(lex, [*by, id_], "full")  # each side once
+    order = F.col("_r").isNull(), F.coalesce("_r", "bm25_rank")
+    return both.select(*by, id_, "score", "bm25_rank", "bm25_score", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("rank"))
 
 
 def overlap_score(query: Column, text: Column) -> Column:

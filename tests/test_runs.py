@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -23,6 +24,20 @@ def test_exact_search_and_ties(spark):
     assert got == [(1, 0, 1), (1, 3, 2), (1, 6, 3), (1, 9, 4)]
 
 
+def test_exact_search_of_many_questions_with_text_ids(spark):
+    rng = np.random.default_rng(3)
+    rows, asked = rng.integers(-3, 4, (8000, 6)).astype(float), rng.integers(-3, 4, (4000, 6)).astype(float)
+    v = spark.createDataFrame([(f"c{i:05d}", x) for i, x in enumerate(rows.tolist())], "id string, v array<double>")
+    q = spark.createDataFrame(list(enumerate(asked.tolist())), "q long, v array<double>")
+    began = time.time()
+    got = sorted(tuple(r) for r in ranking.exact_search(q, "q", "v", v, "id", "v", 7, block=1500).select("q", "rank", "id").collect())
+    assert time.time() - began < 15  # sorting whole batches of text ids for each question takes far longer
+    with np.errstate(invalid="ignore"):
+        sims = np.nan_to_num(np.round((asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, 12), nan=-np.inf)
+    want = [(i, n + 1, f"c{j:05d}") for i, x in enumerate(sims) for n, j in enumerate(np.argsort(-x, kind="stable")[:7].tolist()) if np.isfinite(x[j])]
+    assert got == want
+
+
 def test_ann_recall_against_exact(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(600)] + [(1000, None), (1001, [0.0] * 16)]
@@ -54,6 +69,16 @@ def test_bm25_against_a_model(spark):
     assert [r["id"] for r in got] == want and abs(got[0]["score"] - scores[want[0]]) < 1e-9
 
 
+def test_lexical_search_in_many_blocks(spark):
+    rng = random.Random(5)
+    text = lambda most: " ".join(rng.choice(["fee", "form", "port", "visa", "pass", "x1"]) for _ in range(rng.randint(0, most)))
+    docs = spark.createDataFrame([(f"d{i:03d}", text(12)) for i in range(300)], "id string, text string")
+    asked = spark.createDataFrame([(i, text(3)) for i in range(40)], "q int, t string")
+    search = lambda most, block: sorted((r["q"], r["rank"], r["id"], round(r["score"], 9)) for r in ranking.lexical_search(ranking.lexical_index(docs, "id", "text", most=most), asked, "q", "t", "id", 6, block).collect())
+    one = search(2_000_000, 65536)
+    assert one and search(100, 7) == one
+
+
 LISTS = [("q", 0, 1, "a"), ("q", 0, 2, "b"), ("q", 1, 1, "b"), ("q", 1, 2, "c"), ("q", 1, 3, "a"), ("p", 0, 1, "z")]
 
 
