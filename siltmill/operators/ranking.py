@@ -38,8 +38,10 @@ def exact_search(queries: DataFrame, query_id: str, query_vec: str, corpus: Data
     """
     kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[id_]
 
-    def there(df: DataFrame, key: str, vector: str) -> DataFrame:
-        return df.select(F.col(key).alias("i"), F.col(vector).alias("v")).filter((F.array_size("v") > 0) & F.col("i").isNotNull())
+    def dealt(df: DataFrame, key: str, vector: str, n: int, into: str) -> DataFrame:
+        """Rows without vector are dropped when they are packed: a filter before would have each vector made twice."""
+        packed = _packed(df.select(F.col(key).alias("i"), F.col(vector).alias("v")).filter("i is not null"), n, "r")
+        return packed.select(F.filter("r", lambda x: F.array_size(x["v"]) > 0).alias(into))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for several in batches:
@@ -51,8 +53,8 @@ def exact_search(queries: DataFrame, query_id: str, query_vec: str, corpus: Data
                     which, place, sim = _nearest(a[i : i + 128], b, rough, k)
                     yield pa.RecordBatch.from_arrays([qs.take(pa.array(which + i)), ids.take(pa.array(place)), pa.array(sim)], ["q", "id", "sim"])
 
-    batches = _packed(there(corpus, id_, vec), blocks_of(corpus.sparkSession, corpus.count()), "rows")
-    asked = _packed(there(queries, query_id, query_vec), max(1, math.ceil(queries.count() / block)), "qs")
+    batches = dealt(corpus, id_, vec, blocks_of(corpus.sparkSession, corpus.count()), "rows")
+    asked = dealt(queries, query_id, query_vec, max(1, math.ceil(queries.count() / block)), "qs")
     paired = batches.crossJoin(asked)  # each block of queries with each batch: the blocks are few and bounded
     found = paired.mapInArrow(search, f"q {kinds[0]}, id {kinds[1]}, sim double")
     best = top(found, ["q"], [F.desc("sim"), F.asc("id")], k)
@@ -74,7 +76,7 @@ def _ids_and_units(packed: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     """The ids and unit vectors of one packed row, without those that have no cosine."""
     rows = packed.flatten()
     ids, v = rows.field("i"), rows.field("v")
-    units = _unit(v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1))
+    units = _unit(v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1 if len(v) else 0))
     ok = np.isfinite(units).all(axis=1)
     return ids.filter(pa.array(ok)), units[ok]
 

@@ -379,3 +379,21 @@ def test_clustered_vectors_need_few_cells(spark):
     true = {(r["q"], r["id"]) for r in ranking.exact_search(q, "q", "v", v, "id", "v", 10).collect()}
     near = {(r["q"], r["id"]) for r in ann.search(index, q, "q", "v", 10).collect()}
     assert len(true & near) >= 0.9 * len(true)
+
+
+def test_a_pool_reads_each_side_once_and_makes_each_vector_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        made.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    of = ranking.embedder(embed)
+    chunks = spark.createDataFrame([(f"c{i:02d}", "fee " * (i + 1)) for i in range(20)], "id string, text string")
+    items = spark.createDataFrame([("q", "fee fee")], "item string, question string")
+    dense = ranking.exact_search(items.select("item", of(F.col("question")).alias("v")), "item", "v", chunks.select("id", of(F.col("text")).alias("v")), "id", "v", 3)
+    sparse = ranking.bm25(items, "item", "question", chunks, "id", "text", 5)
+    pool = ranking.pool(dense.withColumnRenamed("sim", "score"), sparse, ["item"], "id")
+    rows = pool.orderBy("rank").collect()
+    assert made.value == 21
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and [r["id"] for r in rows][:3] == ["c01", "c02", "c03"] and sum(r["score"] is None for r in rows) == len(rows) - 3
