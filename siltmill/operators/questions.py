@@ -138,9 +138,10 @@ def _ranked(q: DataFrame, item: str, chunks: DataFrame, s: Settings, tools: Tool
     found = found.withColumnRenamed("sim", "score")
     if s.bm25_k:
         found = ranking.pool(found, ranking.bm25(q, "q", "query", chunks, "id", "text", s.bm25_k), ["q"], "id")
-    found = found.join(q, "q")
-    if s.reranker:
-        found = ranking.rerank(found.join(chunks.select("id", "text"), "id"), ["q"], tools.scorer(s)(F.col("query"), F.col("text")))
+    make, score = ranking.prepared(tools.scorer(s)) if s.reranker else (lambda text: text, None)
+    found = found.join(q.select("q", item, "list_no", make(F.col("query")).alias("_query")), "q")
+    if score:
+        found = ranking.rerank(found.join(chunks.select("id", make(F.col("text")).alias("_text")), "id"), ["q"], score(F.col("_query"), F.col("_text")))
     return found.select(item, "list_no", "id", "rank")
 
 
@@ -245,8 +246,8 @@ def retrieve(
     extra = ["unit", "expanded_words", "text"] if s.expand else []
     if s.expand:
         hits = expanded(hits, item, chunks, sections, s.expand_words).drop("chunk_rank")
-    hits = hits.join(chunks.select("id", "url"), "id")
+    page = F.when(F.col("url").isNull(), F.col("id")).otherwise(page_url(F.col("url")))
+    hits = hits.join(chunks.select("id", "url", *([page.alias("_page")] if s.collapse_pages else [])), "id")  # a page is named once for each chunk
     if s.collapse_pages:
-        paged = hits.withColumn("_page", F.when(F.col("url").isNull(), F.col("id")).otherwise(page_url(F.col("url"))))
-        hits = chunking.collapse_units(paged, item, ["_page"], "rank")
+        hits = chunking.collapse_units(hits, item, ["_page"], "rank")
     return hits.filter(F.col("rank") <= k).select(item, "id", "url", "rank", *extra)

@@ -241,8 +241,24 @@ def pool(dense: DataFrame, sparse: DataFrame, by: list[str], id_: str) -> DataFr
 
 def overlap_score(query: Column, text: Column) -> Column:
     """A deterministic stand-in for a cross-encoder: the share of the query's distinct terms that the text has."""
-    q = F.array_distinct(index_tokens(query))
-    return F.size(F.array_intersect(q, index_tokens(text))) / F.greatest(F.size(q), F.lit(1))
+    return _shared(_term_set(query), _term_set(text))
+
+
+def _term_set(text: Column) -> Column:
+    return F.array_distinct(_hashed_tokens(text))
+
+
+def _shared(query: Column, text: Column) -> Column:
+    return F.size(F.array_intersect(query, text)) / F.greatest(F.size(query), F.lit(1))
+
+
+#: Of scorers that see a text only through something made of it alone: what is made, and the score of two such things.
+PREPARED: dict[Callable[[Column, Column], Column], tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {overlap_score: (_term_set, _shared)}
+
+
+def prepared(scorer: Callable[[Column, Column], Column]) -> tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]:
+    """What is made of each text and query once, before they meet in hits, and the score of these; else the texts themselves."""
+    return PREPARED.get(scorer, (lambda text: text, scorer))
 
 
 def rerank(hits: DataFrame, by: list[str], score: Column, rank: str = "rank") -> DataFrame:

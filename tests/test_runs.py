@@ -397,3 +397,25 @@ def test_a_pool_reads_each_side_once_and_makes_each_vector_once(spark):
     rows = pool.orderBy("rank").collect()
     assert made.value == 21
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and [r["id"] for r in rows][:3] == ["c01", "c02", "c03"] and sum(r["score"] is None for r in rows) == len(rows) - 3
+
+
+def test_retrieve_prepares_a_text_once_for_all_hits(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        made.add(1)
+        return text.split()
+
+    def score(query, text):
+        return F.size(F.array_intersect(words(query), words(text))) / F.lit(1)
+
+    ranking.PREPARED[score] = (words, lambda q, t: F.size(F.array_intersect(q, t)) / F.lit(1))
+    chunks = spark.createDataFrame([(f"c{i}", "grey permit " + "fee " * i, None) for i in range(6)], "id string, text string, url string")
+    items = spark.createDataFrame([(f"q{i:02d}", "grey permit fee") for i in range(30)], "item string, question string")
+    tools = questions.Tools(rerankers={"words": score})
+    s = questions.Settings(search="exact", reranker="words", k=6)
+    rows = questions.retrieve(items, "item", "question", chunks, 6, s, tools=tools).collect()
+    del ranking.PREPARED[score]
+    assert len(rows) == 180 and made.value <= 36
+    assert {r["rank"] for r in rows if r["id"] == "c0"} == {6}
